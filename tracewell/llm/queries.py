@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat_format, decontaminate, license_scan, line_dedup, packing, quality, sharding, sql, url_filter
+from tracewell.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, sharding, sql, suffix_dedup, url_filter
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), 200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -44,6 +49,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
@@ -62,7 +71,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op5_decontaminate, op6_packing, op8_chat_format, op9_license_scan, op10_quality)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_sharding,
+        op3_url_filter,
+        op4_suffix_dedup,
+        op5_decontaminate,
+        op6_packing,
+        op7_jaccard_join,
+        op8_chat_format,
+        op9_license_scan,
+        op10_quality,
+    )
 }
 
 
@@ -75,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": sql.OP1,
         "op3_url_filter": sql.url_filter(URL_RULES),
         "op5_decontaminate": sql.OP5,
+        "op7_jaccard_join": f"WITH RECURSIVE {sql.jaccard_components()}\nSELECT doc_id, n_shingles, component_id FROM grouped",
         "op8_chat_format": sql.chat_format(),
         "op9_license_scan": sql.license_scan(),
     }

@@ -99,6 +99,23 @@ report AS (
 OP5 = f"WITH {decontaminate()}\nSELECT * FROM report"
 
 
+def jaccard_components(table: str = "documents") -> str:
+    """Recursive common table expressions ending in ``grouped`` (doc_id, n_shingles, component_id)."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+sh_words AS (SELECT doc_id, {words} AS w FROM {table}),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM sh_words WHERE len(w) > 0)),
+set_sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN set_sizes x ON x.doc_id = a JOIN set_sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach (a, b) AS (SELECT doc_id, doc_id FROM {table} UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+grouped AS (
+  SELECT sh_words.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.b) AS component_id
+  FROM sh_words LEFT JOIN set_sizes USING (doc_id) JOIN reach ON reach.a = sh_words.doc_id GROUP BY sh_words.doc_id)"""
+
+
 def chat_format(budget: int = 1024, history_turns: int = 2, history_tokens: int = 192) -> str:
     def escaped(x: str) -> str:
         out = f"replace({x}, chr(92), chr(92) || chr(92))"
