@@ -13,11 +13,11 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key is in at least ``min_docs`` documents, except in the largest doc_id that holds it.
 
     In: doc_id, text (others are ignored). Out: a row per input row with doc_id, n_lines, n_dropped and text, the kept
-    lines joined by newlines (an empty string if none is kept).
+    lines joined by newlines (an empty string if none is kept), and the input columns named in ``keep``.
 
     Null or empty text is one empty line. Keys under ``min_chars`` code points always stay. A null doc_id counts as one
     document, smaller than all others. Repeated rows (same id and text) count once and get equal results; rows of one
@@ -30,6 +30,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     base = docs.select(
         id_or_lowest("doc_id").alias("_d"),
         F.coalesce(F.col("text"), F.lit("")).alias("_t"),
+        *[F.col(c).alias(f"_keep_{c}") for c in keep],
     ).withColumn("_v", F.xxhash64("_t"))
     exploded = base.select("_d", "_v", F.posexplode(F.split("_t", "\n", -1)).alias("_p", "_l"))
     keyed = exploded.withColumn("_k", line_key(F.col("_l"))).filter(F.char_length("_k") >= min_chars)
@@ -65,4 +66,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
         F.size("_all").cast("long").alias("n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("text"),
+        *[F.col(f"_keep_{c}").alias(c) for c in keep],
     )

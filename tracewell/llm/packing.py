@@ -17,6 +17,8 @@ PIECES = "_d long, start long, length long, ids binary, doc_tokens long, part in
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Distinct pre-tokens that a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
+#: Rows of the offset table (a length, a task, a number) up to which it is broadcast: about 5 MB.
+MOST_OFFSETS = 200_000
 
 
 class Encoder:
@@ -67,7 +69,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, most: int
     empty table. A very long text is cut like any other and is held by one task only as one string.
 
     Pieces are written once with their place among the pieces of equal length of their task; the offset of a task and
-    length is a running sum over their counts, so numbering shuffles no piece.
+    length is a running sum over their counts. That table has a row per task and length; it is broadcast if it is small,
+    so that numbering shuffles no piece, and joined by shuffle beyond that.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -103,7 +106,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, most: int
     longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy("length").agg(F.sum("_n").alias("_all")).select("length", F.coalesce(F.sum("_all").over(longer), F.lit(0)).alias("_base"))
     offsets = counts.select("length", "part", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_o")).join(F.broadcast(totals), "length")
-    numbered = pieces.join(offsets.select("length", "part", (F.col("_o") + F.col("_base")).alias("_o")), ["length", "part"])
+    offsets = offsets.select("length", "part", (F.col("_o") + F.col("_base")).alias("_o"))
+    few = counts.limit(MOST_OFFSETS + 1).count() <= MOST_OFFSETS
+    numbered = pieces.join(F.broadcast(offsets) if few else offsets, ["length", "part"])
     return numbered.select(
         id_or_null("_d").alias("doc_id"), "start", "length", "ids", "doc_tokens", (F.col("_o") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

@@ -121,11 +121,12 @@ def fit_mcd(rows: DataFrame, keys: list[str], share: float = 0.75, steps: int =
     return written(fits.join(best, group).drop("start"), "mcd")
 
 
-def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40, min_words: int = 50, most_repeated: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """Reject short or repetitive texts, and outliers of their language and source.
 
     In: doc_id, text, lang, source (others are ignored). Out: a row per input row with doc_id, the five statistics,
-    base_failed, d2 (squared robust distance over the group's scale; null if not judged) and kept.
+    base_failed, d2 (squared robust distance over the group's scale; null if not judged), kept, and the input columns named
+    in ``keep``, which are written with the statistics, so that no join has to bring them back.
 
     A text of under ``min_words`` words or with over ``most_repeated`` percent of its words in repeated three-word windows
     fails the base rules. The others of each (lang, source), nulls being a value of their own, give a minimum-covariance-
@@ -133,7 +134,7 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
     Repeated rows each count and each get a row; an empty table gives an empty table. Only DataFrame functions are used.
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    base = text_statistics(docs.select(id_or_lowest("doc_id").alias("_d"), key("lang").alias("_l"), key("source").alias("_s0"), F.col("text"))).drop("text")
+    base = text_statistics(docs.select(id_or_lowest("doc_id").alias("_d"), key("lang").alias("_l"), key("source").alias("_s0"), F.col("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     stats = written(base.withColumn("base_failed", failed).withColumns(transformed()), "quality")
     keys = ["_l", "_s0"]
@@ -142,7 +143,7 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
     fits = fit_mcd(good.join(large, keys).select(*keys, *DIMENSIONS), keys)
     judged = with_scores(stats, fits, keys)
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
-    return judged.select(id_or_null("_d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", verdict.alias("kept"))
+    return judged.select(id_or_null("_d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", verdict.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def with_scores(stats: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
