@@ -130,15 +130,19 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
 
     A text of under ``min_words`` words or with over ``most_repeated`` percent of its words in repeated three-word windows
     fails the base rules. The others of each (lang, source), nulls being a value of their own, give a minimum-covariance-
-    determinant fit; those over ``cutoff`` are rejected. Groups of fewer than ``least_group`` such rows reject none.
+    determinant fit; those over ``cutoff`` are rejected. Sources of fewer than ``least_group`` such rows are taken together by language; if
+    there are still fewer, none is rejected.
     Repeated rows each count and each get a row; an empty table gives an empty table. Only DataFrame functions are used.
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     base = text_statistics(docs.select(id_or_lowest("doc_id").alias("_d"), key("lang").alias("_l"), key("source").alias("_s0"), F.col("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     stats = written(base.withColumn("base_failed", failed).withColumns(transformed()), "quality")
-    keys = ["_l", "_s0"]
     good = stats.filter(~F.col("base_failed"))
+    own = good.groupBy("_l", "_s0").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group).select("_l", "_s0", F.lit(True).alias("_own"))
+    stats = stats.join(own, ["_l", "_s0"], "left").withColumn("_g", F.when(F.col("_own"), F.col("_s0")).otherwise("\0\0")).drop("_own")
+    good = stats.filter(~F.col("base_failed"))
+    keys = ["_l", "_g"]
     large = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group).select(*keys)
     fits = fit_mcd(good.join(large, keys).select(*keys, *DIMENSIONS), keys)
     judged = with_scores(stats, fits, keys)
