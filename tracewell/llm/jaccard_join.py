@@ -285,19 +285,23 @@ def split_slice(percent: int):
 ROWS = "region long, _d long, n long, shingles binary"
 
 
-def join_families(members: DataFrame, percent: int, most: int = REGION, depth: int = 4) -> DataFrame:
+def join_families(members: DataFrame, families: DataFrame, percent: int, most: int = REGION, depth: int = 4) -> DataFrame:
     """Links (a, b) within families, rows (region, _d, n, shingles), that connect all that their links connect.
+    ``families`` has a row (region) for each member, without its shingles.
 
     A family of up to ``most`` documents is a region that one task joins. A larger one is split by pivots, a hashed choice of about PIVOTS
     of its documents, in slices: documents go to their Voronoi region and to every region whose window they are in. After ``depth`` splits, what is
     still larger is joined as pairs of slices, so nothing is left out.
     """
-    links, now = [], members
+    links, now, sizes = [], members, families.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
     for level in range(depth + 1):
-        sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
+        if level:
+            sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
         large = written(sizes.filter(F.col("_n") > most), "large")
         if large.isEmpty():
             break
+        if not level:
+            now = written(now, "families")
         small = now.join(large.select("region"), "region", "left_anti")
         links.append(small.groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
         big = now.join(large, "region")
@@ -354,11 +358,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most:
     tokens = reps.select("_d", F.explode("prefix").alias("s")).distinct()
     stars = tokens.groupBy("s").agg(F.min("_d").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", "a")
     near = tokens.join(stars, "s").filter("_d != a").select("a", F.col("_d").alias("b")).distinct()
-    families = connected_components(near).select(F.col("id").alias("_d"), F.col("root").alias("region"))
-    held = sets.filter("h1 is not null").join(families, "_d").groupBy("region", "_d", "h1", "h2", "n").agg(F.first("shingles").alias("shingles"))
-    links = join_families(written(held.select("region", "_d", "n", "shingles"), "families"), percent, most, depth)
+    families = written(connected_components(near).select(F.col("id").alias("_d"), F.col("root").alias("region")), "families")
     # rows of one id with different sets
     twice = sets.groupBy("_d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_d")
+    twice = written(twice, "twice")
+    held = sets.filter("h1 is not null").select("_d", "n", "shingles")
+    again = held.join(twice, "_d", "left_semi").groupBy("_d", "n", F.sha2("shingles", 256)).agg(F.first("shingles").alias("shingles")).select("_d", "n", "shingles")
+    members = held.join(twice, "_d", "left_anti").unionByName(again) if not twice.isEmpty() else held
+    links = join_families(members.join(families, "_d").select("region", "_d", "n", "shingles"), families, percent, most, depth)
     same_id = sets.filter("h1 is not null").select("_d", "h1", "h2", "n").join(twice, "_d").join(classes, ["h1", "h2", "n"]).select(F.col("rep").alias("a"), F.col("_d").alias("b"))
     roots = connected_components(links.unionByName(same_id)).select(F.col("id").alias("rep"), "root")
     classes = classes.join(roots, "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
