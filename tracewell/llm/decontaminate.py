@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from tracewell.llm.common import written
 from tracewell.llm.hashing import ALNUM, LOWERED, mix, prefix_hashes, shingle_hashes, span_hashes, text_chunks, words
 
+#: What is added to the documents.
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<start:int,end:int>>, contaminated boolean"
 #: Words of a shingle; shorter windows are shingles of their own length.
 SHINGLE = 3
@@ -149,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
 
     In: docs with text, benchmark (item_id, text). Out: docs' rows and columns, and n_words, n_hit (words inside any
     occurrence), n_items and items (items with an occurring window), items_sha256 (of the ids sorted as strings and
-    comma-joined), spans (runs of hit words, [start, end)), contaminated. docs may not have columns of these names.
+    comma-joined), spans (runs of hit words, [start, end)), contaminated. Input columns of these names are left out.
 
     Words are lower-cased ASCII alphanumerics and characters beyond ASCII. An item of fewer words is one window; one of
     none has no windows. Null or empty text has no words; benchmark rows with a null item_id or text are left out.
@@ -159,9 +160,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     about 100 times its text at most), so any size of benchmark works, with one pass over the documents for counts and one for the join a block. A
     window's shingles are ordered by rarity in all documents; an exact match must hold the rarest, so only that is looked up.
     """
-    names = docs.columns
-    if "text" not in names:
+    if "text" not in docs.columns:
         raise ValueError("docs need a text column")
+    docs = docs.drop(*[x.split()[0] for x in OUT.split(", ")])
+    names = docs.columns
     state, found = docs, None
     for block in blocks(benchmark, size, block_bytes):
         if found is not None:

@@ -86,7 +86,7 @@ def template_index(spark: SparkSession, templates) -> list[tuple[str, list[int]]
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     """Find license notices in whole texts.
 
-    In: text and any other columns but license, containment, word. Out: for each input row and license found, the
+    In: text and any other columns; those named like a result are left out. Out: for each input row and license found, the
     input's columns without text, license, containment (the largest, of its templates) and word (the first place of a
     retrieved shingle of the best match).
 
@@ -102,6 +102,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> D
     """
     if "text" not in docs.columns:
         raise ValueError("docs need a text column")
+    docs = docs.drop("license", "containment", "word", "_w", "_s", "_p", "_at", "_m")
     index = template_index(docs.sparkSession, templates)
     others = [c for c in docs.columns if c != "text"]
     known = sorted({s for _, held in index for s in held})

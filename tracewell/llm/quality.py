@@ -17,10 +17,11 @@ FLOORS = (0.5, 0.15, 0.05, 0.1, 0.1)
 def text_statistics(docs: DataFrame) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text, with DataFrame functions only.
 
-    In: text and any others. Out: the input's columns and these five (long). Null text has no words and no lines.
+    In: text and any others; those named like a result are left out. Out: the input's columns and these five (long). Null text has no words and no lines.
     Repeated three-word windows are found by sorting the windows' hashes, each with its position in the low bits, so that
     equal windows are neighbours; a text of n words takes n log n steps, however long it is.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_w", "_h", "_t", "_m", "_s")
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(BLANKS))
     with_words = docs.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+")))

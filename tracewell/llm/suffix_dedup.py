@@ -25,7 +25,7 @@ GRAM = 50
 PIECE = 8 << 20
 ANCHORS = "g long, c long, d long, v long, p long"
 #: Anchors that a shuffle partition should hold, and of one gram from which its windows are compared by shuffle instead.
-PARTITION_ROWS, HOT_ROWS = 1_000_000, 20_000
+PARTITION_ROWS, HOT_ROWS = 250_000, 20_000
 SAMPLE = 64
 
 
@@ -91,13 +91,26 @@ def anchors_of(length: int):
     return run
 
 
+def settled_rows(columns: list[np.ndarray], at: np.ndarray, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in columns], pa.array(np.full(len(at), kind, np.int32))], [*"gcdvp", "kind"])
+
+
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's whole grams: contexts held twice or more are repeats (kind 0); where a gram has several contexts,
-    one of each has to be compared by windows (kind 1, or 2 if it is known to be a repeat and is there for the others)."""
-    batches = [x for x in batches if x.num_rows]
-    if not batches:
+    one of each has to be compared by windows (kind 1, or 2 if it is known to be a repeat and is there for the others).
+    Rows of hot grams pass as they are (kind 9)."""
+    held = []
+    for batch in batches:
+        columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        hot = np.flatnonzero(columns[5])
+        if len(hot):
+            yield settled_rows(columns[:5], hot, 9)
+        if len(hot) < batch.num_rows:
+            held.append([x[~columns[5]] for x in columns[:5]])
+    if not held:
         return
-    g, c, d, v, p = (np.concatenate([x.column(i).to_numpy() for x in batches]) for i in range(5))
+    g, c, d, v, p = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.lexsort((c, g))
     g, c, d, v, p = g[order], c[order], d[order], v[order], p[order]
     new_g = np.append(True, g[1:] != g[:-1])
@@ -112,7 +125,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compare = new_c & (classes > 1) & (unique > 0)
     for kept, kind in ((repeats, 0), (compare & ~repeats, 1), (compare & repeats, 2)):
         for at in np.array_split(np.flatnonzero(kept), max(1, int(kept.sum()) // 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(d[at]), pa.array(v[at]), pa.array(p[at]), pa.array(np.full(len(at), kind, np.int32))], ["g", "d", "v", "p", "kind"])
+            yield settled_rows([g, c, d, v, p], at, kind)
 
 
 class Suffixes:
@@ -201,7 +214,7 @@ def spans_of(found: np.ndarray, row: np.ndarray, k: np.ndarray, length: int) ->
     return row[at][new], k[at][new], k[at][last] + length
 
 
-def suffix_sort(length: int, windows: int = 400_000):
+def suffix_sort(length: int, windows: int = 200_000):
     """Rows (g, d, v, p, kind, context) sorted by g in whole grams: rows (d, v, s, e) of repeated bytes of kind 1."""
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -316,18 +329,21 @@ def drop_repeats(docs: DataFrame, length: int = 200, hot_rows: int = HOT_ROWS, s
     sampled = base.filter(F.pmod(F.xxhash64("_d", "_v"), F.lit(sample)) == 0).mapInArrow(anchors_of(length), ANCHORS)
     hot_grams = written(sampled.groupBy("g").count().filter(F.col("count") * sample >= hot_rows).select("g"), "hot")
     hot = not hot_grams.isEmpty()
-    kinds = "g long, d long, v long, p long, kind int"
-    cold = anchors.join(hot_grams, "g", "left_anti") if hot else anchors
-    settled = cold.repartition(parts, "g").mapInArrow(settle, kinds)
     if hot:
-        mine = anchors.join(hot_grams, "g", "left_semi")
+        flagged = anchors.join(hot_grams.withColumn("hot", F.lit(True)), "g", "left").withColumn("hot", F.col("hot").isNotNull())
+        dealt = flagged.select(*"gcdvp", "hot").repartition(parts, "g", F.when(F.col("hot"), F.pmod(F.xxhash64("d"), F.lit(1024))).otherwise(0))
+    else:
+        dealt = anchors.withColumn("hot", F.lit(False)).repartition(parts, "g")
+    settled = written(dealt.mapInArrow(settle, f"{ANCHORS}, kind int"), "settled")
+    if hot:
+        mine = settled.filter("kind = 9")
         classes = mine.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "v", "p")).alias("r"))
-        again = mine.join(classes.filter("n > 1").select("g", "c"), ["g", "c"]).select("g", "d", "v", "p", F.lit(0).alias("kind"))
-        one = classes.select("g", "r.d", "r.v", "r.p", F.when(F.col("n") > 1, 4).otherwise(3).alias("kind"))
-        settled = settled.unionByName(again).unionByName(one)
-    settled = written(settled, "settled")
+        again = mine.join(classes.filter("n > 1").select("g", "c"), ["g", "c"]).select("d", "v", "p")
+        one = classes.select("g", "c", "r.d", "r.v", "r.p", F.when(F.col("n") > 1, 4).otherwise(3).alias("kind"))
+        settled = settled.filter("kind < 9").unionByName(one)
     count, place = F.col("p").bitwiseAND(255), F.shiftright("p", 16)
-    sure = settled.filter("kind = 0").select("d", "v", place.alias("s"), (place + count - 1 + length).alias("e"))
+    sure = settled.filter("kind = 0").select("d", "v", "p")
+    sure = (sure.unionByName(again) if hot else sure).select("d", "v", place.alias("s"), (place + count - 1 + length).alias("e"))
     context = F.substring(F.col("_t").cast("binary"), (place + 1).cast("int"), (count - 1 + length).cast("int"))
     open_ = settled.filter("kind > 0").join(base, (F.col("d") == F.col("_d")) & (F.col("v") == F.col("_v")))
     open_ = open_.select("g", "d", "v", "p", "kind", context.alias("context"))
