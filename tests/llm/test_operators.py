@@ -172,6 +172,7 @@ CHAT = [
     (None, 0, "assistant", "é🙂"),
     (3, 0, "user", "long " * 3000),
     (3, 1, "assistant", "ok"),
+    *[(4, i, "assistant" if i % 2 else "user", f"turn {i} " + "word " * 30) for i in range(90)],
 ]
 
 
@@ -189,7 +190,9 @@ def test_chat(spark):
     texts = [r for r in windows.collect() if r.conv_id == 1]
     assert len(texts) > 1 and all("Be brief." in r.text for r in texts) and all(tokens(r.text) < 1400 for r in texts)
     assert all(not any(c in chat_format.unescaped(r.text[s.start : s.end]) and c in r.text[s.start : s.end] for c in chat_format.CONTROLS) for r in texts for s in r.loss)
-    assert any(r.n_context > 1 for r in texts)
+    many = [r for r in windows.collect() if r.conv_id == 4]
+    assert len(many) > 2 and {r.n_context for r in many} == {0, 2} and sum(r.n_turns for r in many) == 90
+    assert all(tokens(r.text) <= 1024 + 90 * 8 for r in many)
     assert chat_format.read_back(chat_format.format_conversations(turns.limit(0))).collect() == []
 
 
