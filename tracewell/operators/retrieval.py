@@ -10,7 +10,7 @@ from tracewell.functions import text as T
 from tracewell.functions import vectors as V
 
 #: The artifact kind that a language stands for.
-LANGUAGE_KINDS = {"oracle": "oracle_source", "powerbuilder": "powerbuilder_source", "markdown": "markdown", "text": "text"}
+LANGUAGE_KINDS = {"plsql": "oracle", "powerscript": "powerbuilder", "markdown": "markdown", "text": "text", "config": "config"}
 
 
 def keyword_filter(chunks: DataFrame, domain=None, artifact_kind=None, document_id=None, folder=None, extension=None, language=None) -> DataFrame:
