@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewell.llm import chat_format, decontaminate, license_scan, line_dedup, packing, quality, sharding, url_filter
+from tracewell.llm import chat_format, components, decontaminate, license_scan, line_dedup, packing, quality, sharding, url_filter
 from tracewell.llm.components import connected_components
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -250,7 +250,10 @@ def test_robust_fit_resists_outliers(spark):
     assert sum(r.d2 > 100 for r in distance) == 150
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [500_000, 7])
+def test_components(spark, monkeypatch, held):
+    """With seven edges a task, the tasks' stars have to be joined by rounds."""
+    monkeypatch.setattr(components, "EDGES_A_TASK", held)
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)] + [(7, 7), (None, 3)]
     got = {r.id: r.root for r in connected_components(table(spark, edges, "a long, b long")).collect()}

@@ -355,9 +355,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most:
     sets = written(judged, "sets")
     classes = written(sets.filter("h1 is not null").groupBy("h1", "h2", "n").agg(F.min("_d").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = sets.filter("h1 is not null").select("_d", "h1", "h2", "n", "prefix").join(classes.select("h1", "h2", "n", F.col("rep").alias("_d")), ["h1", "h2", "n", "_d"])
-    tokens = reps.select("_d", F.explode("prefix").alias("s")).distinct()
+    tokens = reps.select("_d", F.explode("prefix").alias("s"))
     stars = tokens.groupBy("s").agg(F.min("_d").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", "a")
-    near = tokens.join(stars, "s").filter("_d != a").select("a", F.col("_d").alias("b")).distinct()
+    near = tokens.join(stars, "s").filter("_d != a").select("a", F.col("_d").alias("b"))
     families = written(connected_components(near).select(F.col("id").alias("_d"), F.col("root").alias("region")), "families")
     # rows of one id with different sets
     twice = sets.groupBy("_d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_d")
