@@ -61,19 +61,20 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * POWERS.down[start]
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most: int = 1 << 18, rows: int = 500) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (from, to, their UTF-8 bytes, to - from + 1 offsets into them) of about ``most`` bytes; a longer text
     comes alone and whole. Null is an empty text."""
-    column = column.fill_null("").cast(pa.large_string())
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        to = min(to, n)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    for base in range(0, len(column), rows):
+        part = column.slice(base, rows).fill_null("").cast(pa.large_string())
+        n = len(part)
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            to = min(to, n)
+            yield base + at, base + to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -192,7 +192,7 @@ class Suffixes:
         near = np.flatnonzero((self.whole[sorted_[1:]] == self.whole[sorted_[:-1]]) & (groups[1:] == groups[:-1]))
         out = np.zeros(len(suffixes), bool)
         span = np.arange(self.length)
-        for at in np.array_split(near, len(near) // 20_000 + 1):
+        for at in np.array_split(near, len(near) // 4_000 + 1):
             same = (self.data[sorted_[at][:, None] + span] == self.data[sorted_[at + 1][:, None] + span]).all(axis=1)
             out[order[at[same]]] = out[order[at[same] + 1]] = True
         return out
