@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewell.plans.materialize import written
+
 DIRECTIONS = ("outgoing", "incoming", "both")
 MOST_DEPTH = 5
 
@@ -23,7 +25,8 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", most_d
     """Breadth-first from the seeds: nodes (node, depth) and edges (node, neighbour, relation_id, relation_type, direction, depth, is_new).
 
     edges: source, target, relation_id, relation_type. seeds: node. Every level is one join of the frontier with the
-    edges, at most five of them; is_new says that the edge's end was first reached over this level.
+    edges, at most five of them, and is written, so that no level computes the earlier ones again; is_new says that the
+    edge's end was first reached over this level.
     """
     if not 0 <= most_depth <= MOST_DEPTH:
         raise ValueError(f"depth must be 0 to {MOST_DEPTH}")
@@ -35,7 +38,7 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", most_d
         reached = steps.join(frontier, "node").withColumn("depth", F.lit(depth))
         known = nodes.select(F.col("node").alias("neighbour"), F.lit(True).alias("_known"))
         level = reached.join(known, "neighbour", "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
-        level = level.select("node", "neighbour", "relation_id", "relation_type", "direction", "depth", "is_new")
+        level = written(level.select("node", "neighbour", "relation_id", "relation_type", "direction", "depth", "is_new"), "walk")
         nodes = nodes.unionByName(level.filter("is_new").select(F.col("neighbour").alias("node"), "depth").distinct())
         walked = level if walked is None else walked.unionByName(level)
     if walked is None:
@@ -58,7 +61,7 @@ def decayed_scores(edges: DataFrame, seeds: DataFrame, most_depth: int = 2, deca
     now = seeds.groupBy("node").agg(F.max("score").alias("score"))
     out = now
     for _ in range(most_depth):
-        now = now.join(steps, "node").groupBy(F.col("neighbour").alias("node")).agg((F.max("score") * decay).alias("score"))
+        now = written(now.join(steps, "node").groupBy(F.col("neighbour").alias("node")).agg((F.max("score") * decay).alias("score")), "decay")
         out = out.unionByName(now)
     return out.groupBy("node").agg(F.max("score").alias("score"))
 
