@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,40 +16,38 @@ from tracewell.llm.common import id_or_lowest, id_or_null, written
 
 PIECES = "_d long, start long, length long, ids binary, doc_tokens long, part int, place long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
-#: Distinct pre-tokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
 #: Rows of the offset table (a length, a task, a number) up to which it is broadcast: about 5 MB.
 MOST_OFFSETS = 200_000
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with a memory of the pre-tokens seen."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, pattern: str) -> None:
-        import regex
+    The tokenizer file decides. Its vocabulary as ranks gives the same ids several times faster; the first texts of every
+    task are held against the tokenizer itself, and texts with its special tokens are its own.
+    """
+
+    def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str, compared: int = 3) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in encoded]
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.left = compared
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):  # added tokens are found before pre-tokens
-            return self.whole([text])[0]
-        found = self.find(text)
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = [x for x in dict.fromkeys(found) if x not in self.known]
-            self.known.update(zip(new, self.whole(new), strict=True))
-            return b"".join(map(self.known.__getitem__, found))
+        special = any(x in text for x in self.special)
+        if not special:
+            ids = self.fast.encode_ordinary(text)
+        if special or self.left > 0:
+            own = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if not special and own != list(ids):
+                raise ValueError("the ranks are not those of the tokenizer")
+            ids, self.left = own, self.left - 1
+        return np.array(ids, "<u4").tobytes()
 
 
 def lengths(tokens: int, most: int) -> list[int]:
@@ -57,10 +56,10 @@ def lengths(tokens: int, most: int) -> list[int]:
     return [most] * (tokens // most) + [1 << k for k in range(most.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, most: int = 1024, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, most: int = 1024, end_id: int = 0) -> DataFrame:
     """Cut each document's tokens into pieces of power-of-two length; pieces of equal length are numbered together.
 
-    In: doc_id, text (others are ignored); ``pattern`` is the tokenizer's pre-token pattern. Out: a row per piece with
+    In: doc_id, text (others are ignored); ``ranks_path`` and ``pattern`` are the tokenizer's vocabulary as ranks and its pre-token pattern. Out: a row per piece with
     doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens (with the closing ``end_id``), sequence_id
     and offset (always 0: a sequence is one piece). Sequence ids are gapless from 0 and ordered by length, the longest
     first, so a range of ids is a bucket of equally long sequences and a batch needs no padding.
@@ -76,7 +75,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, most: int
         raise ValueError("the longest sequence must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(tokenizer_path, pattern), TaskContext.get().partitionId()
+        encode, part = Encoder(tokenizer_path, ranks_path, pattern), TaskContext.get().partitionId()
         last, places = end_id.to_bytes(4, "little"), {}
         for batch in batches:
             rows: list[tuple] = []
@@ -99,7 +98,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, most: int
         columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
-    pieces = written(docs.select(id_or_lowest("doc_id").alias("_d"), F.col("text")).mapInArrow(cut, PIECES), "pieces")
+    pieces = written(docs.select(id_or_lowest("doc_id").alias("_d"), F.col("text")).mapInArrow(cut, PIECES), "pieces", "zstd")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("_n"))
     # by length first, then over the few lengths, so that no task orders all (length, part) pairs
     inside = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
