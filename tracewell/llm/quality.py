@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BLANKS, id_or_lowest, id_or_null, written
+from tracewell.llm.common import BLANKS, broadcast_if_small, id_or_lowest, id_or_null, written
 
 #: Median of the chi-squared distribution with as many degrees of freedom as there are transformed statistics.
 DIMENSIONS = ("x0", "x1", "x2", "x3", "x4")
@@ -14,6 +14,10 @@ CHI2_MEDIAN = 4.3515
 FLOORS = (0.5, 0.15, 0.05, 0.1, 0.1)
 
 
+#: Groups whose fits are broadcast, at about 250 bytes each; more are joined by shuffle.
+MOST_GROUPS = 20_000
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text, with DataFrame functions only.
 
@@ -60,10 +64,11 @@ def transformed() -> dict[str, Column]:
     }
 
 
-def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, by a Cholesky factor in columns."""
+def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], more: list[str] = ()) -> DataFrame:
+    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, by a Cholesky factor in columns;
+    and the fits' columns named in ``more``."""
     p = len(DIMENSIONS)
-    fits = fits.select(*keys, *[F.col(f"m{i}") for i in range(p)], *[F.col(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    fits = fits.select(*keys, *more, *[F.col(f"m{i}") for i in range(p)], *[F.col(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
     for i in range(p):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -82,7 +87,7 @@ def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFram
             step = step - F.col(f"l{i}{j}") * F.col(f"z{j}")
         out = out.withColumn(f"z{i}", step / F.col(f"l{i}{i}"))
         total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.withColumn("d2", total).select(*rows.columns, "log_det", "d2")
+    return out.withColumn("d2", total).select(*rows.columns, *more, "log_det", "d2")
 
 
 def moments(rows: DataFrame, keys: list[str], inside: Column) -> DataFrame:
@@ -141,11 +146,13 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
     stats = written(base.withColumn("base_failed", failed).withColumns(transformed()), "quality")
     good = stats.filter(~F.col("base_failed"))
     own = good.groupBy("_l", "_s0").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group).select("_l", "_s0", F.lit(True).alias("_own"))
+    own = broadcast_if_small(written(own, "quality-groups"), MOST_GROUPS)
     stats = stats.join(own, ["_l", "_s0"], "left").withColumn("_g", F.when(F.col("_own"), F.col("_s0")).otherwise("\0\0")).drop("_own")
     good = stats.filter(~F.col("base_failed"))
     keys = ["_l", "_g"]
     large = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group).select(*keys)
-    fits = fit_mcd(good.join(large, keys).select(*keys, *DIMENSIONS), keys)
+    large = broadcast_if_small(written(large, "quality-groups"), MOST_GROUPS)
+    fits = broadcast_if_small(fit_mcd(good.join(large, keys).select(*keys, *DIMENSIONS), keys), MOST_GROUPS)
     judged = with_scores(stats, fits, keys)
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     return judged.select(id_or_null("_d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", verdict.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
@@ -153,7 +160,7 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
 
 def with_scores(stats: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """d2 over the group's scale for rows of fitted groups that pass the base rules, null for the others."""
-    judged = with_distance(stats, fits, keys).join(fits.select(*keys, "scale"), keys)
+    judged = with_distance(stats, fits, keys, ["scale"])
     judged = judged.withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))).drop("log_det", "scale")
     rest = stats.join(fits.select(*keys), keys, "left_anti").withColumn("d2", F.lit(None).cast("double"))
     return judged.unionByName(rest)
