@@ -248,15 +248,15 @@ def region_links(percent: int):
 
 
 def split_slice(percent: int):
-    """A slice of a large region and the region's pivots to rows (region, _d, n, shingles, a) of its smaller regions; a is a pivot
-    that the document links with, or null."""
+    """A slice of a large region and the region's pivots to rows (region, part, _d, a): the smaller regions of each document;
+    a is a pivot that it links with, or null."""
 
     def run(docs: pa.Table, pivots: pa.Table) -> pa.Table:
         ids, chosen = column_of(docs, "_d").to_numpy(), column_of(pivots, "_pivot").to_numpy()
         raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in docs.column("shingles")]
         sets = Sets(raw + [np.frombuffer(x.as_buffer(), np.uint64) for x in pivots.column("_shingles")])
         at = np.arange(len(ids))
-        near = np.ones((len(ids), len(chosen)))
+        near = np.ones((len(ids), max(1, len(chosen))))  # without a pivot all are far
         link = np.full(len(ids), -1)
         for k in range(len(chosen)):
             both, near[:, k] = sets.distances(len(ids) + k, at)
@@ -266,15 +266,13 @@ def split_slice(percent: int):
         rows, regions = np.nonzero(member)
         first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
         own = docs.column("region")[0].as_py() if len(ids) else 0
-        names = mix(np.append(chosen, -1).astype(np.int64).view(np.uint64) + mix(np.array([own], np.int64).view(np.uint64))).view(np.int64)
-        taken = docs.take(pa.array(rows))
+        names = mix(np.append(chosen if len(chosen) else [-2], -1).astype(np.int64).view(np.uint64) + mix(np.array([own], np.int64).view(np.uint64))).view(np.int64)
         linked = first & (link[rows] >= 0)
         return pa.table(
             {
-                "region": pa.array(names[regions]),
-                "_d": taken.column("_d"),
-                "n": taken.column("n"),
-                "shingles": taken.column("shingles"),
+                "region": pa.array(np.full(len(rows), own)),
+                "part": pa.array(names[regions]),
+                "_d": pa.array(ids[rows]),
                 "a": pa.array(np.where(linked, chosen[np.maximum(link[rows], 0)], 0), mask=~linked),
             }
         )
@@ -282,16 +280,14 @@ def split_slice(percent: int):
     return run
 
 
-ROWS = "region long, _d long, n long, shingles binary"
-
-
 def join_families(members: DataFrame, families: DataFrame, percent: int, most: int = REGION, depth: int = 4) -> DataFrame:
     """Links (a, b) within families, rows (region, _d, n, shingles), that connect all that their links connect.
     ``families`` has a row (region) for each member, without its shingles.
 
     A family of up to ``most`` documents is a region that one task joins. A larger one is split by pivots, a hashed choice of about PIVOTS
-    of its documents, in slices: documents go to their Voronoi region and to every region whose window they are in. After ``depth`` splits, what is
-    still larger is joined as pairs of slices, so nothing is left out.
+    of its documents, in slices: documents go to their Voronoi region and to every region whose window they are in. A region that its links to
+    pivots connect is done. One whose windows would copy it more than twice, and what is still large after ``depth`` splits, is joined as
+    pairs of slices, so nothing is left out.
     """
     links, now, sizes = [], members, families.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
     for level in range(depth + 1):
@@ -306,20 +302,30 @@ def join_families(members: DataFrame, families: DataFrame, percent: int, most: i
         links.append(small.groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
         big = now.join(large, "region")
         slices = F.ceil(F.col("_n") / F.lit(most // 2)).cast("int")
-        dealt = F.pmod(F.xxhash64("_d", F.lit(level)), slices).cast("int")
-        if level == depth:
+        big = big.withColumn("_s", F.pmod(F.xxhash64("_d", F.lit(level)), slices).cast("int"))
+        whole = large.select("region")
+        now = None
+        if level < depth:
+            chosen = F.pmod(F.xxhash64("_d", F.lit(level + 100)), F.greatest(F.lit(1), F.col("_n") / F.lit(PIVOTS)).cast("long")) == 0
             every = F.explode(F.sequence(F.lit(0), slices - 1))
-            pairs = big.withColumn("_s", dealt).withColumn("_o", every).withColumn("_i", F.least("_s", "_o")).withColumn("_j", F.greatest("_s", "_o"))
-            links.append(pairs.groupBy("region", "_i", "_j").applyInArrow(region_links(percent), "a long, b long"))
-            now = None
+            pivots = big.filter(chosen).select(F.col("region").alias("_region"), every.alias("_slice"), F.col("_d").alias("_pivot"), F.col("shingles").alias("_shingles"))
+            dealt = big.groupBy("region", "_s").cogroup(pivots.groupBy("_region", "_slice"))
+            split = written(dealt.applyInArrow(split_slice(percent), "region long, part long, _d long, a long"), "regions")
+            close = split.filter("a is not null").select("a", F.col("_d").alias("b"))
+            links.append(close)
+            roots = connected_components(close).select(F.col("id").alias("_d"), "root")
+            state = split.join(roots, "_d", "left").groupBy("region").agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct(F.coalesce("root", "_d")).alias("_classes"))
+            state = written(state.join(large, "region").filter("_classes > 1"), "split")
+            # windows that hold nearly all would only copy the region: those are joined by slices
+            parted = state.filter("_rows <= 2 * _n").select("region")
+            whole = state.filter("_rows > 2 * _n").select("region")
+            taken = split.join(parted, "region").select("region", "part", "_d").join(big.select("region", "_d", "n", "shingles"), ["region", "_d"])
+            now = written(taken.select(F.col("part").alias("region"), "_d", "n", "shingles"), "families")
+        pairs = big.join(whole, "region").withColumn("_o", F.explode(F.sequence(F.lit(0), slices - 1)))
+        pairs = pairs.withColumn("_i", F.least("_s", "_o")).withColumn("_j", F.greatest("_s", "_o"))
+        links.append(pairs.groupBy("region", "_i", "_j").applyInArrow(region_links(percent), "a long, b long"))
+        if now is None:
             break
-        chosen = F.pmod(F.xxhash64("_d", F.lit(level + 100)), F.greatest(F.lit(1), F.col("_n") / F.lit(PIVOTS)).cast("long")) == 0
-        every = F.explode(F.sequence(F.lit(0), slices - 1))
-        pivots = big.filter(chosen).select(F.col("region").alias("_region"), every.alias("_slice"), F.col("_d").alias("_pivot"), F.col("shingles").alias("_shingles"))
-        slices_of = big.withColumn("_s", dealt).groupBy("region", "_s").cogroup(pivots.groupBy("_region", "_slice"))
-        split = written(slices_of.applyInArrow(split_slice(percent), f"{ROWS}, a long"), "regions")
-        links.append(split.filter("a is not null").select("a", F.col("_d").alias("b")))
-        now = split.drop("a")
     if now is not None:
         links.append(now.groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
     out = links[0]
@@ -340,7 +346,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most:
 
     Equal sets are one vertex from the start. Texts are shuffled into blocks, twice; a block's distinct shingles are
     counted over all blocks as packed 32-bit keys in buckets, which grow in number with the corpus. Only documents whose shingles
-    are shared enough send their sets on. Components grow from at most one link fewer than a region has documents.
+    are shared enough send their sets on. A region gives fewer links than it has documents: those that connect what its links connect.
     """
     base = docs.select(id_or_lowest("doc_id").alias("_d"), F.coalesce("text", F.lit("")).alias("_t"))
     total = base.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
