@@ -257,6 +257,7 @@ def split_slice(percent: int):
         sets = Sets(raw + [np.frombuffer(x.as_buffer(), np.uint64) for x in pivots.column("_shingles")])
         at = np.arange(len(ids))
         near = np.ones((len(ids), max(1, len(chosen))))  # without a pivot all are far
+        named = chosen if len(chosen) else np.array([-2])
         link = np.full(len(ids), -1)
         for k in range(len(chosen)):
             both, near[:, k] = sets.distances(len(ids) + k, at)
@@ -266,14 +267,14 @@ def split_slice(percent: int):
         rows, regions = np.nonzero(member)
         first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
         own = docs.column("region")[0].as_py() if len(ids) else 0
-        names = mix(np.append(chosen if len(chosen) else [-2], -1).astype(np.int64).view(np.uint64) + mix(np.array([own], np.int64).view(np.uint64))).view(np.int64)
+        names = mix(np.append(named, -1).astype(np.int64).view(np.uint64) + mix(np.array([own], np.int64).view(np.uint64))).view(np.int64)
         linked = first & (link[rows] >= 0)
         return pa.table(
             {
                 "region": pa.array(np.full(len(rows), own)),
                 "part": pa.array(names[regions]),
                 "_d": pa.array(ids[rows]),
-                "a": pa.array(np.where(linked, chosen[np.maximum(link[rows], 0)], 0), mask=~linked),
+                "a": pa.array(np.where(linked, named[np.maximum(link[rows], 0)], 0), mask=~linked),
             }
         )
 
