@@ -20,7 +20,7 @@ from tracewell.llm.components import connected_components
 from tracewell.llm.hashing import LOWERED, NOT_BLANK, mix, prefix_hashes, shingle_hashes, span_hashes, text_chunks, words
 
 #: UTF-8 bytes of text in a block, and in the corpus for each bucket of shingles.
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 12 << 20
 #: Documents of a region that one task joins, and pivots by which a larger one is split.
 REGION, PIVOTS = 2000, 16
 #: Documents that are this far from every pivot make a region of their own.
