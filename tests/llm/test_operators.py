@@ -238,6 +238,32 @@ def test_quality(spark):
     assert quality.judge_quality(docs(spark).limit(0)).collect() == []
 
 
+def test_quality_judges_each_statistic_alone(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7)))
+    clean = [(i, " ".join(word() for _ in range(rng.randint(150, 250)))) for i in range(120)]
+    odd = {
+        500: " ".join(word() + " |" * (i % 3 == 0) for i in range(200)),  # symbols: 6 %
+        501: " ".join([word() for _ in range(110)] + ["one", "two", "three"] * 25),  # repeats: 40 % of the words
+        502: " ".join(word() for _ in range(150)) + "\nx y" * 30,  # lines
+        503: " ".join(word() + word() + word() for _ in range(200)),  # long words
+    }
+    # a statistic that a few clean texts have a little of
+    some = [(400 + i, " ".join([word() for _ in range(195)] + ["one two three", "one two three"])) for i in range(3)]
+    got = {r.doc_id: r for r in quality.judge_quality(docs(spark, clean + some + list(odd.items()))).collect()}
+    assert not any(got[d].base_failed for d in odd) and not any(got[d].kept for d in odd)
+    assert all(got[d].kept for d, _ in clean + some)
+
+
+def test_quality_holds_small_languages_against_all_rows(spark):
+    rng = random.Random(13)
+    text = lambda mark: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7))) + mark for _ in range(200))
+    rows = [(i, text(""), "en" if i < 100 else "de") for i in range(110)] + [(200, text("##"), "de"), (201, text("##"), None), (202, text(""), None)]
+    table_of = table(spark, [(d, t, lang, "s") for d, t, lang in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.kept, r.d2 is None) for r in quality.judge_quality(table_of).collect()}
+    assert len(got) == 113 and {d for d, x in got.items() if not x[0]} == {200, 201} and not any(x[1] for x in got.values())
+
+
 def test_robust_fit_resists_outliers(spark):
     rng = np.random.default_rng(8)
     inner = rng.normal(0, 1, (800, 5))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import BLANKS, broadcast_if_small, id_or_lowest, id_or_null, written
 
-#: Median of the chi-squared distribution with as many degrees of freedom as there are transformed statistics.
+#: Quantiles (50, 97.5 and 99.99 %) of the chi-squared distribution with as many degrees of freedom as there are transformed statistics.
 DIMENSIONS = ("x0", "x1", "x2", "x3", "x4")
-CHI2_MEDIAN = 4.3515
-#: Least standard deviation of each dimension: statistics that are the same in nearly every text don't make a text with a little of it an outlier.
-FLOORS = (0.5, 0.15, 0.05, 0.1, 0.1)
+CHI2_MEDIAN, CHI2_INNER, CHI2_CUTOFF = 4.3515, 12.8325, 25.7448
+#: Least standard deviation of each dimension: symbols, repeats and repeated lines are none in nearly every text, where a ridge without
+#: a meaning would reject each text that has one. x0 to x4 can each be over the cut-off by itself.
+FLOORS = (0.01, 0.05, 0.03, 0.1, 0.05)
 
 
+#: Language and source of the fit of all rows.
+EVERY = "\0\0\0"
 #: Groups whose fits are broadcast, at about 250 bytes each; more are joined by shuffle.
 MOST_GROUPS = 20_000
 
@@ -105,7 +108,8 @@ def fit_mcd(rows: DataFrame, keys: list[str], share: float = 0.75, steps: int =
     In: rows with keys and x0 .. x4, to be read many times (written). Out: a row per group with m0.., c00.. and ``scale``,
     which makes the median squared distance that of a chi-squared variable. The starts are the rows nearest to the
     median by MAD-scaled distance, summed or at its largest; each step refits on the ``share`` of rows of least distance;
-    the start whose last covariance has the smaller determinant stays. A group's aggregates are sums and quantile
+    the start whose last covariance has the smaller determinant stays, and is fitted once more on all rows within the 97.5 %
+    quantile of its scaled distances, since the share alone takes the spread of rare statistics for nought. A group's aggregates are sums and quantile
     sketches of bounded size, combined before the shuffle, so a group may hold any share of all rows.
     """
     p = len(DIMENSIONS)
@@ -124,10 +128,14 @@ def fit_mcd(rows: DataFrame, keys: list[str], share: float = 0.75, steps: int =
     halves = at.groupBy(*group).agg(F.first("log_det").alias("log_det"), (F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("scale"))
     best = halves.groupBy(*keys).agg(F.min_by(F.struct("start", "scale"), F.struct("log_det", "start")).alias("_b"))
     best = best.select(*keys, F.col("_b.start").alias("start"), F.greatest("_b.scale", F.lit(1.0)).alias("scale"))
-    return written(fits.join(best, group).drop("start"), "mcd")
+    raw = written(fits.join(best, group).drop("start"), "mcd-raw")
+    inner = with_distance(rows, raw, keys, ["scale"])
+    fits = written(moments(inner, keys, F.col("d2") <= CHI2_INNER * F.col("scale")), "mcd-inner")
+    scales = with_distance(rows, fits, keys).groupBy(*keys).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+    return written(fits.join(scales, keys), "mcd")
 
 
-def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40, min_words: int = 50, most_repeated: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def judge_quality(docs: DataFrame, cutoff: float = CHI2_CUTOFF, least_group: int = 40, min_words: int = 50, most_repeated: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """Reject short or repetitive texts, and outliers of their language and source.
 
     In: doc_id, text, lang, source (others are ignored). Out: a row per input row with doc_id, the five statistics,
@@ -136,8 +144,8 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
 
     A text of under ``min_words`` words or with over ``most_repeated`` percent of its words in repeated three-word windows
     fails the base rules. The others of each (lang, source), nulls being a value of their own, give a minimum-covariance-
-    determinant fit; those over ``cutoff`` are rejected. Sources of fewer than ``least_group`` such rows are taken together by language; if
-    there are still fewer, none is rejected.
+    determinant fit; those over ``cutoff`` are rejected. Sources of fewer than ``least_group`` such rows are taken together by language;
+    languages of still fewer are held against a fit of all rows. Only where all rows are fewer, none is rejected.
     Repeated rows each count and each get a row; an empty table gives an empty table. Only DataFrame functions are used.
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
@@ -150,9 +158,14 @@ def judge_quality(docs: DataFrame, cutoff: float = 100.0, least_group: int = 40,
     stats = stats.join(own, ["_l", "_s0"], "left").withColumn("_g", F.when(F.col("_own"), F.col("_s0")).otherwise("\0\0")).drop("_own")
     good = stats.filter(~F.col("base_failed"))
     keys = ["_l", "_g"]
-    large = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group).select(*keys)
-    large = broadcast_if_small(written(large, "quality-groups"), MOST_GROUPS)
-    fits = broadcast_if_small(fit_mcd(good.join(large, keys).select(*keys, *DIMENSIONS), keys), MOST_GROUPS)
+    counts = written(good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "quality-groups")
+    large = broadcast_if_small(counts.filter(F.col("_n") >= least_group).select(*keys, F.lit(True).alias("_large")), MOST_GROUPS)
+    fitted = good.join(large, keys).select(*keys, *DIMENSIONS)
+    if not counts.filter(F.col("_n") < least_group).isEmpty() and counts.agg(F.sum("_n")).first()[0] >= least_group:
+        # languages of few rows are a group whose fit is of all rows
+        stats = stats.join(large, keys, "left").withColumns({k: F.when(F.col("_large"), F.col(k)).otherwise(EVERY) for k in keys}).drop("_large")
+        fitted = fitted.unionByName(good.select(*[F.lit(EVERY).alias(k) for k in keys], *DIMENSIONS))
+    fits = broadcast_if_small(fit_mcd(fitted, keys), MOST_GROUPS)
     judged = with_scores(stats, fits, keys)
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     return judged.select(id_or_null("_d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", verdict.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
