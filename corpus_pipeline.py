@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import id_or_lowest, written
 from tracewell.llm.decontaminate import decontaminate
 from tracewell.llm.jaccard_join import jaccard_components
 from tracewell.llm.line_dedup import dedup_lines
@@ -35,14 +35,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; of repeated rows of it, one."""
-    groups = jaccard_components(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    id_of = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    chosen = docs.withColumn("_id", id_of).join(kept.select(id_of.alias("_id")), "_id", "left_semi")
-    many = chosen.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
-    again = chosen.join(many, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
-    return chosen.join(many, "_id", "left_anti").select(*COLUMNS).unionByName(again)
+    """Of each group of near duplicates the document with the smallest doc_id stays; of repeated rows of it, one.
+
+    A row's key is a hash of its doc_id and text, so that rows under a null or repeated doc_id go only if their texts are near or equal.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_k", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+    groups = jaccard_components(rows.select(F.col("_k").alias("doc_id"), "text")).select(F.col("doc_id").alias("_k"), "component_id").distinct()
+    ids = rows.select("_k", id_or_lowest("doc_id").alias("_id")).distinct()
+    kept = ids.join(groups, "_k").groupBy("component_id").agg(F.min_by("_k", F.struct("_id", "_k")).alias("_k")).select("_k")
+    chosen = rows.join(kept, "_k", "left_semi")
+    many = chosen.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k")
+    again = chosen.join(many, "_k", "left_semi").groupBy("_k").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
+    return chosen.join(many, "_k", "left_anti").select(*COLUMNS).unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,15 @@ def test_odd_rows_pass_through(spark):
         empty = stage(spark, docs.limit(0), SF_DIR)
         assert empty.columns == rows.columns and empty.count() == 0 and rows.count() >= 0
     assert P.near_duplicates(spark, docs, SF_DIR).filter(F.col("doc_id") == 3).count() == 1
+
+
+def test_different_texts_under_null_or_repeated_ids_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(None, text(k)) for k in range(20)] + [(None, text(0)), (None, text(1) + " more")] + [(7, text(k)) for k in range(30, 40)]
+    rows += [(7, text(30)), (7, text(31) + " more"), (8, text(32)), (5, text(33)), (9, text(50)), (9, text(50))]
+    rows += [(None, None), (None, ""), (11, ""), (11, ""), (12, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, SF_DIR).collect()]
+    first = {t.removesuffix(" more") for _, t in got if t}
+    assert first == {text(k) for k in (*range(20), *range(30, 40), 50)} and len(got) == 31 + 3
+    assert (5, text(33)) in got and (7, text(33)) not in got and (8, text(32)) not in got and sum(d is None for d, _ in got) == 21
