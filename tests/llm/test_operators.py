@@ -213,6 +213,24 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark).limit(0)).collect() == []
 
 
+def test_license_neighbours_have_their_own_names(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd = "Redistributions in binary form must reproduce the above copyright notice in the documentation and/or other materials provided with the distribution. "
+    third = "3. Neither the name of Example nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS 'AS IS'"
+    said = [
+        (gnu.format("", 2), {"GPL", "GPL-2.0"}), (gnu.format("", 3), {"GPL", "GPL-3.0"}), (gnu.format("Affero ", 3), {"AGPL-3.0"}),
+        (gnu.format("Lesser ", "2.1"), {"LGPL-2.1"}), (gnu.format("Lesser ", 3), {"LGPL-3.0"}),
+        ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", {"GPL-2.0"}), ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", {"LGPL-3.0"}),
+        (bsd + end, {"BSD-2-Clause"}), (bsd + third + end, {"BSD-3-Clause"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", {"ISC"}),
+    ]
+    got = {i: set() for i in range(len(said))}
+    for r in license_scan.scan_licenses(docs(spark, [(i, t) for i, (t, _) in enumerate(said)])).collect():
+        got[r.doc_id].add(r.license)
+    assert got == {i: names for i, (_, names) in enumerate(said)}
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
