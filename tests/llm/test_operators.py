@@ -146,8 +146,7 @@ def test_packing(spark):
     texts += [" ".join(rng.choice(["The", "model", "läuft", "x=1;", "\n"]) for _ in range(rng.randint(1, 2500))) for _ in range(12)]
     rows = list(enumerate(texts)) + [(2, texts[2]), (None, "q")]
     path = public_tokenizers.path("byte_bpe_50k.json")
-    files = (path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = packing.pack_documents(docs(spark, rows), *files).collect()
+    out = packing.pack_documents(docs(spark, rows).withColumn("ids", F.lit(1)), path).collect()
     tokenizer = Tokenizer.from_file(path)
     assert sorted(r.sequence_id for r in out) == list(range(len(out)))
     assert [r.length for r in sorted(out, key=lambda r: r.sequence_id)] == sorted((r.length for r in out), reverse=True)
@@ -157,7 +156,16 @@ def test_packing(spark):
         ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in own][:: 2 if doc == 2 else 1])
         assert ids.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], doc
         assert {r.doc_tokens for r in own} == {len(ids)}
-    assert packing.pack_documents(docs(spark).limit(0), *files).collect() == []
+    assert packing.pack_documents(docs(spark).limit(0), path).collect() == []
+
+
+@pytest.mark.parametrize("text", ["\n" * 1_000_000 + "x", " " * 1_000_000 + "x", "word One  two\tthree's " * 60_000, "日本語" * 100_000])
+def test_packing_of_very_long_texts(spark, text):
+    """White space without end, and texts that are encoded in parts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = packing.pack_documents(docs(spark, [(1, text)]), path).orderBy("start").collect()
+    ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in out])
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
 
 
 CHAT = [

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import base64
+import functools
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,54 +20,77 @@ PIECES = "_d long, start long, length long, ids binary, doc_tokens long, part in
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Rows of the offset table (a length, a task, a number) up to which it is broadcast: about 5 MB.
 MOST_OFFSETS = 200_000
-
-
-class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
-
-    The tokenizer file decides. Its vocabulary as ranks gives the same ids several times faster; the first texts of every
-    task are held against the tokenizer itself, and texts with its special tokens are its own.
-    """
-
-    def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str, compared: int = 3) -> None:
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.left = compared
-
-    def __call__(self, text: str) -> bytes:
-        special = any(x in text for x in self.special)
-        if not special:
-            ids = self.fast.encode_ordinary(text)
-        if special or self.left > 0:
-            own = self.tokenizer.encode(text, add_special_tokens=False).ids
-            if not special and own != list(ids):
-                raise ValueError("the ranks are not those of the tokenizer")
-            ids, self.left = own, self.left - 1
-        return np.array(ids, "<u4").tobytes()
-
-
-def lengths(tokens: int, most: int) -> list[int]:
-    """The binary decomposition of a token count: as many pieces of ``most`` as fit, then one for each set bit."""
-    rest = tokens % most
-    return [most] * (tokens // most) + [1 << k for k in range(most.bit_length() - 1, -1, -1) if rest >> k & 1]
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, most: int = 1024, end_id: int = 0) -> DataFrame:
+#: Characters that the tokenizer encodes at a time; a longer text is cut where no token can cross.
+PART = 1 << 18
+#: A place that byte-level pre-tokenizing always cuts at: before a space between two ASCII letters.
+CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+
+
+@functools.cache
+def tokenizer_of(path: str):
+    """The tokenizer of a file, once a worker process; Spark's tasks are its parallelism."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def parts_of(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about ``most`` characters whose tokens together are the text's; a stretch without a place to cut is whole."""
+    at = 0
+    while len(text) - at > most:
+        found = CUT.search(text, at + most)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def encoded(path: str, texts: list[str], end_id: int, most: int = PART) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts: the first one's number, all their token ids with ``end_id`` after each text, and each one's number of ids."""
+    tokenizer = tokenizer_of(path)
+    end = np.array([end_id], np.uint32)
+    first = 0
+    while first < len(texts):
+        to, held = first, 0
+        while to < len(texts) and (to == first or held + len(texts[to]) <= most):
+            held += len(texts[to])
+            to += 1
+        ids: list[np.ndarray] = []
+        counts = np.ones(to - first, np.int64)
+        if to == first + 1 and held > most:
+            for part in parts_of(texts[first], most):
+                ids.append(np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32))
+                counts[0] += len(ids[-1])
+            ids.append(end)
+        else:
+            for i, one in enumerate(tokenizer.encode_batch_fast(texts[first:to], add_special_tokens=False)):
+                own = one.ids
+                counts[i] += len(own)
+                ids += [np.array(own, np.uint32), end]
+        yield first, np.concatenate(ids), counts
+        first = to
+
+
+def piece_lengths(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of the binary decomposition of token counts: as many pieces of ``most`` as fit, then one for each set bit."""
+    full, bits = tokens // most, [1 << k for k in range(most.bit_length() - 2, -1, -1)]
+    times = np.column_stack([full, *[(tokens % most & bit > 0).astype(np.int64) for bit in bits]])
+    doc = np.repeat(np.arange(len(tokens)), times.sum(axis=1))
+    return doc, np.repeat(np.tile([most, *bits], len(tokens)), times.ravel())
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int = 0) -> DataFrame:
     """Cut each document's tokens into pieces of power-of-two length; pieces of equal length are numbered together.
 
-    In: doc_id, text (others are ignored); ``ranks_path`` and ``pattern`` are the tokenizer's vocabulary as ranks and its pre-token pattern. Out: a row per piece with
-    doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens (with the closing ``end_id``), sequence_id
+    In: doc_id, text (others are ignored); ``tokenizer_path`` is a file of a byte-level tokenizer. Out: a row per piece with doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens (with the closing ``end_id``), sequence_id
     and offset (always 0: a sequence is one piece). Sequence ids are gapless from 0 and ordered by length, the longest
     first, so a range of ids is a bucket of equally long sequences and a batch needs no padding.
 
     Null or empty text is ``end_id`` alone. A null doc_id stays null. Repeated rows are packed each by itself. An empty table gives an
-    empty table. A very long text is cut like any other and is held by one task only as one string.
+    empty table. A very long text is encoded in parts, cut where its tokens are anyway; only a stretch of it without a space
+    between letters is encoded at once. Input columns with the result's names are ignored like all others.
 
     Pieces are written once with their place among the pieces of equal length of their task; the offset of a task and
     length is a running sum over their counts. That table has a row per task and length; it is broadcast if it is small,
@@ -75,28 +100,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
         raise ValueError("the longest sequence must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(tokenizer_path, ranks_path, pattern), TaskContext.get().partitionId()
-        last, places = end_id.to_bytes(4, "little"), {}
+        part = TaskContext.get().partitionId()
+        places = np.zeros(most.bit_length(), np.int64)  # pieces so far, by the logarithm of their length
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + last
-                tokens, at = len(ids) // 4, 0
-                for n in lengths(tokens, most):
-                    places[n] = places.get(n, -1) + 1
-                    rows.append((doc, at, n, ids[4 * at : 4 * (at + n)], tokens, part, places[n]))
-                    at += n
-                held += len(ids)
-                if held > 8 << 20:
-                    yield table(rows)
-                    rows, held = [], 0
-            yield table(rows)
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-        columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], NAMES)
+            docs = batch.column(0).to_numpy()
+            for first, ids, counts in encoded(tokenizer_path, batch.column(1).fill_null("").to_pylist(), end_id):
+                doc, length = piece_lengths(counts, most)
+                ends = np.cumsum(length)
+                # pieces follow each other as the ids do, so the ids are the column's bytes as they are
+                bounds = np.append(0, ends * 4).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+                kind = np.log2(length).astype(np.int64)
+                place = np.empty(len(doc), np.int64)
+                for k in np.unique(kind):
+                    at = np.flatnonzero(kind == k)
+                    place[at] = places[k] + np.arange(len(at))
+                    places[k] += len(at)
+                start = ends - length - (np.cumsum(counts) - counts)[doc]
+                columns = [pa.array(docs[first + doc]), pa.array(start), pa.array(length), held, pa.array(counts[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
 
     pieces = written(docs.select(id_or_lowest("doc_id").alias("_d"), F.col("text")).mapInArrow(cut, PIECES), "pieces", "zstd")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("_n"))
