@@ -48,11 +48,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial hash of data[:i]; the hash of data[s:e] is (P[e] - P[s]) / BASE**s."""
+#: A second value of each byte, for a second hash: 64 bits without order.
+BYTE_VALUES = mix(np.arange(1000, 1256, dtype=np.uint64))
+
+
+def prefix_hashes(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """P with P[i] the polynomial hash of data[:i]; the hash of data[s:e] is (P[e] - P[s]) / BASE**s. ``values`` has each byte's value, else it is itself + 1."""
     POWERS.reach(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * POWERS.up[: len(data)], out=out[1:])
+    terms = data.astype(np.uint64) + np.uint64(1) if values is None else values[data]
+    np.cumsum(terms * POWERS.up[: len(data)], out=out[1:])
     return out
 
 
