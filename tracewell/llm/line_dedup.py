@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BLANKS, ascii_lower, id_or_lowest, id_or_null
+from tracewell.llm.common import BLANKS, ascii_lower, id_or_lowest, id_or_null, written
 
 
 def line_key(line: Column) -> Column:
@@ -24,8 +24,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: t
     id with different texts count as one document and are each cut by themselves. An empty table gives an empty table.
 
     Only hashes travel: a line is an id, a position and a 128-bit hash. A line that a third of all documents hold is
-    counted after map-side aggregation, and the join that brings counts back can be split by Spark at a hot hash, since it is a
-    plain inner equi-join. Texts are shuffled once, to meet their own flags.
+    counted after map-side aggregation. The hashes to drop are written, so that they are a bare side of the join that brings them back: Spark broadcasts them where they are
+    small, and beyond that splits the lines of a hot hash over tasks. Texts are shuffled once, to meet their own flags.
     """
     base = docs.select(
         id_or_lowest("doc_id").alias("_d"),
@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: t
         .filter(F.col("_n") >= min_docs)
     )
     cut = (
-        lines.join(common, ["_h", "_h2"])
+        lines.join(written(common, "lines-common"), ["_h", "_h2"])
         .filter(F.col("_d") != F.col("_last"))
         .groupBy("_d", "_v")
         .agg(F.sort_array(F.collect_set("_p")).alias("_cut"))
