@@ -80,6 +80,36 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark).limit(0)).collect() == []
 
 
+def test_sharding_of_odd_texts(spark):
+    """Sizes and checksums of all rows, with columns named like the result's and a very long text."""
+    texts = [None, "", "é", "a\n" * 2_000_000, "x" * 70_000, "\x00", "🙂 text"]
+    rows = table(spark, [(i, t, "x", "x") for i, t in enumerate(texts)], "doc_id long, text string, size string, slot string")
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.shard_documents(rows, 3).collect()}
+    assert got == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+
+
+def spark_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_common_line_is_split(spark):
+    """Where the lines to drop are too many for a broadcast, Spark splits the lines of a hot hash."""
+    rows = [(i, f"{LINE}\n" * 40 + f"own line number {i} of this text\n" + f"a line that some documents hold {i // 4}") for i in range(400)]
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    old = {k: spark.conf.get(k) for k in small}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        data = docs(spark, rows).repartition(8)
+        assert "skew=true" in spark_plan(line_dedup.dedup_lines(data).select("doc_id", "n_dropped"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_jump_is_the_published_function():
     def jump(key, n):
         b, j = -1, 0

@@ -17,10 +17,12 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a new one (tests); a cluster must name it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = context._jsc.sc().getCheckpointDir().get()
@@ -53,17 +55,16 @@ def id_or_null(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 512) -> DataFrame:
+def gapless(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Number the rows of each key 0, 1, 2 ... in a new column, without bringing a key together in one task.
 
-    Rows are dealt to ``buckets`` hash buckets of ``order``; a bucket's rows are numbered by a window, and the number of
-    rows in a key's earlier buckets is added. The table of offsets has at most keys x buckets rows, so callers whose keys
-    are few (shards, length classes) may have it broadcast; Spark decides by its size. Ties in ``order`` are
-    numbered arbitrarily among equal rows.
+    Rows are written with the task that wrote them; a window numbers each key's rows of a task, and the number of its
+    rows in earlier tasks is added. Tasks grow in number with the rows, so neither a key with most rows nor repeated rows fill one. The
+    table of offsets has a row per key and task, so callers' keys are few (shards, length classes).
     """
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    held = written(df.withColumns({"_b": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "numbered")
+    counts = held.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return dealt.withColumn("_r", inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o")
+    offsets = written(counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")), "offsets")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_i"))
+    return held.withColumn("_r", inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col("_o") + F.col("_r") - 1).drop("_b", "_i", "_r", "_o")

@@ -47,7 +47,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: bool = True) -> Da
 
     A null doc_id is a key like any other. Repeated rows share a shard and get slots of their own. Null and empty texts
     have size 8 and checksum 0. An empty table gives an empty table. Texts are not shuffled: only ids, sizes and
-    checksums are, for the slots; a shard's slots come from 512 buckets, so no task holds a shard.
+    checksums are, for the slots; a shard's slots come from the tasks that wrote its rows, so no task holds a shard.
+    A very long text is measured where it is read; input columns with the result's names are ignored.
     """
     mixed = F.xxhash64(F.col("_d"))
     base = docs.select(
@@ -62,5 +63,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: bool = True) -> Da
         jump_shard(shards + 1)(mixed).alias("grown_shard"),
     )
     if slots:
-        placed = gapless(placed, ["shard"], ["_d", "size", "text_crc32"], "slot")
+        placed = gapless(placed, ["shard"], "slot")
     return placed.withColumn("doc_id", id_or_null("_d")).drop("_d")
