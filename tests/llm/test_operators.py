@@ -311,13 +311,91 @@ def test_quality_judges_each_statistic_alone(spark):
     assert all(got[d].kept for d, _ in clean + some)
 
 
-def test_quality_holds_small_languages_against_all_rows(spark):
+def brute_quantile(x, q):
+    return np.sort(x)[max(int(np.ceil(q * len(x))) - 1, 0)]
+
+
+def brute_distance(x, centre, cov):
+    away = x - centre
+    return np.einsum("ij,ij->i", away, np.linalg.solve(cov, away.T).T)
+
+
+def brute_mcd(x, least, share=0.75):
+    """Centre and scaled covariance of one group's rows."""
+    ridge = np.diag(np.square(least))
+    moments = lambda rows: (rows.mean(axis=0), np.atleast_2d(np.cov(rows.T, bias=True)) + ridge)
+    scale = lambda d2: max(brute_quantile(d2, 0.5) / quality.CHI2_MEDIAN, 1.0)
+    middle = np.array([brute_quantile(c, 0.5) for c in x.T])
+    away = np.abs(x - middle)
+    z = np.square(away / (1.4826 * np.array([brute_quantile(c, 0.5) for c in away.T]) + least))
+    best = None
+    for d2 in (z.sum(axis=1), z.max(axis=1)):
+        for _ in range(3):
+            fit = moments(x[d2 <= brute_quantile(d2, share)])
+            d2 = brute_distance(x, *fit)
+        if best is None or np.linalg.slogdet(fit[1])[1] < best[0]:
+            best = np.linalg.slogdet(fit[1])[1], d2
+    centre, cov = moments(x[best[1] <= quality.CHI2_INNER * scale(best[1])])
+    return centre, cov * scale(brute_distance(x, centre, cov))
+
+
+def brute_verdicts(rows, prior=40):
+    """d2 by doc_id of (doc_id, text, lang, source), by the same rules in plain loops."""
+    x, groups = {}, {}
+    for d, t, lang, source in rows:
+        n, chars, symbols, lines, repeats = brute_statistics(t)
+        if n >= 50 and 100 * repeats <= 50 * n:
+            x[d] = np.array([np.log1p(n), np.log((chars + 1) / (n + 1)), *[np.sqrt(a / b) for a, b in ((symbols, chars + 1), (repeats, n + 1), (lines, n + 1))]])
+            groups[d] = (lang, source)
+    every = np.array(list(x.values()))
+    words = np.expm1(brute_quantile(every[:, 0], 0.5))
+    least = np.array(quality.least_deviations(words, np.exp(brute_quantile(every[:, 1], 0.5)) * (words + 1) - 1))
+
+    def mixed(own, parent, apart=1):
+        n, (m, c), (pm, pc) = len(own), brute_mcd(own, least), parent
+        w = n / (n + prior)
+        return w * m + (1 - w) * pm, w * c + (1 - w) * pc + apart * w * (1 - w) * np.outer(m - pm, m - pm)
+
+    plain = every.mean(axis=0), np.cov(every.T, bias=True) + np.diag(np.square(least))
+    whole, out = mixed(every, plain), {}
+    for lang in {g[0] for g in groups.values()}:
+        language = mixed(np.array([x[d] for d in x if groups[d][0] == lang]), whole)
+        for source in {g[1] for g in groups.values() if g[0] == lang}:
+            held = [d for d in x if groups[d] == (lang, source)]
+            fit = mixed(np.array([x[d] for d in held]), language, 0)
+            out |= dict(zip(held, brute_distance(np.array([x[d] for d in held]), *fit), strict=True))
+    return out
+
+
+def test_quality_is_the_brute_force_fit(spark):
+    """Groups of every size, from one row up, null languages and sources, a whole table of few rows."""
     rng = random.Random(13)
-    text = lambda mark: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7))) + mark for _ in range(200))
-    rows = [(i, text(""), "en" if i < 100 else "de") for i in range(110)] + [(200, text("##"), "de"), (201, text("##"), None), (202, text(""), None)]
-    table_of = table(spark, [(d, t, lang, "s") for d, t, lang in rows], "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: (r.kept, r.d2 is None) for r in quality.judge_quality(table_of).collect()}
-    assert len(got) == 113 and {d for d, x in got.items() if not x[0]} == {200, 201} and not any(x[1] for x in got.values())
+    text = lambda mark, n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7))) + mark * (rng.random() < 0.9) for _ in range(n))
+    rows = [(i, text("", rng.randint(60, 300)) + "\nx y" * (i % 9 == 0), ["en", "en", "en", "de", None][i % 5], ["a", "b", "c", None][i % 4 if i % 7 else 0]) for i in range(260)]
+    rows += [(300 + i, text("##", 200), "en", "a") for i in range(6)] + [(400, text("#", 100), "fr", "z"), (401, text("", 100), "fr", "y"), (402, "short", "fr", "y")]
+    table_of = lambda rows: table(spark, rows, "doc_id long, text string, lang string, source string")
+    for part in (rows, rows[:7]):
+        got = {r.doc_id: r for r in quality.judge_quality(table_of(part)).collect()}
+        expected = brute_verdicts(part)
+        assert {d for d, r in got.items() if r.d2 is not None} == set(expected)
+        for d, d2 in expected.items():
+            assert got[d].d2 == pytest.approx(d2, rel=1e-6) and got[d].kept == (d2 <= quality.CHI2_CUTOFF)
+    assert {d for d, r in {r.doc_id: r for r in quality.judge_quality(table_of(rows)).collect()}.items() if not r.kept} == {300, 301, 302, 303, 304, 305, 400, 402}
+
+
+def test_quality_of_a_very_long_text_and_clashing_names(spark):
+    rng = random.Random(14)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300_000))
+    rows = table(spark, [(1, long, "en", "s", 1, 1), (2, long[:900], "en", "s", 1, 1)], "doc_id long, text string, lang string, source string, n_words int, d2 int")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed) for r in quality.judge_quality(rows).collect()}
+    assert got == {1: (300_000, brute_statistics(long)[4], False), 2: (129, 0, False)}
+
+
+def test_quality_joins_by_broadcast(spark):
+    """No row meets its group's fit by a shuffle on the group."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 89}{k % 13}" for k in range(60 + i % 40)), "en", "s") for i in range(60)]
+    out = quality.judge_quality(table(spark, rows, "doc_id long, text string, lang string, source string"))
+    assert "SortMergeJoin" not in spark_plan(out) and "BroadcastHashJoin" in spark_plan(out)
 
 
 def test_robust_fit_resists_outliers(spark):
@@ -326,11 +404,10 @@ def test_robust_fit_resists_outliers(spark):
     outer = rng.normal(12, 0.5, (150, 5))
     rows = [("g", *map(float, x)) for x in np.vstack([inner, outer])]
     data = table(spark, rows, "k string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    fit = quality.fit_mcd(data, ["k"]).first()
-    assert all(abs(fit[f"m{i}"]) < 0.3 for i in range(5))
-    distance = quality.with_distance(data, quality.fit_mcd(data, ["k"]), ["k"]).collect()
-    assert min(r.d2 for r in distance[800:] if r.x0 > 6) > 100 if any(r.x0 > 6 for r in distance[800:]) else True
-    assert sum(r.d2 > 100 for r in distance) == 150
+    fit = quality.fit_mcd(data, ["k"], [0.01] * 5).first()
+    assert fit.n == 950 and all(abs(fit[f"m{i}"]) < 0.3 for i in range(5))
+    distance = quality.with_distance(data, quality.fit_mcd(data, ["k"], [0.01] * 5), ["k"]).collect()
+    assert sum(r.x0 > 6 for r in distance) == 150 and all((r.d2 > 100) == (r.x0 > 6) for r in distance)
 
 
 @pytest.mark.parametrize("held", [500_000, 7])

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import BLANKS, broadcast_if_small, id_or_lowest, id_or_null, written
 
-#: Quantiles (50, 97.5 and 99.99 %) of the chi-squared distribution with as many degrees of freedom as there are transformed statistics.
 DIMENSIONS = ("x0", "x1", "x2", "x3", "x4")
+#: Quantiles (50, 97.5 and 99.99 %) of the chi-squared distribution with as many degrees of freedom as there are transformed statistics.
 CHI2_MEDIAN, CHI2_INNER, CHI2_CUTOFF = 4.3515, 12.8325, 25.7448
-#: Least standard deviation of each dimension: symbols, repeats and repeated lines are none in nearly every text, where a ridge without
-#: a meaning would reject each text that has one. x0 to x4 can each be over the cut-off by itself.
-FLOORS = (0.01, 0.05, 0.03, 0.1, 0.05)
-
-
-#: Language and source of the fit of all rows.
-EVERY = "\0\0\0"
+#: Stands for a null, and for every language or source in the fits of more than one.
+NULL, EVERY = "\0", "\0\0"
 #: Groups whose fits are broadcast, at about 250 bytes each; more are joined by shuffle.
 MOST_GROUPS = 20_000
+#: Relative error of quantiles is at most one in so many; groups of fewer rows have exact ones.
+QUANTILES = 10_000
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -67,11 +66,24 @@ def transformed() -> dict[str, Column]:
     }
 
 
-def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], more: list[str] = ()) -> DataFrame:
-    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, by a Cholesky factor in columns;
-    and the fits' columns named in ``more``."""
+def least_deviations(words: float, chars: float) -> list[float]:
+    """The least standard deviation of each dimension: half of what one event of its statistic changes in a text of so many words and characters in words.
+
+    The events are a word, a symbol, a three-word window said twice (six words) and a line said twice; a mean word length has the error of a mean of words
+    whose lengths deviate by half. Symbols, repeats and repeated lines are
+    none in most texts, so that the spread of the innermost rows is nought and any text with a single one would be far out.
+    """
+    return [0.5 / (words + 1), 0.5 / (words + 1) ** 0.5, 0.5 / (chars + 1) ** 0.5, 0.5 * (6 / (words + 1)) ** 0.5, 0.5 / (words + 1) ** 0.5]
+
+
+def covariances() -> list[str]:
+    return [f"c{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)]
+
+
+def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, and log_det, by a Cholesky factor in columns."""
     p = len(DIMENSIONS)
-    fits = fits.select(*keys, *more, *[F.col(f"m{i}") for i in range(p)], *[F.col(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    fits = fits.select(*keys, *[f"m{i}" for i in range(p)], *covariances())
     for i in range(p):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -81,8 +93,8 @@ def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], more: list[
     det = F.lit(0.0)
     for i in range(p):
         det = det + 2 * F.log(F.col(f"l{i}{i}"))
-    fits = fits.withColumn("log_det", det).drop(*[f"c{i}{j}" for i in range(p) for j in range(i + 1)])
-    out = rows.join(fits, keys)
+    factors = written(fits.withColumn("log_det", det).drop(*covariances()), "mcd-factors")
+    out = rows.join(broadcast_if_small(factors, MOST_GROUPS), keys, how)
     total = F.lit(0.0)
     for i in range(p):
         step = F.col(DIMENSIONS[i]) - F.col(f"m{i}")
@@ -90,90 +102,109 @@ def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], more: list[
             step = step - F.col(f"l{i}{j}") * F.col(f"z{j}")
         out = out.withColumn(f"z{i}", step / F.col(f"l{i}{i}"))
         total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.withColumn("d2", total).select(*rows.columns, *more, "log_det", "d2")
+    return out.withColumn("d2", total).select(*rows.columns, "log_det", "d2")
 
 
-def moments(rows: DataFrame, keys: list[str], inside: Column) -> DataFrame:
-    """Centre and floored covariance of each group's rows that are inside."""
+def moments(rows: DataFrame, keys: list[str], inside: Column, least: list[float]) -> DataFrame:
+    """Centre and covariance of each group's rows that are inside, with the squares of ``least`` added to the variances; n is the number of all its rows."""
     p = len(DIMENSIONS)
     x = [F.when(inside, F.col(d)) for d in DIMENSIONS]
     means = [F.avg(x[i]).alias(f"m{i}") for i in range(p)]
-    floor = lambda i, j: F.lit(FLOORS[i] ** 2 if i == j else 0.0)
-    return rows.groupBy(*keys).agg(*means, *[(F.covar_pop(x[i], x[j]) + floor(i, j)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    ridge = lambda i, j: F.lit(least[i] ** 2 if i == j else 0.0)
+    sums = [(F.covar_pop(x[i], x[j]) + ridge(i, j)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(*means, *sums, F.count(F.lit(1)).alias("n"))
 
 
-def fit_mcd(rows: DataFrame, keys: list[str], share: float = 0.75, steps: int = 3) -> DataFrame:
+def fit_mcd(rows: DataFrame, keys: list[str], least: list[float], share: float = 0.75, steps: int = 3) -> DataFrame:
     """Minimum-covariance-determinant centre and covariance of each group, by concentration steps from two starts.
 
-    In: rows with keys and x0 .. x4, to be read many times (written). Out: a row per group with m0.., c00.. and ``scale``,
-    which makes the median squared distance that of a chi-squared variable. The starts are the rows nearest to the
+    In: rows with keys and x0 .. x4, to be read many times (written). Out: a row per group with n, m0.. and c00..,
+    scaled so that the median squared distance is that of a chi-squared variable, if that is more. The starts are the rows nearest to the
     median by MAD-scaled distance, summed or at its largest; each step refits on the ``share`` of rows of least distance;
     the start whose last covariance has the smaller determinant stays, and is fitted once more on all rows within the 97.5 %
-    quantile of its scaled distances, since the share alone takes the spread of rare statistics for nought. A group's aggregates are sums and quantile
-    sketches of bounded size, combined before the shuffle, so a group may hold any share of all rows.
+    quantile of its scaled distances, since the share alone takes the spread of rare statistics for nought.
+
+    A group may hold any share of all rows: its aggregates are sums and quantile sketches of bounded size, combined before the shuffle, and
+    what comes back to the rows is a written table of a row per group, broadcast, or joined by a shuffle that Spark can split.
     """
-    p = len(DIMENSIONS)
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"q{i}") for i, d in enumerate(DIMENSIONS)])
-    away = rows.join(middle, keys)
-    mads = away.groupBy(*keys).agg(*[F.percentile_approx(F.abs(F.col(d) - F.col(f"q{i}")), 0.5, 1000).alias(f"a{i}") for i, d in enumerate(DIMENSIONS)])
-    centre = written(middle.join(mads, keys), "mcd-centre")
-    scaled = [F.pow((F.col(d) - F.col(f"q{i}")) / (1.4826 * F.col(f"a{i}") + FLOORS[i]), 2.0) for i, d in enumerate(DIMENSIONS)]
+    quantile = lambda c, q: F.percentile_approx(c, q, QUANTILES)
+    scale = F.greatest(quantile(F.col("d2"), 0.5) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
+    given = lambda table, name: broadcast_if_small(written(table, f"mcd-{name}"), MOST_GROUPS)
+    middle = given(rows.groupBy(*keys).agg(*[quantile(F.col(d), 0.5).alias(f"q{i}") for i, d in enumerate(DIMENSIONS)]), "median")
+    away = rows.join(middle, keys).withColumns({f"y{i}": F.abs(F.col(d) - F.col(f"q{i}")) for i, d in enumerate(DIMENSIONS)})
+    mads = given(away.groupBy(*keys).agg(*[quantile(F.col(f"y{i}"), 0.5).alias(f"a{i}") for i in range(len(DIMENSIONS))]), "mad")
+    scaled = [F.pow(F.col(f"y{i}") / (1.4826 * F.col(f"a{i}") + least[i]), 2.0) for i in range(len(DIMENSIONS))]
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), d.alias("d2")) for k, d in enumerate((sum(scaled[1:], scaled[0]), F.greatest(*scaled)))]))
-    at = rows.join(centre, keys).select(*rows.columns, both.alias("_s")).select(*rows.columns, "_s.start", "_s.d2")
+    at = away.join(mads, keys).select(*rows.columns, both.alias("_s")).select(*rows.columns, "_s.start", "_s.d2")
     group = [*keys, "start"]
+    twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for step in range(steps):
-        limit = at.groupBy(*group).agg(F.percentile_approx("d2", share, 1000).alias("_limit"))
-        fits = written(moments(at.join(limit, group), group, F.col("d2") <= F.col("_limit")), f"mcd-{step}")
-        at = with_distance(rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), fits, group)
-    halves = at.groupBy(*group).agg(F.first("log_det").alias("log_det"), (F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("scale"))
+        limit = given(at.groupBy(*group).agg(quantile(F.col("d2"), share).alias("_limit")), f"limit-{step}")
+        fits = written(moments(at.join(limit, group), group, F.col("d2") <= F.col("_limit"), least), f"mcd-{step}")
+        at = with_distance(twice, fits, group)
+    halves = at.groupBy(*group).agg(F.first("log_det").alias("log_det"), scale)
     best = halves.groupBy(*keys).agg(F.min_by(F.struct("start", "scale"), F.struct("log_det", "start")).alias("_b"))
-    best = best.select(*keys, F.col("_b.start").alias("start"), F.greatest("_b.scale", F.lit(1.0)).alias("scale"))
-    raw = written(fits.join(best, group).drop("start"), "mcd-raw")
-    inner = with_distance(rows, raw, keys, ["scale"])
-    fits = written(moments(inner, keys, F.col("d2") <= CHI2_INNER * F.col("scale")), "mcd-inner")
-    scales = with_distance(rows, fits, keys).groupBy(*keys).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return written(fits.join(scales, keys), "mcd")
+    best = written(best.select(*keys, "_b.*"), "mcd-best")
+    inner = with_distance(rows, fits.join(best.select(*group), group), keys).join(given(best.select(*keys, "scale"), "scale"), keys)
+    fits = written(moments(inner, keys, F.col("d2") <= CHI2_INNER * F.col("scale"), least), "mcd-inner")
+    scales = written(with_distance(rows, fits, keys).groupBy(*keys).agg(scale), "mcd-scales")
+    return written(fits.join(scales, keys).withColumns({c: F.col(c) * F.col("scale") for c in covariances()}).drop("scale"), "mcd")
 
 
-def judge_quality(docs: DataFrame, cutoff: float = CHI2_CUTOFF, least_group: int = 40, min_words: int = 50, most_repeated: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def shrunk(own: DataFrame, parent: dict[str, Column], prior_rows: float, apart: bool) -> DataFrame:
+    """Groups' centres and covariances as mixtures with a parent's, which weighs as much as ``prior_rows`` rows; no group is too small for one.
+
+    With ``apart`` the groups are taken to differ as such, and the mixture's covariance has the distance of the two centres in it."""
+    w = F.col("n") / (F.col("n") + F.lit(float(prior_rows)))
+    away = [F.col(f"m{i}") - parent[f"m{i}"] for i in range(len(DIMENSIONS))]
+    mixed = {f"m{i}": w * F.col(f"m{i}") + (1 - w) * parent[f"m{i}"] for i in range(len(DIMENSIONS))}
+    for i in range(len(DIMENSIONS)):
+        for j in range(i + 1):
+            mixed[f"c{i}{j}"] = w * F.col(f"c{i}{j}") + (1 - w) * parent[f"c{i}{j}"] + (w * (1 - w) * away[i] * away[j] if apart else F.lit(0.0))
+    return own.withColumns(mixed)
+
+
+def quality_fits(good: DataFrame, prior_rows: float) -> DataFrame:
+    """A row per language and source (_l, _s0) with the centre and covariance to judge its rows by: its own, shrunk to its language's, which is
+    shrunk to that of all rows, which is shrunk to the plain moments of all rows.
+
+    In: rows with _l, _s0, x0 .. x4 (written). Languages are taken to differ as such, sources of a language are not. In a table of few rows, whose plain spread holds its outliers too, none is far out."""
+    keys = ["_l", "_s0"]
+    names = [*[f"m{i}" for i in range(len(DIMENSIONS))], *covariances()]
+    middle = good.agg(*[F.percentile_approx(d, 0.5, QUANTILES).alias(d) for d in DIMENSIONS]).first()
+    words = math.expm1(middle.x0 or 0.0)
+    least = least_deviations(words, math.exp(middle.x1 or 0.0) * (words + 1) - 1)
+    plain = moments(good.select(*DIMENSIONS), [], F.lit(True), least).first()
+    of_all = {x: F.lit(plain[x] or 0.0) for x in names}
+    levels = F.explode(F.array(*[F.struct(a.alias("_l"), b.alias("_s0")) for a, b in ((F.lit(EVERY), F.lit(EVERY)), (F.col("_l"), F.lit(EVERY)), (F.col("_l"), F.col("_s0")))]))
+    fits = fit_mcd(good.select(levels.alias("_k"), *DIMENSIONS).select("_k.*", *DIMENSIONS), keys, least)
+    everything = shrunk(fits.filter(F.col("_l") == EVERY), of_all, prior_rows, True).first()
+    if everything is None:
+        return fits
+    languages = shrunk(fits.filter((F.col("_l") != EVERY) & (F.col("_s0") == EVERY)), {x: F.lit(everything[x]) for x in names}, prior_rows, True)
+    parents = written(languages.select("_l", *[F.col(x).alias(f"p_{x}") for x in names]), "mcd-languages")
+    sources = fits.filter(F.col("_s0") != EVERY).join(parents, "_l")
+    return written(shrunk(sources, {x: F.col(f"p_{x}") for x in names}, prior_rows, False).select(*keys, "n", *names), "mcd-fits")
+
+
+def judge_quality(docs: DataFrame, cutoff: float = CHI2_CUTOFF, prior_rows: float = 40, min_words: int = 50, most_repeated: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """Reject short or repetitive texts, and outliers of their language and source.
 
     In: doc_id, text, lang, source (others are ignored). Out: a row per input row with doc_id, the five statistics,
-    base_failed, d2 (squared robust distance over the group's scale; null if not judged), kept, and the input columns named
+    base_failed, d2 (squared robust distance; null if not judged), kept, and the input columns named
     in ``keep``, which are written with the statistics, so that no join has to bring them back.
 
     A text of under ``min_words`` words or with over ``most_repeated`` percent of its words in repeated three-word windows
-    fails the base rules. The others of each (lang, source), nulls being a value of their own, give a minimum-covariance-
-    determinant fit; those over ``cutoff`` are rejected. Sources of fewer than ``least_group`` such rows are taken together by language;
-    languages of still fewer are held against a fit of all rows. Only where all rows are fewer, none is rejected.
-    Repeated rows each count and each get a row; an empty table gives an empty table. Only DataFrame functions are used.
+    fails the base rules. The others of each (lang, source), nulls being a value of their own, are held against a minimum-covariance-
+    determinant fit of their group, and those over ``cutoff`` are rejected. A fit is shrunk to that of the language and of all rows, which weigh as
+    much as ``prior_rows`` rows, so a group of any size is judged. Repeated rows each count and each get a row; an empty table gives an
+    empty table; a very long text is one row of array functions. Only DataFrame functions are used.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
     base = text_statistics(docs.select(id_or_lowest("doc_id").alias("_d"), key("lang").alias("_l"), key("source").alias("_s0"), F.col("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     stats = written(base.withColumn("base_failed", failed).withColumns(transformed()), "quality")
-    good = stats.filter(~F.col("base_failed"))
-    own = good.groupBy("_l", "_s0").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group).select("_l", "_s0", F.lit(True).alias("_own"))
-    own = broadcast_if_small(written(own, "quality-groups"), MOST_GROUPS)
-    stats = stats.join(own, ["_l", "_s0"], "left").withColumn("_g", F.when(F.col("_own"), F.col("_s0")).otherwise("\0\0")).drop("_own")
-    good = stats.filter(~F.col("base_failed"))
-    keys = ["_l", "_g"]
-    counts = written(good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "quality-groups")
-    large = broadcast_if_small(counts.filter(F.col("_n") >= least_group).select(*keys, F.lit(True).alias("_large")), MOST_GROUPS)
-    fitted = good.join(large, keys).select(*keys, *DIMENSIONS)
-    if not counts.filter(F.col("_n") < least_group).isEmpty() and counts.agg(F.sum("_n")).first()[0] >= least_group:
-        # languages of few rows are a group whose fit is of all rows
-        stats = stats.join(large, keys, "left").withColumns({k: F.when(F.col("_large"), F.col(k)).otherwise(EVERY) for k in keys}).drop("_large")
-        fitted = fitted.unionByName(good.select(*[F.lit(EVERY).alias(k) for k in keys], *DIMENSIONS))
-    fits = broadcast_if_small(fit_mcd(fitted, keys), MOST_GROUPS)
-    judged = with_scores(stats, fits, keys)
+    fits = quality_fits(stats.filter(~F.col("base_failed")).select("_l", "_s0", *DIMENSIONS), prior_rows)
+    judged = with_distance(stats, fits, ["_l", "_s0"], "left").withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     return judged.select(id_or_null("_d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", verdict.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
-
-
-def with_scores(stats: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """d2 over the group's scale for rows of fitted groups that pass the base rules, null for the others."""
-    judged = with_distance(stats, fits, keys, ["scale"])
-    judged = judged.withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))).drop("log_det", "scale")
-    rest = stats.join(fits.select(*keys), keys, "left_anti").withColumn("d2", F.lit(None).cast("double"))
-    return judged.unionByName(rest)
