@@ -60,14 +60,67 @@ def corpus() -> list[tuple[int, str | None]]:
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("most", "depth"), [(2000, 4), (6, 1)])
-def test_against_brute_force(spark, most, depth):
+@pytest.mark.parametrize("most", [2000, 6])
+def test_against_brute_force(spark, most):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, most=most, depth=depth).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, most=most).collect()}
     assert got == brute(rows)
 
 
+def spied(monkeypatch) -> dict[str, list]:
+    """What the join writes, by name."""
+    seen: dict[str, list] = {}
+    real = jaccard_join.written
+
+    def spy(df, name, *more):
+        out = real(df, name, *more)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    return seen
+
+
+def test_pivots_and_windows_do_the_work(spark, monkeypatch):
+    """Every document that could have a partner is measured against pivots, and what these leave open meets in shells and windows."""
+    seen = spied(monkeypatch)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    jaccard_components(docs).collect()
+    measured, members = seen["distances"][0], seen["members"][0]
+    assert measured.select("p").distinct().count() > 20 and measured.count() > 30
+    assert seen["shells"][0].count() > members.count() >= members.select("_d").distinct().count()
+    linked = measured.filter("linked").count()
+    assert 0 < linked < measured.count()
+
+
+def family(n: int) -> list[tuple[int, str]]:
+    """Texts of one boilerplate that links and breaks at every distance: most are over the reach from each other, some in chains."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(160)]
+    parts = [[f"p{k}x{i}" for i in range(12)] for k in range(14)]
+    out = []
+    for i in range(n):
+        own = words[: rng.randint(100, 160)]
+        for k in rng.sample(range(14), rng.randint(0, 6)):
+            own = own + parts[k]
+        for _ in range(rng.choice([0, 1, 2])):
+            own[rng.randrange(len(own))] = f"own{rng.randrange(40)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_a_large_family_goes_in_bounded_regions(spark, monkeypatch):
+    seen = spied(monkeypatch)
+    rows = family(1500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, most=150).collect()}
+    assert got == brute(rows)
+    assert len({x for _, x in got.values()}) > 3
+    largest = max(r["count"] for r in seen["members"][0].groupBy("region").count().collect())
+    assert largest > 150 and "sizes" in seen  # so the split was needed
+
+
 def test_repeated_rows_nulls_and_empty_table(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v"), (9, "q r s t u v"), (None, "z"), (5, "z"), (7, None)], "doc_id long, text string")
     rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_components(docs).collect())

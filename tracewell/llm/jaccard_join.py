@@ -1,8 +1,10 @@
-"""N-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
+"""N-gram Jaccard join in metric space: pivots, regions around them, triangle-inequality windows, recursion.
 
-Nearly all documents are at distance 1 from each other, where no pivot tells them apart. So the join first leaves out
-what cannot have a partner (a document of which under the threshold's share of shingles is in any other document), then lets the
-rest fall into families that share a rare shingle, and joins each family by pivots.
+Nearly all documents are at distance 1 from each other, so the join first leaves out what cannot have a partner: a document of which under
+the threshold's share of shingles is in any other document. Two of the rest that are linked share one of their rarest shingles, so the
+least holder of each of these is a pivot, and a document is in the region of every pivot that it meets so. Its exact distances to them give links, and
+the shells of a region in which two documents can be near: by the triangle inequality their distances to the pivot differ by the reach at
+most, so a shell is joined with the documents of the next one as its window. Regions that hold more than a task joins are split by further pivots.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from tracewell.llm.hashing import LOWERED, NOT_BLANK, mix, prefix_hashes, shingl
 BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 12 << 20
 #: Documents of a region that one task joins, and pivots by which a larger one is split.
 REGION, PIVOTS = 2000, 16
+#: Bytes of shingle sets that such a region holds at most, unless it is a single document.
+REGION_BYTES = 48 << 20
+#: Pivots whose distances a task keeps to rule out pairs.
+KEPT = 16
 #: Documents that are this far from every pivot make a region of their own.
 FAR = 0.7
 SLACK = 1e-9
@@ -201,9 +207,13 @@ def windows_of(near: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def join_region(sets: Sets, linked: Linked, at: np.ndarray, percent: int) -> None:
-    """Link the documents of a region, exactly: every link between two classes is found, no matter which."""
+    """Link the documents of a region, exactly: every link between two classes is found, no matter which.
+
+    Pivots split it into Voronoi regions with windows, as long as these are smaller together. What is left is joined with each document as a pivot: it is
+    held against those alone that no earlier pivot's distances rule out.
+    """
     reach = 1 - percent / 100
-    while len(at) > 24:
+    while len(at) > 2 * KEPT:
         rng = np.random.default_rng(len(at))
         pivots = rng.choice(at, min(8, len(at) // 8), replace=False)
         near = np.empty((len(at), len(pivots)))
@@ -214,22 +224,63 @@ def join_region(sets: Sets, linked: Linked, at: np.ndarray, percent: int) -> Non
             return
         _, member = windows_of(near, reach)
         if member.sum(axis=0).max() > 0.8 * len(at) or member.sum() > 2 * len(at):
-            break  # pivots don't tell these apart
+            break
         for k in range(member.shape[1]):
             part = at[member[:, k]]
             if len(part) > 1:
                 join_region(sets, linked, part, percent)
         return
-    # by size, so that a document's partners of at least its size are a range
+    # by size, so that a document's partners of at least its size are a range: the empty set as a pivot
     at = at[np.argsort(sets.sizes[at], kind="stable")]
     ends = np.searchsorted(sets.sizes[at] * percent, sets.sizes[at] * 100, "right")
+    near = np.zeros((0, len(at)))
     for i, p in enumerate(at.tolist()):
-        others = at[i + 1 : ends[i]]
-        if len(others):
-            others = others[linked.roots(others) != linked.roots(np.array([p]))[0]]
-        if len(others):
-            both = sets.common(p, others)
-            linked.join(p, others[100 * both >= percent * (sets.sizes[others] + sets.sizes[p] - both)])
+        others = np.arange(i + 1, ends[i])
+        others = others[(np.abs(near[:, others] - near[:, [i]]) <= reach + SLACK).all(axis=0)] if len(others) else others
+        others = others[linked.roots(at[others]) != linked.roots(np.array([p]))[0]] if len(others) else others
+        if not len(others):
+            continue
+        if len(near) < KEPT:  # a pivot for all that follow
+            both, distance = sets.distances(p, at)
+            near, both = np.vstack([near, distance]), both[others]
+        else:
+            both = sets.common(p, at[others])
+        linked.join(p, at[others[100 * both >= percent * (sets.sizes[at[others]] + sets.sizes[p] - both)]])
+
+
+def pivot_distances(percent: int):
+    """A slice of a pivot's documents and the pivot's sets (one, unless rows of one id differ) to rows (p, h, _d, distance, linked), h the set's hash."""
+
+    def run(docs: pa.Table, pivot: pa.Table) -> pa.Table:
+        n, held = docs.num_rows, [np.frombuffer(x.as_buffer(), np.uint64) for x in pivot.column("_shingles")] if pivot.num_rows else []
+        if not n or not held:
+            return pa.table({"p": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "_d": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "linked": pa.array([], pa.bool_())})
+        sets = Sets([np.frombuffer(x.as_buffer(), np.uint64) for x in docs.column("shingles")] + held)
+        at, out = np.arange(n), []
+        for k, own in enumerate(held, n):
+            both, distance = sets.distances(k, at)
+            linked = 100 * both >= percent * (sets.sizes[at] + sets.sizes[k] - both)
+            name = pa.array(np.full(n, int(mix(own).sum().view(np.int64))))
+            out.append(pa.table({"p": column_of(docs, "p"), "h": name, "_d": column_of(docs, "_d"), "distance": pa.array(distance), "linked": pa.array(linked)}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def shells(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Rows (p, h, _d, distance, linked): rows (region, _d) of the shells around pivots in which unconnected documents can be within reach of each other.
+
+    Two documents in reach differ by it at most in their distance to the pivot. A shell is one reach wide, and documents of the next shell are its window.
+    Documents linked with the pivot are connected by it, so they matter only where an unlinked one is within reach.
+    """
+    reach = 1 - percent / 100
+    least = measured.filter("not linked").groupBy("p", "h").agg(F.min("distance").alias("_least"))
+    held = measured.join(written(least, "least"), ["p", "h"]).filter(F.col("distance") >= F.col("_least") - reach - SLACK)
+    ring = F.floor(F.col("distance") / F.lit(reach + SLACK)).cast("int")
+    placed = held.select("_d", F.explode(F.array(F.xxhash64("p", "h", ring), F.xxhash64("p", "h", ring - 1))).alias("region"))
+    placed = written(placed.distinct().join(roots, "_d", "left").select("region", "_d", F.coalesce("root", "_d").alias("_r")), "shells")
+    state = placed.groupBy("region").agg(F.min("_r").alias("_a"), F.max("_r").alias("_z")).filter("_a < _z").select("region")
+    return placed.join(written(state, "open-shells"), "region").select("region", "_d")
 
 
 def region_links(percent: int):
@@ -281,61 +332,62 @@ def split_slice(percent: int):
     return run
 
 
-def join_families(members: DataFrame, families: DataFrame, percent: int, most: int = REGION, depth: int = 4) -> DataFrame:
-    """Links (a, b) within families, rows (region, _d, n, shingles), that connect all that their links connect.
-    ``families`` has a row (region) for each member, without its shingles.
+def sized(members: DataFrame) -> DataFrame:
+    """Documents (_n) and bytes (_bytes) of each region."""
+    return members.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.sum(8 * F.col("n")).alias("_bytes"))
 
-    A family of up to ``most`` documents is a region that one task joins. A larger one is split by pivots, a hashed choice of about PIVOTS
-    of its documents, in slices: documents go to their Voronoi region and to every region whose window they are in. A region that its links to
-    pivots connect is done. One whose windows would copy it more than twice, and what is still large after ``depth`` splits, is joined as
-    pairs of slices, so nothing is left out.
+
+def join_regions(members: DataFrame, percent: int, most: int = REGION, most_bytes: int = REGION_BYTES) -> DataFrame:
+    """Links (a, b) within regions, rows (region, _d, n, shingles; written), that connect all that their links connect.
+
+    A region of up to ``most`` documents and ``most_bytes`` of sets is joined by one task. A larger one is first split by size, since linked sets are nearly equally large,
+    with windows; then by pivots, a hashed choice of about PIVOTS of its documents, in slices: documents go to their Voronoi region and to every region whose window they are in.
+    A region that its links to pivots connect is done; smaller ones are split again. One that neither sizes nor pivots split into parts that are
+    smaller together is joined slice by slice against each other, in tasks of bounded size, so nothing is left out.
     """
-    links, now, sizes = [], members, families.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    for level in range(depth + 1):
-        if level:
-            sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-        large = written(sizes.filter(F.col("_n") > most), "large")
+    links, now, level = [], members, 0
+    grain = F.log(F.lit(100 / percent))
+    while True:
+        large = written(sized(now).filter((F.col("_n") > most) | ((F.col("_bytes") > most_bytes) & (F.col("_n") > 1))), "large")
         if large.isEmpty():
+            links.append(now.groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
             break
-        if not level:
-            now = written(now, "families")
-        small = now.join(large.select("region"), "region", "left_anti")
-        links.append(small.groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
+        links.append(now.join(large.select("region"), "region", "left_anti").groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
         big = now.join(large, "region")
-        slices = F.ceil(F.col("_n") / F.lit(most // 2)).cast("int")
+        if level == 0:
+            bin_ = F.floor(F.log(F.col("n").cast("double")) / grain + 1e-9).cast("int")
+            parted = big.withColumn("_bin", F.explode(F.array(bin_, bin_ - 1)))
+            now, level = written(parted.select(F.xxhash64("region", "_bin").alias("region"), "_d", "n", "shingles"), "sizes"), 1
+            continue
+        slices = F.greatest(F.ceil(F.col("_n") / F.lit(most // 2)), F.ceil(F.col("_bytes") / F.lit(most_bytes // 2))).cast("int")
         big = big.withColumn("_s", F.pmod(F.xxhash64("_d", F.lit(level)), slices).cast("int"))
-        whole = large.select("region")
-        now = None
-        if level < depth:
-            chosen = F.pmod(F.xxhash64("_d", F.lit(level + 100)), F.greatest(F.lit(1), F.col("_n") / F.lit(PIVOTS)).cast("long")) == 0
-            every = F.explode(F.sequence(F.lit(0), slices - 1))
-            pivots = big.filter(chosen).select(F.col("region").alias("_region"), every.alias("_slice"), F.col("_d").alias("_pivot"), F.col("shingles").alias("_shingles"))
-            dealt = big.groupBy("region", "_s").cogroup(pivots.groupBy("_region", "_slice"))
-            split = written(dealt.applyInArrow(split_slice(percent), "region long, part long, _d long, a long"), "regions")
-            close = split.filter("a is not null").select("a", F.col("_d").alias("b"))
-            links.append(close)
-            roots = connected_components(close).select(F.col("id").alias("_d"), "root")
-            state = split.join(roots, "_d", "left").groupBy("region").agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct(F.coalesce("root", "_d")).alias("_classes"))
-            state = written(state.join(large, "region").filter("_classes > 1"), "split")
-            # windows that hold nearly all would only copy the region: those are joined by slices
-            parted = state.filter("_rows <= 2 * _n").select("region")
-            whole = state.filter("_rows > 2 * _n").select("region")
-            taken = split.join(parted, "region").select("region", "part", "_d").join(big.select("region", "_d", "n", "shingles"), ["region", "_d"])
-            now = written(taken.select(F.col("part").alias("region"), "_d", "n", "shingles"), "families")
+        chosen = F.pmod(F.xxhash64("_d", F.lit(level + 100)), F.greatest(F.lit(1), F.col("_n") / F.lit(PIVOTS)).cast("long")) == 0
+        every = F.explode(F.sequence(F.lit(0), slices - 1))
+        pivots = big.filter(chosen).select(F.col("region").alias("_region"), every.alias("_slice"), F.col("_d").alias("_pivot"), F.col("shingles").alias("_shingles"))
+        dealt = big.groupBy("region", "_s").cogroup(pivots.groupBy("_region", "_slice"))
+        split = written(dealt.applyInArrow(split_slice(percent), "region long, part long, _d long, a long"), "regions")
+        close = split.filter("a is not null").select("a", F.col("_d").alias("b"))
+        links.append(close)
+        roots = connected_components(close).select(F.col("id").alias("_d"), "root")
+        root = F.coalesce("root", "_d")
+        state = split.join(roots, "_d", "left").groupBy("region", "part").agg(F.count(F.lit(1)).alias("_k"), F.min(root).alias("_a"), F.max(root).alias("_z"))
+        state = state.groupBy("region").agg(F.sum("_k").alias("_rows"), F.max("_k").alias("_most"), F.min("_a").alias("_a"), F.max("_z").alias("_z"))
+        state = written(state.join(large, "region").filter("_a < _z"), "split")
+        # windows that hold nearly all would only copy the region
+        smaller = (F.col("_rows") <= 2 * F.col("_n")) & (F.col("_most") <= 0.8 * F.col("_n"))
+        parted, whole = state.filter(smaller).select("region"), state.filter(~smaller).select("region")
         pairs = big.join(whole, "region").withColumn("_o", F.explode(F.sequence(F.lit(0), slices - 1)))
         pairs = pairs.withColumn("_i", F.least("_s", "_o")).withColumn("_j", F.greatest("_s", "_o"))
         links.append(pairs.groupBy("region", "_i", "_j").applyInArrow(region_links(percent), "a long, b long"))
-        if now is None:
-            break
-    if now is not None:
-        links.append(now.groupBy("region").applyInArrow(region_links(percent), "a long, b long"))
+        taken = split.join(parted, "region").select("region", "part", "_d").join(big.select("region", "_d", "n", "shingles"), ["region", "_d"])
+        now, level = written(taken.select(F.col("part").alias("region"), "_d", "n", "shingles"), "parts"), level + 1
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most: int = REGION, depth: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most: int = REGION) -> DataFrame:
     """Connect documents whose sets of ``size``-word shingles have a Jaccard similarity of ``percent`` or more.
 
     In: doc_id, text (others are ignored). Out: a row per input row with doc_id, n_shingles and component_id, the
@@ -347,7 +399,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most:
 
     Equal sets are one vertex from the start. Texts are shuffled into blocks, twice; a block's distinct shingles are
     counted over all blocks as packed 32-bit keys in buckets, which grow in number with the corpus. Only documents whose shingles
-    are shared enough send their sets on. A region gives fewer links than it has documents: those that connect what its links connect.
+    are shared enough send their sets on, once for each of their pivots. A region gives fewer links than it has documents: those that connect what its links connect.
     """
     base = docs.select(id_or_lowest("doc_id").alias("_d"), F.coalesce("text", F.lit("")).alias("_t"))
     total = base.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
@@ -362,17 +414,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most:
     sets = written(judged, "sets")
     classes = written(sets.filter("h1 is not null").groupBy("h1", "h2", "n").agg(F.min("_d").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = sets.filter("h1 is not null").select("_d", "h1", "h2", "n", "prefix").join(classes.select("h1", "h2", "n", F.col("rep").alias("_d")), ["h1", "h2", "n", "_d"])
-    tokens = reps.select("_d", F.explode("prefix").alias("s"))
-    stars = tokens.groupBy("s").agg(F.min("_d").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", "a")
-    near = tokens.join(stars, "s").filter("_d != a").select("a", F.col("_d").alias("b"))
-    families = written(connected_components(near).select(F.col("id").alias("_d"), F.col("root").alias("region")), "families")
+    tokens = reps.select("_d", "n", F.explode("prefix").alias("s"))
+    holders = written(tokens.groupBy("s").agg(F.min("_d").alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", "p"), "pivots")
+    met = written(tokens.join(holders, "s").filter("_d != p").groupBy("p", "_d").agg(F.max("n").alias("n")), "met")
     # rows of one id with different sets
-    twice = sets.groupBy("_d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_d")
-    twice = written(twice, "twice")
+    twice = written(sets.groupBy("_d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_d"), "twice")
     held = sets.filter("h1 is not null").select("_d", "n", "shingles")
-    again = held.join(twice, "_d", "left_semi").groupBy("_d", "n", F.sha2("shingles", 256)).agg(F.first("shingles").alias("shingles")).select("_d", "n", "shingles")
-    members = held.join(twice, "_d", "left_anti").unionByName(again) if not twice.isEmpty() else held
-    links = join_families(members.join(families, "_d").select("region", "_d", "n", "shingles"), families, percent, most, depth)
+    if not twice.isEmpty():
+        again = held.join(twice, "_d", "left_semi").groupBy("_d", "n", F.sha2("shingles", 256)).agg(F.first("shingles").alias("shingles")).select("_d", "n", "shingles")
+        held = held.join(twice, "_d", "left_anti").unionByName(again)
+    degrees = written(met.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum(8 * F.col("n")) / F.lit(REGION_BYTES))).cast("int").alias("_n")), "degrees")
+    slices = F.col("_n")
+    mine = met.drop("n").join(degrees, "p").withColumn("_s", F.pmod(F.xxhash64("_d"), slices).cast("int")).join(held, "_d").select("p", "_s", "_d", "shingles")
+    own = degrees.join(held, degrees.p == held._d).select(F.col("p").alias("_p"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"), F.col("shingles").alias("_shingles"))
+    measured = mine.groupBy("p", "_s").cogroup(own.groupBy("_p", "_slice")).applyInArrow(pivot_distances(percent), "p long, h long, _d long, distance double, linked boolean")
+    measured = written(measured, "distances")
+    close = measured.filter("linked").select(F.col("p").alias("a"), F.col("_d").alias("b"))
+    near = written(connected_components(close).select(F.col("id").alias("_d"), "root"), "near")
+    regions = written(shells(measured, near, percent).join(held, "_d").select("region", "_d", "n", "shingles"), "members")
+    links = join_regions(regions, percent, most).unionByName(near.filter("_d != root").select(F.col("_d").alias("a"), F.col("root").alias("b")))
     same_id = sets.filter("h1 is not null").select("_d", "h1", "h2", "n").join(twice, "_d").join(classes, ["h1", "h2", "n"]).select(F.col("rep").alias("a"), F.col("_d").alias("b"))
     roots = connected_components(links.unionByName(same_id)).select(F.col("id").alias("rep"), "root")
     classes = classes.join(roots, "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
