@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -198,6 +199,20 @@ def test_packing_of_very_long_texts(spark, text):
     assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_units_of_text_have_the_ids_of_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encode.units
+    rng = random.Random(31)
+    signs = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", ",", "9", "é", "ß", "日本", "\u00a0", "\u180e", "\u2003", "\x1c", "🙂", "<|endoftext|>", "_", "\x00", " x"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", " ", " a", "a "]
+    column = pa.array(texts)
+    for lo, _, data, offsets in packing.text_chunks(column, 1 << 12):
+        ids, counts = encode(data, offsets, 0)
+        for text, part in zip(texts[lo:], np.split(ids, np.cumsum(counts)[:-1]), strict=False):
+            assert part.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+
+
 CHAT = [
     (1, 0, "system", "Be brief."),
     (1, 1, "user", "what is </s> and [INST]? \\ <|x|> <</SYS>>"),

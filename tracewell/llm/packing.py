@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,62 +15,120 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.llm.common import id_or_lowest, id_or_null, written
+from tracewell.llm.hashing import text_chunks
 
 PIECES = "_d long, start long, length long, ids binary, doc_tokens long, part int, place long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Rows of the offset table (a length, a task, a number) up to which it is broadcast: about 5 MB.
 MOST_OFFSETS = 200_000
-#: Characters that the tokenizer encodes at a time; a longer text is cut where no token can cross.
-PART = 1 << 18
-#: A place that byte-level pre-tokenizing always cuts at: before a space between two ASCII letters.
-CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+#: Units of text whose ids a worker remembers (about 200 bytes each), and their longest in characters.
+REMEMBERED, SHORT = 1_500_000, 64
+#: UTF-8 bytes of text that are encoded at a time; a longer text comes alone.
+CHUNK = 8 << 20
+LETTER, STOP, SEEN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+SEEN[33:127] = True
+LETTER[65:91] = LETTER[97:123] = True
+STOP[[ord(x) for x in ",.;:!?\n"]] = True
+
+
+def joins(unit: str) -> bool:
+    """Whether a newline before and after the unit is always a token of its own."""
+    if unit[1:].isalpha() and unit[0] == " ":
+        return True
+    return "\n" not in unit and not unit[-1].isspace() and (not unit[0].isspace() or (unit[0] == " " and unit[1:2].isascii() and unit[1:2].isalpha()))
+
+
+class Encoder:
+    """Token ids by the tokenizer of a file; one for each worker process, as Spark's tasks are the parallelism.
+
+    A byte-level tokenizer's tokens never cross certain places: before a space and a letter, between a letter and a stop, between a single newline and a letter. So it encodes a text as it
+    encodes the units between these places, and each unit that texts repeat is encoded once; those new to the worker go to the tokenizer together,
+    on a line each. Other tokenizers encode whole texts.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        before = told.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        added = [x for x in told.get("added_tokens", ()) if x["lstrip"] or x["rstrip"] or x["single_word"] or set(x["content"]) & set(" ,.;:!?\n")]
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.units = plain and not told.get("normalizer") and not added and told["model"].get("type") == "BPE" and len(self.newline) == 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and numbers of ids of texts."""
+        ids, sizes = [], []
+        for at in range(0, len(texts), 5000):
+            found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
+            ids += found
+            sizes.append(np.array([len(x) for x in found], np.int64))
+        return ids, sizes
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text where its ids begin and end in the last array."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        held = self.known
+        new = [x for x in texts if x not in held]
+        lines = [x for x in new if len(x) <= SHORT and (x.isalpha() or joins(x))] if self.units else []
+        ids, sizes = [self.ids], []
+        for at in range(0, len(lines), 20_000):
+            found = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines[at : at + 20_000])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = found == self.newline[0]
+            sizes.append(np.diff(np.append(np.flatnonzero(ends), len(found)), prepend=-1) - 1)
+            ids.append(found[~ends])
+        rest = []
+        if len(lines) < len(new):
+            taken = set(lines)
+            rest = sorted((x for x in new if x not in taken), key=len)  # those to remember first
+        short = sum(len(x) <= SHORT for x in rest)
+        alone, counts = self.encode(rest)
+        flat, ends = np.concatenate([*ids, *alone]), np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate([*sizes, *counts, np.zeros(0, np.int64)])))
+        first, kept = len(held), len(held) + len(lines) + short
+        held.update(zip(lines + rest, range(first, first + len(lines) + len(rest)), strict=True))
+        which = np.fromiter(map(held.__getitem__, texts), np.int64, len(texts))
+        for x in rest[short:]:
+            del held[x]
+        self.ends = ends[: kept + 1].copy()
+        self.ids = flat[: self.ends[-1]].copy()
+        return ends[which], ends[which + 1], flat
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with ``end_id`` after each, and each one's number of ids."""
+        start = offsets[:-1] < offsets[1:]
+        first = offsets[:-1][start]
+        if self.units and len(data):
+            cut = np.zeros(len(data), bool)
+            now, then = data[1:], data[:-1]
+            cut[:-1] = (then == 32) & LETTER[now]
+            cut[1:] |= LETTER[then] & STOP[now]
+            cut[2:] |= SEEN[data[:-2]] & (data[1:-1] == 10) & LETTER[data[2:]]
+            cut[first] = True
+            first = np.flatnonzero(cut)
+        bounds = pa.py_buffer(np.append(first, len(data)).astype(np.int64))
+        units = pa.Array.from_buffers(pa.large_string(), len(first), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        which = units.indices.to_numpy()
+        begin, end, flat = self.of(units.dictionary.to_pylist())
+        times = (end - begin)[which]
+        text = np.repeat(np.flatnonzero(start), np.diff(np.append(np.searchsorted(first, offsets[:-1][start]), len(first))))
+        counts = np.bincount(text, weights=times, minlength=len(offsets) - 1).astype(np.int64) + 1
+        out = np.full(int(counts.sum()), end_id, np.uint32)
+        at = np.arange(int(times.sum()))
+        out[at + np.repeat(text, times)] = flat[np.repeat(begin[which] - (np.cumsum(times) - times), times) + at]
+        return out, counts
 
 
 @functools.cache
-def tokenizer_of(path: str):
-    """The tokenizer of a file, once a worker process; Spark's tasks are its parallelism."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def parts_of(text: str, most: int) -> Iterator[str]:
-    """A text in parts of about ``most`` characters whose tokens together are the text's; a stretch without a place to cut is whole."""
-    at = 0
-    while len(text) - at > most:
-        found = CUT.search(text, at + most)
-        if not found:
-            break
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:]
-
-
-def encoded(path: str, texts: list[str], end_id: int, most: int = PART) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts: the first one's number, all their token ids with ``end_id`` after each text, and each one's number of ids."""
-    tokenizer = tokenizer_of(path)
-    end = np.array([end_id], np.uint32)
-    first = 0
-    while first < len(texts):
-        to, held = first, 0
-        while to < len(texts) and (to == first or held + len(texts[to]) <= most):
-            held += len(texts[to])
-            to += 1
-        ids: list[np.ndarray] = []
-        counts = np.ones(to - first, np.int64)
-        if to == first + 1 and held > most:
-            for part in parts_of(texts[first], most):
-                ids.append(np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32))
-                counts[0] += len(ids[-1])
-            ids.append(end)
-        else:
-            for i, one in enumerate(tokenizer.encode_batch_fast(texts[first:to], add_special_tokens=False)):
-                own = one.ids
-                counts[i] += len(own)
-                ids += [np.array(own, np.uint32), end]
-        yield first, np.concatenate(ids), counts
-        first = to
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def piece_lengths(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +147,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 1024, end_i
     first, so a range of ids is a bucket of equally long sequences and a batch needs no padding.
 
     Null or empty text is ``end_id`` alone. A null doc_id stays null. Repeated rows are packed each by itself. An empty table gives an
-    empty table. A very long text is encoded in parts, cut where its tokens are anyway; only a stretch of it without a space
-    between letters is encoded at once. Input columns with the result's names are ignored like all others.
+    empty table. A very long text is encoded like any other, in units that end before a space and a letter. Input columns with the result's
+    names are ignored like all others.
 
     Pieces are written once with their place among the pieces of equal length of their task; the offset of a task and
     length is a running sum over their counts. That table has a row per task and length; it is broadcast if it is small,
@@ -104,7 +162,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 1024, end_i
         places = np.zeros(most.bit_length(), np.int64)  # pieces so far, by the logarithm of their length
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            for first, ids, counts in encoded(tokenizer_path, batch.column(1).fill_null("").to_pylist(), end_id):
+            for first, _, data, offsets in text_chunks(batch.column(1), CHUNK, 10_000):
+                ids, counts = encoder_of(tokenizer_path)(data, offsets, end_id)
                 doc, length = piece_lengths(counts, most)
                 ends = np.cumsum(length)
                 # pieces follow each other as the ids do, so the ids are the column's bytes as they are
