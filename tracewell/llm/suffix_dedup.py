@@ -28,7 +28,7 @@ PIECE = 2 << 20
 SURE, OPEN, KNOWN, HOT = 0, 1, 2, 10
 ANCHORS = "g long, c long, d long, v long, p long, kind int"
 #: Anchors that a shuffle partition should hold, and of one gram from which its contexts are compared by shuffles instead of in a task.
-PARTITION_ROWS, HOT_ROWS = 250_000, 20_000
+PARTITION_ROWS, HOT_ROWS = 250_000, 4_000
 #: One in so many texts counts the grams before the shuffle, so that hot ones are dealt over many tasks; longer ones than LONG bytes all do.
 SAMPLE, LONG = 64, 256 << 10
 #: Representatives' rows that a broadcast may hold, at up to a few hundred bytes each.
