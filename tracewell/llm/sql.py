@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracewell.llm.chat_format import CONTROLS, MARKS
-from tracewell.llm.license_scan import TEMPLATES
+from tracewell.llm.license_scan import TEMPLATES, WINDOW
 from tracewell.llm.url_filter import DOUBLE_SUFFIXES
 
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -161,6 +161,9 @@ template_words AS (SELECT t, license, {words} AS w FROM templates),
 template_shingles AS (SELECT DISTINCT t, license, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM template_words)),
 sizes AS (SELECT t, count(*) AS n FROM template_shingles GROUP BY t),
 doc_words AS (SELECT doc_id, {words} AS w FROM documents),
-doc_shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc_words WHERE len(w) > 0)),
-shares AS (SELECT doc_id, license, t, count(*) / any_value(n) AS share FROM doc_shingles JOIN template_shingles USING (s) JOIN sizes USING (t) GROUP BY doc_id, license, t)
+doc_shingles AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc_words WHERE len(w) > 0)),
+found AS (SELECT doc_id, i, s, license, t, n FROM doc_shingles JOIN template_shingles USING (s) JOIN sizes USING (t)),
+shares AS (
+  SELECT a.doc_id, a.license, a.t, a.i, count(DISTINCT b.s) / any_value(a.n) AS share
+  FROM found a JOIN found b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i >= a.i - a.n - {WINDOW} AND b.i < a.i + a.n + {WINDOW} GROUP BY a.doc_id, a.license, a.t, a.i)
 SELECT doc_id, license, round(max(share), 6) AS containment FROM shares WHERE share >= {least} GROUP BY doc_id, license"""
