@@ -76,10 +76,10 @@ TEMPLATES = (
     ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
 SHINGLE = 5
-#: Shingles of a text window, and from one window to the next: every place is in four windows.
-WINDOW, STRIDE = 16, 4
+#: Shingles of a text window, and from one window to the next: every place is in eight windows.
+WINDOW, STRIDE = 16, 2
 #: Bands of a window's one-permutation MinHash: a shingle's band is its hash modulo this.
-BANDS = 256
+BANDS = 512
 
 
 def word_hashes(text: Column) -> Column:
@@ -130,10 +130,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> D
     input's columns without text, license, containment (the largest, of its templates) and word (the first place of a
     retrieved shingle of the best match).
 
-    A text's five-word shingles are cut into windows of 16, every four. A window's one-permutation MinHash has 256
+    A text's five-word shingles are cut into windows of 16, every two. A window's one-permutation MinHash has 512
     bands, each the least hash of the window's shingles that fall into it; a template is retrieved where a band's minimum is one that its own windows show.
-    A shared shingle is hidden from a window only by a smaller one in its band, with a probability of at most 15 / 512, and is lost only if all four windows hide it, which takes
-    one before and one behind it: at most 0.1 %. So a one-shingle notice is retrieved with 99.9 %, and one of more misses only
+    A shared shingle is hidden from a window only by a smaller one in its band, with a probability of at most 15 / 1024, and is lost only if all eight windows hide it, which takes
+    its one neighbour in all of them or one before and one behind it: 1 / 1024 + (14 / 1024) ** 2, under 0.2 %. So a one-shingle notice is retrieved with 99.8 %, and one of more misses only
     if all it shares are hidden. A retrieved template is verified exactly: the share of its distinct shingles in the text around the place, as far as the
     template and a window reach, ``least`` or more.
 
