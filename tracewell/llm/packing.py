@@ -73,7 +73,7 @@ class Encoder:
         return ids, sizes
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text where its ids begin and end in the last array."""
+        """The number of each text among all that is held, and these ones' ends (after a first 0) in the last array, of ids."""
         if len(self.known) > REMEMBERED:
             self.forget()
         held = self.known
@@ -99,12 +99,11 @@ class Encoder:
             del held[x]
         self.ends = ends[: kept + 1].copy()
         self.ids = flat[: self.ends[-1]].copy()
-        return ends[which], ends[which + 1], flat
+        return which, ends, flat
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with ``end_id`` after each, and each one's number of ids."""
-        start = offsets[:-1] < offsets[1:]
-        first = offsets[:-1][start]
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
         if self.units and len(data):
             cut = np.zeros(len(data), bool)
             now, then = data[1:], data[:-1]
@@ -116,14 +115,14 @@ class Encoder:
         bounds = pa.py_buffer(np.append(first, len(data)).astype(np.int64))
         units = pa.Array.from_buffers(pa.large_string(), len(first), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         which = units.indices.to_numpy()
-        begin, end, flat = self.of(units.dictionary.to_pylist())
-        times = (end - begin)[which]
-        text = np.repeat(np.flatnonzero(start), np.diff(np.append(np.searchsorted(first, offsets[:-1][start]), len(first))))
-        counts = np.bincount(text, weights=times, minlength=len(offsets) - 1).astype(np.int64) + 1
-        out = np.full(int(counts.sum()), end_id, np.uint32)
-        at = np.arange(int(times.sum()))
-        out[at + np.repeat(text, times)] = flat[np.repeat(begin[which] - (np.cumsum(times) - times), times) + at]
-        return out, counts
+        known, ends, flat = self.of(units.dictionary.to_pylist())
+        # the closing id is a unit behind each text's last
+        last = np.searchsorted(first, offsets[1:])
+        row = np.insert(known[which], last, len(ends) - 1)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(ends, len(flat) + 1)), pa.array(np.append(flat, np.uint32(end_id))))
+        taken = lists.take(pa.array(row))
+        until = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][last + np.arange(1, len(last) + 1)]
+        return taken.flatten().to_numpy(), np.diff(until, prepend=0)
 
 
 @functools.cache
