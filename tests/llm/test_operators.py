@@ -227,6 +227,7 @@ CHAT = [
     (3, 0, "user", "long " * 3000),
     (3, 1, "assistant", "ok"),
     *[(4, i, "assistant" if i % 2 else "user", f"turn {i} " + "word " * 30) for i in range(90)],
+    *[(5, i, "assistant" if i % 2 else "user", "word " * (900 if i == 50 else 30)) for i in range(101)],
 ]
 
 
@@ -247,9 +248,24 @@ def test_chat(spark):
     many = [r for r in windows.collect() if r.conv_id == 4]
     assert len(many) > 2 and {r.n_context for r in many} == {0, 2} and sum(r.n_turns for r in many) == 90
     assert all(tokens(r.text) <= 1024 + 90 * 8 for r in many)
+    # a turn near the budget does not take its neighbours apart
+    mixed = [r for r in windows.collect() if r.conv_id == 5]
+    assert sum(r.n_turns for r in mixed) == 101 and len(mixed) < 15 and any(r.n_turns == 1 for r in mixed)
     assert chat_format.read_back(chat_format.format_conversations(turns.limit(0))).collect() == []
 
 
+def test_chat_sums_over_ranges_and_other_counts(spark, monkeypatch):
+    """One conversation in many ranges, and tokens by another count."""
+    monkeypatch.setattr(chat_format, "ROWS_A_RANGE", 20)
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(400)] + [(c, 0, "user", "x") for c in range(2, 30)]
+    data = table(spark, rows, "conv_id long, turn long, role string, text string")
+    thin = data.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.lit(0).alias("_x"), F.monotonically_increasing_id().alias("_i"), F.lit(3).cast("long").alias("_tok"))
+    got = sorted((r._c, r._pos, r._before) for r in chat_format.running(thin).collect())
+    assert got == sorted([(1, i + 1, 3 * i) for i in range(400)] + [(c, 1, 0) for c in range(2, 30)])
+    windows = chat_format.format_conversations(data, budget=24, history_turns=0, history_tokens=0, count_tokens=lambda text: F.lit(2)).collect()
+    assert {r.n_turns for r in windows if r.conv_id == 1} == {2} and sum(r.n_turns for r in windows) == 428
+
+
 def filler(rng, n):
     return " ".join("".join(rng.choice("abcdeé") for _ in range(4)) for _ in range(n))
 

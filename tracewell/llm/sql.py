@@ -135,10 +135,11 @@ sized AS (
   SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \x09-\x0D]')) + {MARKS} AS tok,
     length('<|' || {escaped("role")} || '|>' || chr(10) || {escaped("text")} || '<|end|>' || chr(10)) AS chars FROM turns),
 numbered AS (
-  SELECT *, row_number() OVER o AS pos, coalesce(sum(tok) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, max(tok) OVER (PARTITION BY c) AS longest,
+  SELECT *, row_number() OVER o AS pos, coalesce(sum(tok) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     first(CASE WHEN role = 'system' THEN tok END) OVER o AS sys_tok, first(CASE WHEN role = 'system' THEN chars END) OVER o AS sys_chars
   FROM sized WINDOW o AS (PARTITION BY c ORDER BY turn, role, text)),
-placed AS (SELECT *, before // greatest(1, {budget} - coalesce(sys_tok, 0) - {history_tokens} - longest) AS win FROM numbered),
+strides AS (SELECT *, greatest(1, ({budget} - coalesce(sys_tok, 0) - {history_tokens}) // 2) AS stride FROM numbered),
+placed AS (SELECT *, 2 * (before // stride) + (tok > stride)::INT AS win FROM strides),
 starts AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY c, win ORDER BY pos) = 1),
 parts AS (
   SELECT c, chars FROM placed UNION ALL SELECT c, sys_chars FROM starts WHERE pos > 1 AND sys_chars IS NOT NULL
