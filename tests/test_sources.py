@@ -80,6 +80,53 @@ def test_powerbuilder(spark):
     }
 
 
+def test_oracle_rules(spark):
+    text = """CREATE OR REPLACE TRIGGER trg BEFORE INSERT ON own.accounts FOR EACH ROW
+create package spec_only is
+  procedure declared_only;
+end spec_only;
+select 'from hidden' from dual d join "Q"."t2" on x
+-- from commented
+open c for select 1 from (select 2 from b.c)
+insert into x.y (a) values (pkg.f(1)); merge into z using w on (1 = 1); delete from gone where 1 = 1;
+from
+split_line"""
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "document_id long, text string")
+    found = {(r.line, r.reference_type, r.target, r.confidence) for r in code.references(docs, "oracle").collect()}
+    assert found == {
+        (1, "trigger_table", "own.accounts", "high"), (7, "dynamic_sql", "dynamic.sql", "low"), (7, "table", "b.c", "high"), (8, "table", "x.y", "high"), (8, "call", "x.y", "medium"),
+        (8, "call", "pkg.f", "medium"), (8, "table", "z", "high"), (8, "table", "gone", "high"),
+    }
+    units = {(r.unit_type, r.name, r.start_line, r.end_line, r.level) for r in code.oracle_objects(docs).collect()}
+    assert units == {("trigger", "trg", 1, 1, 0), ("package", "spec_only", 2, 4, 0)}
+
+
+def test_powerbuilder_objects(spark):
+    text = """forward prototypes
+public function integer of_save (string a)
+end prototypes
+global type w_main from window
+end type
+public function integer of_save (string a);
+  messagebox.show(1)
+  return 1
+end function
+event open;
+  open(w_child)
+end event
+on w_main.create
+end on
+dw.retrieve="select a
+from t" """
+    docs = spark.createDataFrame([(1, text, ".srw"), (2, "binary", ".PBL"), (3, None, ".sru")], "document_id long, text string, extension string")
+    found = {(r.document_id, r.unit_type, r.name, r.start_line, r.end_line, r.parent, r.error) for r in code.powerbuilder_objects(docs).collect()}
+    assert found == {
+        (1, "window", "w_main", 1, 16, None, None), (1, "function", "of_save", 6, 9, "w_main", None), (1, "event", "open", 10, 12, "w_main", None), (1, "on", "w_main.create", 13, 14, "w_main", None),
+        (1, "datawindow_sql", "retrieve", 15, 16, "w_main", None), (2, "library", None, None, None, None, "UNSUPPORTED_BINARY_PBL"),
+    }
+    assert {(r.line, r.reference_type, r.target) for r in code.references(docs.filter("document_id = 1"), "powerbuilder").collect()} == {(4, "table", "window"), (11, "open", "w_child")}
+
+
 def test_markdown(spark):
     text = "# Top\ntext\n## Sub ##\n```\n# no heading\n```\nOther\n-----\nmore\n# Next"
     docs = spark.createDataFrame([(1, text)], "document_id long, text string")
