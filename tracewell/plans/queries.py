@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.functions import vectors as V
-from tracewell.operators import context, evaluation, graph, incremental, inventory, resolution, retrieval
+from tracewell.operators import catalog, context, evaluation, graph, incremental, inventory, resolution, retrieval
 from tracewell.plans import tables as P
+from tracewell.sources import code
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,10 +278,10 @@ def evidence_range_join(spark, sf_dir):
 
 
 def _resolution(spark, sf_dir):
-    """Parts are symbols named by their key modulo, in containers by brand; line items are references to them."""
+    """Parts are symbols named by groups of four keys, in containers by brand; line items are references to them."""
     part, line = P.read(spark, sf_dir, "part"), P.read(spark, sf_dir, "lineitem")
-    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("n"), F.col("p_partkey") % 97).alias("name"), F.lower("p_brand").alias("container"), F.lit("table").alias("symbol_type"), F.when(F.col("p_size") % 2 == 0, "oracle").otherwise("powerbuilder").alias("technology"))
-    name = F.concat(F.lit("n"), F.col("l_partkey") % 101)
+    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("n"), F.floor(F.col("p_partkey") / 4)).alias("name"), F.lower("p_brand").alias("container"), F.lit("table").alias("symbol_type"), F.when(F.col("p_size") % 2 == 0, "oracle").otherwise("powerbuilder").alias("technology"))
+    name = F.concat(F.lit("n"), F.floor(F.col("l_partkey") / 4))
     references = line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag").alias("reference_id"),
         F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("brand#11."), name)).otherwise(name).alias("target"),
@@ -293,8 +294,8 @@ def _resolution(spark, sf_dir):
     return references, resolution.candidates(references, symbols, resolution.compatible_types(spark))
 
 
-_RESOLUTION = """s AS (SELECT p_partkey AS symbol_id, 'n' || (p_partkey % 97) AS name, lower(p_brand) AS container, CASE WHEN p_size % 2 = 0 THEN 'oracle' ELSE 'powerbuilder' END AS technology FROM part),
-r AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT || '-' || l_returnflag AS reference_id, 'n' || (l_partkey % 101) AS leaf, l_linenumber % 2 = 0 AS qualified,
+_RESOLUTION = """s AS (SELECT p_partkey AS symbol_id, 'n' || (p_partkey // 4) AS name, lower(p_brand) AS container, CASE WHEN p_size % 2 = 0 THEN 'oracle' ELSE 'powerbuilder' END AS technology FROM part),
+r AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT || '-' || l_returnflag AS reference_id, 'n' || (l_partkey // 4) AS leaf, l_linenumber % 2 = 0 AS qualified,
   CASE WHEN l_returnflag = 'N' THEN 'oracle' WHEN l_returnflag = 'A' THEN 'unknown' ELSE 'powerbuilder' END AS technology, 'brand#' || (l_suppkey % 5 + 1) || '1' AS container, l_quantity = 50 AS dynamic, l_quantity = 49 AS external FROM lineitem),
 c AS (SELECT reference_id, symbol_id, s.container, name, r.container = s.container AS own, qualified FROM r JOIN s ON leaf = name AND (r.technology = s.technology OR r.technology = 'unknown') AND (NOT qualified OR s.container = 'brand#11')),
 found AS (SELECT * FROM c QUALIFY qualified OR own OR NOT bool_or(own) OVER (PARTITION BY reference_id)),
@@ -323,6 +324,113 @@ def alias_priority(spark, sf_dir):
     return found.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first"), F.first("priority").alias("priority"))
 
 
+_CODE = f"""{P.SCRIPTS_SQL},
+refs AS (
+  SELECT l_orderkey AS document_id, 4 * k - 1 AS line, k, 'table' AS reference_type, 'part' || l_partkey AS target, 'high' AS confidence FROM items
+  UNION ALL SELECT l_orderkey, 4 * k, k, 'call', CASE WHEN k % 3 = 0 THEN 'pkg' || l_orderkey || '.run1' ELSE 'sup' || l_suppkey || '.ship' END, 'medium' FROM items),
+units AS (
+  SELECT l_orderkey AS document_id, 'package_body' AS unit_type, 'pkg' || l_orderkey AS name, 1 AS start_line, 4 * max(k) + 2 AS end_line, 0 AS level, NULL AS parent FROM items GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey, 'procedure', 'run' || k, 4 * k - 2, 4 * k + 1, 1, 'pkg' || l_orderkey FROM items)"""
+
+
+@query(f"WITH {_CODE} SELECT document_id, line::INT AS line, reference_type, target, confidence FROM refs")
+def oracle_references(spark, sf_dir):
+    return code.references(P.scripts(spark, sf_dir), "oracle").drop("status")
+
+
+@query(f"WITH {_CODE} SELECT document_id, unit_type, name, start_line::INT AS start_line, end_line::INT AS end_line, level, parent FROM units")
+def oracle_objects(spark, sf_dir):
+    return code.oracle_objects(P.scripts(spark, sf_dir))
+
+
+def _powerscripts(spark, sf_dir):
+    """Customers as exported windows, with an event and a function."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(
+        F.lit("global type w_"), key, F.lit(" from window\nend type\nevent open;\n  open(w_"), F.col("c_nationkey").cast("string"), F.lit(") // open(w_no)\nend event\npublic function long of_get (long a);\n  uo_"),
+        key, F.lit(".of_do(a)\n  MessageBox('open(w_no)')\n  UPDATE t_"), F.col("c_nationkey").cast("string"), F.lit(" SET a = 1;\n  dw_1.dataobject = \"d_"), key, F.lit("\"\nend function"),
+    )
+    return P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), text.alias("text"), F.when(F.col("c_custkey") % 10 == 0, ".pbl").otherwise(".srw").alias("extension"))
+
+
+@query("""SELECT c_custkey AS document_id, unnest([1, 4, 7, 9, 10]) AS line, unnest(['table', 'open', 'call', 'table', 'datawindow']) AS reference_type,
+  unnest(['window', 'w_' || c_nationkey, 'uo_' || c_custkey || '.of_do', 't_' || c_nationkey, 'd_' || c_custkey]) AS target, unnest(['high', 'high', 'medium', 'high', 'high']) AS confidence FROM customer""")
+def powerbuilder_references(spark, sf_dir):
+    return code.references(_powerscripts(spark, sf_dir), "powerbuilder").drop("status")
+
+
+@query("""SELECT c_custkey AS document_id, 'library' AS unit_type, NULL AS name, NULL::INT AS start_line, NULL::INT AS end_line, 0 AS level, NULL AS parent, 'UNSUPPORTED_BINARY_PBL' AS error FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT c_custkey, unnest(['window', 'event', 'function']), unnest(['w_' || c_custkey, 'open', 'of_get']), unnest([1, 3, 6]), unnest([11, 5, 11]), unnest([0, 1, 1]), unnest([NULL, 'w_' || c_custkey, 'w_' || c_custkey]), NULL FROM customer WHERE c_custkey % 10 > 0""")
+def powerbuilder_objects(spark, sf_dir):
+    return code.powerbuilder_objects(_powerscripts(spark, sf_dir))
+
+
+def _catalog(spark, sf_dir):
+    """The scripts' symbols, parts that fewer than a fifth lack as tables and suppliers' packages, and the scripts' references with their source."""
+    scripts = P.scripts(spark, sf_dir)
+    none = lambda kind: F.lit(None).cast(kind)
+    extra = [
+        P.read(spark, sf_dir, table).filter(keep).select(key.alias("document_id"), kind.alias("unit_type"), name.alias("name"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), parent.alias("parent"))
+        for table, keep, key, kind, name, parent in (
+            ("part", "p_partkey % 5 > 0", F.col("p_partkey"), F.when(F.col("p_partkey") % 7 == 0, "view").otherwise("table"), F.concat(F.lit("part"), F.col("p_partkey")), none("string")),
+            ("part", "p_partkey % 11 = 0", F.col("p_partkey") + 1000000000, F.lit("view"), F.concat(F.lit("part"), F.col("p_partkey")), none("string")),
+            ("supplier", "s_suppkey % 3 > 0", F.col("s_suppkey"), F.lit("procedure"), F.lit("ship"), F.concat(F.lit("sup"), F.col("s_suppkey"))),
+        )
+    ]
+    units = code.oracle_objects(scripts).select("document_id", "unit_type", "name", "start_line", "end_line", "parent")
+    own = catalog.symbols_of(units, "oracle")
+    symbols = own
+    for more in extra:
+        symbols = symbols.unionByName(catalog.symbols_of(more, "oracle"))
+    references = catalog.sourced(code.references(scripts, "oracle"), own, "oracle")
+    return references, symbols
+
+
+_CATALOG = f"""{_CODE},
+syms AS (
+  SELECT document_id, name, parent AS container, replace(unit_type, '_body', '') AS symbol_type, start_line FROM units
+  UNION ALL SELECT p_partkey, 'part' || p_partkey, NULL, CASE WHEN p_partkey % 7 = 0 THEN 'view' ELSE 'table' END, 1 FROM part WHERE p_partkey % 5 > 0
+  UNION ALL SELECT p_partkey + 1000000000, 'part' || p_partkey, NULL, 'view', 1 FROM part WHERE p_partkey % 11 = 0
+  UNION ALL SELECT s_suppkey, 'ship', 'sup' || s_suppkey, 'procedure', 1 FROM supplier WHERE s_suppkey % 3 > 0),
+hits AS (
+  SELECT refs.*, s.name AS s_name, s.container AS s_container, s.start_line AS s_line, s.document_id AS s_document FROM refs LEFT JOIN syms s
+    ON (reference_type = 'table' AND s.symbol_type IN ('table', 'view') AND s.name = target) OR (reference_type = 'call' AND s.symbol_type IN ('procedure', 'function') AND s.container || '.' || s.name = target)),
+outcomes AS (
+  SELECT document_id, k, line, reference_type, target, count(s_name) AS n, min(s_name) AS one, min(s_container) AS one_container FROM hits GROUP BY ALL)"""
+
+
+@query(f"WITH {_CATALOG} SELECT symbol_type, 'oracle' AS technology, count(*) AS symbols, (count(DISTINCT name) FILTER (WHERE twice))::BIGINT AS duplicates, 0::BIGINT AS unknown FROM (SELECT *, count(*) OVER (PARTITION BY symbol_type, name) > 1 AS twice FROM syms) GROUP BY symbol_type")
+def symbol_catalog(spark, sf_dir):
+    return catalog.catalog_summary(_catalog(spark, sf_dir)[1])
+
+
+@query(f"WITH {_CATALOG} SELECT CASE n WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, count(*) AS n FROM outcomes GROUP BY 1")
+def analyze_summary(spark, sf_dir):
+    references, symbols = _catalog(spark, sf_dir)
+    return catalog.resolution_counts(references, catalog.analyze(references, symbols))
+
+
+@query(f"""WITH {_CATALOG} SELECT document_id AS file_id, 'run' || k AS source, CASE WHEN n = 1 THEN one END AS target, target AS target_key, CASE reference_type WHEN 'call' THEN 'calls' ELSE 'uses' END AS relation_type,
+  CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution_status, CASE WHEN n = 1 THEN 'detected' ELSE 'to_confirm' END AS classification FROM outcomes WHERE n > 0""")
+def analyze_relations(spark, sf_dir):
+    """Relations from text to graph, by the names of their ends."""
+    references, symbols = _catalog(spark, sf_dir)
+    found = catalog.analyze(references, symbols)
+    names = symbols.select("symbol_id", "name")
+    out = found.join(names.select(F.col("symbol_id").alias("source"), F.col("name").alias("_source")), "source").join(names.select(F.col("symbol_id").alias("target"), F.col("name").alias("_target")), "target", "left")
+    return out.select("file_id", F.col("_source").alias("source"), F.col("_target").alias("target"), "target_key", "relation_type", "resolution_status", "classification")
+
+
+@query(f"""WITH {_CATALOG}, asked AS (SELECT p_partkey AS request_id, 'part' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'view' END AS kind FROM part UNION ALL SELECT s_suppkey + 2000000000, 'sup' || s_suppkey || '.ship', NULL FROM supplier)
+SELECT request_id, CASE count(s.name) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, count(s.name) AS matches
+FROM asked LEFT JOIN syms s ON (asked.name = s.name OR asked.name = s.container || '.' || s.name) AND (kind IS NULL OR kind = s.symbol_type) GROUP BY request_id""")
+def symbol_lookup(spark, sf_dir):
+    """Parts are asked for by name, every second one as a view, and suppliers' procedures by container and name."""
+    parts = P.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("PART"), F.col("p_partkey")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, "view").alias("symbol_type"))
+    suppliers = P.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 2000000000).alias("request_id"), F.concat(F.lit("sup"), F.col("s_suppkey"), F.lit(".ship")).alias("name"), F.lit(None).cast("string").alias("symbol_type"))
+    return catalog.lookup(parts.unionByName(suppliers), _catalog(spark, sf_dir)[1]).drop("symbol_id")
+
+
 def _seeds(spark, sf_dir):
     return P.read(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
 
