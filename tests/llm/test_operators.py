@@ -204,7 +204,7 @@ def test_units_of_text_have_the_ids_of_whole_texts():
     tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
     assert encode.units
     rng = random.Random(31)
-    signs = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", ",", "9", "é", "ß", "日本", "\u00a0", "\u180e", "\u2003", "\x1c", "🙂", "<|endoftext|>", "_", "\x00", " x"]
+    signs = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", ",", "9", "é", "ß", "日本", "\u00a0", "\u180e", "\u2003", "\x1c", "🙂", "<|endoftext|>", "_", "\x00", " x", ".", "×", "÷", "É", " é", " (", "ж"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", " ", " a", "a "]
     column = pa.array(texts)
     for lo, _, data, offsets in packing.text_chunks(column, 1 << 12):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,28 +22,39 @@ PIECES = "_d long, start long, length long, ids binary, doc_tokens long, part in
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Rows of the offset table (a length, a task, a number) up to which it is broadcast: about 5 MB.
 MOST_OFFSETS = 200_000
-#: Units of text whose ids a worker remembers (about 200 bytes each), and their longest in characters.
+#: Units of text whose ids a worker remembers (about 40 bytes each), and their longest in bytes.
 REMEMBERED, SHORT = 1_500_000, 64
 #: UTF-8 bytes of text that are encoded at a time; a longer text comes alone.
 CHUNK = 8 << 20
-LETTER, STOP, SEEN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-SEEN[33:127] = True
+#: Bytes: ASCII letters, stops, visible ASCII, and what a character that is no white space can start with.
+LETTER, STOP, SEEN, START = (np.zeros(256, bool) for _ in range(4))
 LETTER[65:91] = LETTER[97:123] = True
 STOP[[ord(x) for x in ",.;:!?\n"]] = True
-
-
-def joins(unit: str) -> bool:
-    """Whether a newline before and after the unit is always a token of its own."""
-    if unit[1:].isalpha() and unit[0] == " ":
-        return True
-    return "\n" not in unit and not unit[-1].isspace() and (not unit[0].isspace() or (unit[0] == " " and unit[1:2].isascii() and unit[1:2].isalpha()))
+SEEN[33:127] = START[33:127] = START[0xC3:0xE0] = True
+#: First bytes of the letters U+00C0 to U+027F; two signs among them are none.
+LATIN = np.zeros(256, bool)
+LATIN[0xC3:0xCA] = True
+
+
+def units_of(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the units of texts start: at ``first``, and where no token of a byte-level tokenizer goes across: before a space and a visible character, between a letter and a
+    stop, between a single newline and a visible character."""
+    cut = np.zeros(len(data), bool)
+    now, then = data[1:], data[:-1]
+    cut[:-1] = (then == 32) & START[now]
+    cut[1:] |= LETTER[then] & STOP[now]
+    if len(data) > 2:
+        two, stop = data[:-2], STOP[data[2:]]
+        cut[2:] |= SEEN[two] & (data[1:-1] == 10) & START[data[2:]]
+        cut[2:] |= stop & LATIN[two] & (data[1:-1] >= 128) & ~((two == 0xC3) & ((data[1:-1] == 0x97) | (data[1:-1] == 0xB7)))
+    cut[first] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
     """Token ids by the tokenizer of a file; one for each worker process, as Spark's tasks are the parallelism.
 
-    A byte-level tokenizer's tokens never cross certain places: before a space and a letter, between a letter and a stop, between a single newline and a letter. So it encodes a text as it
-    encodes the units between these places, and each unit that texts repeat is encoded once; those new to the worker go to the tokenizer together,
+    A byte-level tokenizer's tokens never cross certain places, so it encodes a text as it encodes the units between these, and each unit that texts repeat is encoded once; words new to the worker go to the tokenizer together,
     on a line each. Other tokenizers encode whole texts.
     """
 
@@ -60,62 +72,60 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids and numbers of ids of texts."""
-        ids, sizes = [], []
-        for at in range(0, len(texts), 5000):
-            found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
-            ids += found
-            sizes.append(np.array([len(x) for x in found], np.int64))
-        return ids, sizes
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The number of each text among all that is held, and these ones' ends (after a first 0) in the last array, of ids."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        held = self.known
-        new = [x for x in texts if x not in held]
-        lines = [x for x in new if len(x) <= SHORT and (x.isalpha() or joins(x))] if self.units else []
-        ids, sizes = [self.ids], []
-        for at in range(0, len(lines), 20_000):
-            found = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines[at : at + 20_000])], add_special_tokens=False)[0].ids, np.uint32)
+    def lines(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of units, encoded together on a line each."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(units), 20_000):
+            text = "\n".join(units[at : at + 20_000].to_pylist())
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = found == self.newline[0]
             sizes.append(np.diff(np.append(np.flatnonzero(ends), len(found)), prepend=-1) - 1)
             ids.append(found[~ends])
-        rest = []
-        if len(lines) < len(new):
-            taken = set(lines)
-            rest = sorted((x for x in new if x not in taken), key=len)  # those to remember first
-        short = sum(len(x) <= SHORT for x in rest)
-        alone, counts = self.encode(rest)
-        flat, ends = np.concatenate([*ids, *alone]), np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate([*sizes, *counts, np.zeros(0, np.int64)])))
-        first, kept = len(held), len(held) + len(lines) + short
-        held.update(zip(lines + rest, range(first, first + len(lines) + len(rest)), strict=True))
-        which = np.fromiter(map(held.__getitem__, texts), np.int64, len(texts))
-        for x in rest[short:]:
-            del held[x]
-        self.ends = ends[: kept + 1].copy()
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def single(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of units, each encoded by itself."""
+        found = [np.array(x.ids, np.uint32) for at in range(0, len(units), 5000) for x in self.tokenizer.encode_batch_fast(units[at : at + 5000].to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
+
+    def of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each unit (all different) among all that is held, and these ones' ends (after a first 0) in the last array, of ids."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        which = pc.index_in(units, self.known)
+        fresh = pc.is_null(which)
+        new = units.filter(fresh)
+        # a word, perhaps behind a space: a newline before and after it is always a token of its own
+        word = pc.and_(pc.match_substring_regex(new, r"^ ?\pL+$"), pc.less_equal(pc.binary_length(new), SHORT))
+        word = word if self.units else pc.and_(word, False)
+        short = pc.and_not(pc.less_equal(pc.binary_length(new), SHORT), word)
+        kinds = [new.filter(word), new.filter(short), new.filter(pc.and_not(pc.invert(word), short))]
+        found = [self.lines(kinds[0]), self.single(kinds[1]), self.single(kinds[2])]
+        flat = np.concatenate([self.ids, *[x for x, _ in found]])
+        ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate([x for _, x in found])))
+        place, first = np.zeros(len(new), np.int64), len(self.known)
+        for held, part in zip((word, short, pc.and_not(pc.invert(word), short)), kinds, strict=True):
+            place[held.to_numpy(zero_copy_only=False)] = first + np.arange(len(part))
+            first += len(part)
+        out = which.fill_null(0).to_numpy().astype(np.int64)
+        out[fresh.to_numpy(zero_copy_only=False)] = place
+        self.known = pa.concat_arrays([self.known, *kinds[:2]])
+        self.ends = ends[: len(self.known) + 1].copy()
         self.ids = flat[: self.ends[-1]].copy()
-        return which, ends, flat
+        return out, ends, flat
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with ``end_id`` after each, and each one's number of ids."""
         first = offsets[:-1][offsets[:-1] < offsets[1:]]
         if self.units and len(data):
-            cut = np.zeros(len(data), bool)
-            now, then = data[1:], data[:-1]
-            cut[:-1] = (then == 32) & LETTER[now]
-            cut[1:] |= LETTER[then] & STOP[now]
-            cut[2:] |= SEEN[data[:-2]] & (data[1:-1] == 10) & LETTER[data[2:]]
-            cut[first] = True
-            first = np.flatnonzero(cut)
+            first = units_of(data, first)
         bounds = pa.py_buffer(np.append(first, len(data)).astype(np.int64))
         units = pa.Array.from_buffers(pa.large_string(), len(first), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         which = units.indices.to_numpy()
-        known, ends, flat = self.of(units.dictionary.to_pylist())
+        known, ends, flat = self.of(units.dictionary)
         # the closing id is a unit behind each text's last
         last = np.searchsorted(first, offsets[1:])
         row = np.insert(known[which], last, len(ends) - 1)
@@ -146,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 1024, end_i
     first, so a range of ids is a bucket of equally long sequences and a batch needs no padding.
 
     Null or empty text is ``end_id`` alone. A null doc_id stays null. Repeated rows are packed each by itself. An empty table gives an
-    empty table. A very long text is encoded like any other, in units that end before a space and a letter. Input columns with the result's
+    empty table. A very long text is encoded like any other, in units that end where tokens do. Input columns with the result's
     names are ignored like all others.
 
     Pieces are written once with their place among the pieces of equal length of their task; the offset of a task and
