@@ -17,7 +17,7 @@ NULL, EVERY = "\0", "\0\0"
 #: Groups whose fits are broadcast, at about 250 bytes each; more are joined by shuffle.
 MOST_GROUPS = 20_000
 #: Relative error of quantiles is at most one in so many; groups of fewer rows have exact ones.
-QUANTILES = 10_000
+QUANTILES = 1_000
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
