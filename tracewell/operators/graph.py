@@ -46,6 +46,92 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", most_d
     return nodes, walked
 
 
+def traced_walk(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", most_depth: int = 3, node_limit: int | None = None, relation_types: list[str] | None = None, technologies: list[str] | None = None) -> DataFrame:
+    """Breadth-first traces from each seed: rows (root, depth, source, target, relation_id, relation_type, status, path, is_cycle).
+
+    edges: source, target (null if unresolved), relation_id, relation_type, resolution_status, technology (of the relation), target_key. seeds: root, a query each.
+    status is ``accepted`` for an edge to a new node, ``duplicate`` for one to a node that the root reached before, ``cycle`` for one back to a node of its own path,
+    ``unresolved`` or ``ambiguous`` for a leaf that names no node, and ``limit`` for a new node beyond ``node_limit`` of its root, in order of depth, relation type and id.
+
+    Every level is one join of the frontier with the edges and is written. A path has at most five nodes; a root's nodes are a table, never a list in a row.
+    """
+    if not 0 <= most_depth <= MOST_DEPTH:
+        raise ValueError(f"depth must be 0 to {MOST_DEPTH}")
+    kept = edges
+    for column, allowed in (("relation_type", relation_types), ("technology", technologies)):
+        if allowed is not None:
+            kept = kept.filter(F.col(column).isin(*allowed))
+    ways = []
+    if direction in ("outgoing", "both"):
+        ways.append(kept.select(F.col("source").alias("node"), F.col("target").alias("next"), "relation_id", "relation_type", "resolution_status", "target_key"))
+    if direction in ("incoming", "both"):
+        ways.append(kept.filter("target is not null").select(F.col("target").alias("node"), F.col("source").alias("next"), "relation_id", "relation_type", "resolution_status", "target_key"))
+    if not ways:
+        raise ValueError(f"direction must be one of {DIRECTIONS}")
+    steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    frontier = seeds.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path"))
+    known = frontier.select("root", "node")
+    out = None
+    for depth in range(1, most_depth + 1):
+        level = frontier.join(steps, "node").withColumn("depth", F.lit(depth))
+        seen = known.select("root", F.col("node").alias("next"), F.lit(True).alias("_seen"))
+        level = level.join(seen, ["root", "next"], "left")
+        first = Window.partitionBy("root", "next").orderBy("relation_type", "relation_id", "node")
+        leaf = F.col("next").isNull()
+        cycle = ~leaf & F.array_contains("path", F.col("next"))
+        fresh = ~leaf & F.col("_seen").isNull() & (F.row_number().over(first) == 1)
+        status = F.when(leaf, F.when(F.col("resolution_status") == "ambiguous", "ambiguous").otherwise("unresolved")).when(cycle, "cycle").when(fresh, "accepted").otherwise("duplicate")
+        level = level.withColumn("status", status)
+        if node_limit is not None:
+            # how many new nodes a root has before this level, and before this row in it
+            before = known.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("_before"))
+            order = Window.partitionBy("root").orderBy("relation_type", "relation_id", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            level = level.join(before, "root").withColumn("_nth", F.sum((F.col("status") == "accepted").cast("int")).over(order) + F.col("_before"))
+            level = level.withColumn("status", F.when((F.col("status") == "accepted") & (F.col("_nth") > node_limit), "limit").otherwise(F.col("status")))
+        level = written(level.select("root", "depth", "node", "next", "relation_id", "relation_type", "target_key", "status", "path"), "traces")
+        new = level.filter("status = 'accepted'")
+        frontier = new.select("root", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        known = known.unionByName(new.select("root", F.col("next").alias("node")))
+        out = level if out is None else out.unionByName(level)
+    if out is None:
+        out = frontier.join(steps, "node").withColumns({"depth": F.lit(0), "status": F.lit("accepted")}).limit(0)
+    return out.select("root", "depth", F.col("node").alias("source"), F.col("next").alias("target"), "relation_id", "relation_type", "target_key", "status", "path", (F.col("status") == "cycle").alias("is_cycle"))
+
+
+def cycles_of(traces: DataFrame) -> DataFrame:
+    """The cycles that traces close: (root, cycle), the nodes from the one that is met again, rotated to start at the least, each once."""
+    closed = traces.filter("is_cycle").select("root", F.slice("path", F.array_position("path", F.col("target")).cast("int"), F.size("path")).alias("c"))
+    at = F.array_position("c", F.array_min("c")).cast("int")
+    turned = F.concat(F.slice("c", at, F.size("c")), F.slice("c", 1, at - 1))
+    return closed.select("root", turned.alias("cycle")).distinct()
+
+
+def traced_chunks(traces: DataFrame, evidence: DataFrame, fallback: DataFrame, decay: float = 0.95) -> DataFrame:
+    """Chunks for accepted traces: (root, chunk_id, score, depth), the score falling by ``decay`` a step, the best for each chunk.
+
+    evidence: relation_id, chunk_id. fallback: node, chunk_id, taken for a target whose relation has no evidence chunk.
+    """
+    taken = traces.filter("status = 'accepted'").select("root", "relation_id", F.col("target").alias("node"), "depth")
+    shown = taken.join(evidence.select("relation_id", "chunk_id"), "relation_id", "left")
+    by_node = shown.filter("chunk_id is null").drop("chunk_id").join(fallback.select("node", "chunk_id"), "node")
+    both = shown.filter("chunk_id is not null").select("root", "chunk_id", "depth").unionByName(by_node.select("root", "chunk_id", "depth"))
+    return both.groupBy("root", "chunk_id").agg(F.min("depth").alias("depth")).withColumn("score", F.pow(F.lit(decay), F.col("depth")))
+
+
+def impact_report(traces: DataFrame, symbols: DataFrame) -> DataFrame:
+    """By root: nodes reached, those of another technology than the root's, unresolved, ambiguous and cyclic edges, and the risk: high with cycles or over ten nodes of another technology,
+    medium with any open edge or another technology, else low. symbols: symbol_id, technology."""
+    kinds = symbols.select("symbol_id", "technology")
+    rows = traces.join(kinds.select(F.col("symbol_id").alias("root"), F.col("technology").alias("_own")), "root", "left").join(kinds.select(F.col("symbol_id").alias("target"), "technology"), "target", "left")
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    out = rows.groupBy("root").agg(
+        is_("accepted").alias("nodes"), F.count_if((F.col("status") == "accepted") & (F.col("technology") != F.col("_own"))).alias("cross_technology"),
+        is_("unresolved").alias("unresolved"), is_("ambiguous").alias("ambiguous"), is_("cycle").alias("cycles"),
+    )
+    risk = F.when((F.col("cycles") > 0) | (F.col("cross_technology") > 10), "high").when(F.col("unresolved") + F.col("ambiguous") + F.col("cross_technology") > 0, "medium").otherwise("low")
+    return out.withColumn("risk", risk)
+
+
 def impact(edges: DataFrame, seeds: DataFrame, most_depth: int = 2) -> DataFrame:
     """Who is concerned by a change of the seeds: role (consumer, dependency), node, depth, indirect."""
     parts = []

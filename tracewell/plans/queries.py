@@ -431,6 +431,75 @@ def symbol_lookup(spark, sf_dir):
     return catalog.lookup(parts.unionByName(suppliers), _catalog(spark, sf_dir)[1]).drop("symbol_id")
 
 
+_TRACES = f"""{P.RING_SQL}, roots AS (SELECT p_partkey::BIGINT AS root FROM part WHERE p_size = 7),
+k1 AS (SELECT root, root AS node FROM roots),
+f1 AS (SELECT root, root AS node, [root] AS path FROM roots),
+j1 AS (
+  SELECT f.root, f.node, r.target AS next, relation_id, relation_type, path, CASE WHEN r.target IS NULL THEN resolution_status WHEN list_contains(path, r.target) THEN 'cycle'
+    WHEN k.node IS NULL AND row_number() OVER (PARTITION BY f.root, r.target ORDER BY relation_type, relation_id, f.node) = 1 THEN 'accepted' ELSE 'duplicate' END AS s
+  FROM f1 f JOIN ring r ON r.source = f.node LEFT JOIN k1 k ON k.root = f.root AND k.node = r.target),
+l1 AS (
+  SELECT root, node, next, relation_id, relation_type, path, 1 AS depth, CASE WHEN s = 'accepted' AND sum((s = 'accepted')::INT) OVER (PARTITION BY root ORDER BY relation_type, relation_id, node ROWS UNBOUNDED PRECEDING)
+    + (SELECT count(*) - 1 FROM k1 k WHERE k.root = j1.root) > 5 THEN 'limit' ELSE s END AS status FROM j1),
+k2 AS (SELECT root, node FROM k1 UNION ALL SELECT root, next FROM l1 WHERE status = 'accepted'),
+f2 AS (SELECT root, next AS node, list_append(path, next) AS path FROM l1 WHERE status = 'accepted'),
+j2 AS (
+  SELECT f.root, f.node, r.target AS next, relation_id, relation_type, path, CASE WHEN r.target IS NULL THEN resolution_status WHEN list_contains(path, r.target) THEN 'cycle'
+    WHEN k.node IS NULL AND row_number() OVER (PARTITION BY f.root, r.target ORDER BY relation_type, relation_id, f.node) = 1 THEN 'accepted' ELSE 'duplicate' END AS s
+  FROM f2 f JOIN ring r ON r.source = f.node LEFT JOIN k2 k ON k.root = f.root AND k.node = r.target),
+l2 AS (
+  SELECT root, node, next, relation_id, relation_type, path, 2 AS depth, CASE WHEN s = 'accepted' AND sum((s = 'accepted')::INT) OVER (PARTITION BY root ORDER BY relation_type, relation_id, node ROWS UNBOUNDED PRECEDING)
+    + (SELECT count(*) - 1 FROM k2 k WHERE k.root = j2.root) > 5 THEN 'limit' ELSE s END AS status FROM j2),
+k3 AS (SELECT root, node FROM k2 UNION ALL SELECT root, next FROM l2 WHERE status = 'accepted'),
+f3 AS (SELECT root, next AS node, list_append(path, next) AS path FROM l2 WHERE status = 'accepted'),
+j3 AS (
+  SELECT f.root, f.node, r.target AS next, relation_id, relation_type, path, CASE WHEN r.target IS NULL THEN resolution_status WHEN list_contains(path, r.target) THEN 'cycle'
+    WHEN k.node IS NULL AND row_number() OVER (PARTITION BY f.root, r.target ORDER BY relation_type, relation_id, f.node) = 1 THEN 'accepted' ELSE 'duplicate' END AS s
+  FROM f3 f JOIN ring r ON r.source = f.node LEFT JOIN k3 k ON k.root = f.root AND k.node = r.target),
+l3 AS (
+  SELECT root, node, next, relation_id, relation_type, path, 3 AS depth, CASE WHEN s = 'accepted' AND sum((s = 'accepted')::INT) OVER (PARTITION BY root ORDER BY relation_type, relation_id, node ROWS UNBOUNDED PRECEDING)
+    + (SELECT count(*) - 1 FROM k3 k WHERE k.root = j3.root) > 5 THEN 'limit' ELSE s END AS status FROM j3),
+traces AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"""
+
+
+def _traces(spark, sf_dir):
+    """From every part of size 7, three steps along a graph with cycles, five nodes a root."""
+    roots = P.read(spark, sf_dir, "part").filter("p_size = 7").select(F.col("p_partkey").cast("long").alias("root"))
+    return graph.traced_walk(P.ring(spark, sf_dir), roots, "outgoing", 3, 5)
+
+
+@query(f"WITH {_TRACES} SELECT root, depth, node AS source, next AS target, relation_id, status, status = 'cycle' AS is_cycle FROM traces")
+def dependency_traces(spark, sf_dir):
+    return _traces(spark, sf_dir).select("root", "depth", "source", "target", "relation_id", "status", "is_cycle")
+
+
+@query(f"""WITH {_TRACES}, closed AS (SELECT root, path[list_position(path, next):] AS c FROM traces WHERE status = 'cycle'), turned AS (SELECT root, c, list_position(c, list_min(c)) AS p FROM closed)
+SELECT DISTINCT root, array_to_string(list_concat(c[p:], c[:p - 1]), '>') AS cycle FROM turned""")
+def dependency_cycles(spark, sf_dir):
+    return graph.cycles_of(_traces(spark, sf_dir)).select("root", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+@query(f"""WITH {_TRACES}, kinds AS (SELECT p_partkey AS id, p_size % 2 AS t FROM part),
+n AS (SELECT root, count(*) FILTER (WHERE status = 'accepted') AS nodes, count(*) FILTER (WHERE status = 'accepted' AND b.t <> a.t) AS cross_technology, count(*) FILTER (WHERE status = 'unresolved') AS unresolved,
+  count(*) FILTER (WHERE status = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE status = 'cycle') AS cycles FROM traces LEFT JOIN kinds a ON a.id = root LEFT JOIN kinds b ON b.id = next GROUP BY root)
+SELECT *, CASE WHEN cycles > 0 OR cross_technology > 10 THEN 'high' WHEN unresolved + ambiguous + cross_technology > 0 THEN 'medium' ELSE 'low' END AS risk FROM n""")
+def impact_report(spark, sf_dir):
+    kinds = P.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("symbol_id"), F.when(F.col("p_size") % 2 == 0, "oracle").otherwise("powerbuilder").alias("technology"))
+    return graph.impact_report(_traces(spark, sf_dir), kinds)
+
+
+@query(f"""WITH {_TRACES}, taken AS (SELECT root, relation_id, next, depth FROM traces WHERE status = 'accepted'),
+shown AS (SELECT root, depth, CASE WHEN relation_id[1] = 'c' THEN next * 10 ELSE next END AS chunk_id FROM taken JOIN part ON p_partkey = next OR (relation_id[1] = 'c' AND p_partkey = next) WHERE relation_id[1] = 'c' OR p_partkey IS NOT NULL)
+SELECT root, chunk_id, min(depth) AS depth, round(power(0.95, min(depth)), 6) AS score FROM shown GROUP BY root, chunk_id""")
+def graph_trace_chunks(spark, sf_dir):
+    """Calls have an evidence chunk, other relations fall back to the chunk of the node."""
+    traces = _traces(spark, sf_dir)
+    part = P.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"))
+    evidence = P.ring(spark, sf_dir).filter("relation_type = 'calls'").join(part, F.col("target") == F.col("node"), "left_semi").select("relation_id", (F.col("target") * 10).alias("chunk_id"))
+    out = graph.traced_chunks(traces, evidence, part.withColumn("chunk_id", F.col("node")))
+    return out.select("root", "chunk_id", "depth", F.round("score", 6).alias("score"))
+
+
 def _seeds(spark, sf_dir):
     return P.read(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
 

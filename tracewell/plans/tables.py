@@ -63,6 +63,27 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph with cycles from parts: source, target, relation_id, relation_type, resolution_status, technology, target_key. Part k leads to k // 3 and, every fourth, to k // 2, every
+    fifth to 3 k, which leads back; every seventh names a part that is not there, every eleventh one that is not clear."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_size") % 2).alias("t"))
+    technology = F.when(F.col("t") == 0, "oracle").otherwise("powerbuilder").alias("technology")
+    row = lambda keep, target, kind, status: part.filter(keep).select(F.col("k").alias("source"), target.cast("long").alias("target"), F.concat(F.lit(kind[0]), F.col("k")).alias("relation_id"), F.lit(kind).alias("relation_type"), F.lit(status).alias("resolution_status"), technology, F.concat(F.lit("part"), F.coalesce(target, F.lit(0)).cast("string")).alias("target_key"))
+    third = F.floor(F.col("k") / 3)
+    out = row("k >= 3", third, "calls", "resolved").unionByName(row("k % 4 = 0", F.floor(F.col("k") / 2), "uses", "resolved"))
+    out = out.unionByName(row("k % 5 = 0", F.col("k") * 3, "opens", "resolved"))
+    return out.unionByName(row("k % 7 = 0", F.lit(None).cast("long"), "references", "unresolved")).unionByName(row("k % 11 = 0", F.lit(None).cast("long"), "parent_of", "ambiguous"))
+
+
+#: The same in SQL.
+RING_SQL = """ring AS (
+  SELECT p_partkey::BIGINT AS source, (p_partkey // 3)::BIGINT AS target, 'c' || p_partkey AS relation_id, 'calls' AS relation_type, 'resolved' AS resolution_status, p_size % 2 AS t FROM part WHERE p_partkey >= 3
+  UNION ALL SELECT p_partkey, p_partkey // 2, 'u' || p_partkey, 'uses', 'resolved', p_size % 2 FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey, p_partkey * 3, 'o' || p_partkey, 'opens', 'resolved', p_size % 2 FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey, NULL, 'r' || p_partkey, 'references', 'unresolved', p_size % 2 FROM part WHERE p_partkey % 7 = 0
+  UNION ALL SELECT p_partkey, NULL, 'p' || p_partkey, 'parent_of', 'ambiguous', p_size % 2 FROM part WHERE p_partkey % 11 = 0)"""
+
+
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges supplier to part from lineitem: source, target, file_id (the order), relation_type."""
     return read(spark, sf_dir, "lineitem").select(
