@@ -22,10 +22,10 @@ PIECES = "_d long, start long, length long, ids binary, doc_tokens long, part in
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Rows of the offset table (a length, a task, a number) up to which it is broadcast: about 5 MB.
 MOST_OFFSETS = 200_000
-#: Units of text whose ids a worker remembers (about 40 bytes each), and their longest in bytes.
+#: Units of text whose ids a task remembers (about 40 bytes each), and their longest in bytes.
 REMEMBERED, SHORT = 1_500_000, 64
 #: UTF-8 bytes of text that are encoded at a time; a longer text comes alone.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bytes: ASCII letters, stops, visible ASCII, and what a character that is no white space can start with.
 LETTER, STOP, SEEN, START = (np.zeros(256, bool) for _ in range(4))
 LETTER[65:91] = LETTER[97:123] = True
@@ -52,9 +52,9 @@ def units_of(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids by the tokenizer of a file; one for each worker process, as Spark's tasks are the parallelism.
+    """Token ids by the tokenizer of a file; one for each worker process, as Spark's tasks are the parallelism; what it has learnt is forgotten after a task.
 
-    A byte-level tokenizer's tokens never cross certain places, so it encodes a text as it encodes the units between these, and each unit that texts repeat is encoded once; words new to the worker go to the tokenizer together,
+    A byte-level tokenizer's tokens never cross certain places, so it encodes a text as it encodes the units between these, and each unit that texts repeat is encoded once; words new to the task go to the tokenizer together,
     on a line each. Other tokenizers encode whole texts.
     """
 
@@ -169,24 +169,28 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 1024, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         places = np.zeros(most.bit_length(), np.int64)  # pieces so far, by the logarithm of their length
-        for batch in batches:
-            docs = batch.column(0).to_numpy()
-            for first, _, data, offsets in text_chunks(batch.column(1), CHUNK, 10_000):
-                ids, counts = encoder_of(tokenizer_path)(data, offsets, end_id)
-                doc, length = piece_lengths(counts, most)
-                ends = np.cumsum(length)
-                # pieces follow each other as the ids do, so the ids are the column's bytes as they are
-                bounds = np.append(0, ends * 4).astype(np.int32)
-                held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
-                kind = np.log2(length).astype(np.int64)
-                place = np.empty(len(doc), np.int64)
-                for k in np.unique(kind):
-                    at = np.flatnonzero(kind == k)
-                    place[at] = places[k] + np.arange(len(at))
-                    places[k] += len(at)
-                start = ends - length - (np.cumsum(counts) - counts)[doc]
-                columns = [pa.array(docs[first + doc]), pa.array(start), pa.array(length), held, pa.array(counts[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, NAMES)
+        try:
+            for batch in batches:
+                docs = batch.column(0).to_numpy()
+                for first, _, data, offsets in text_chunks(batch.column(1), CHUNK, 10_000):
+                    ids, counts = encoder_of(tokenizer_path)(data, offsets, end_id)
+                    doc, length = piece_lengths(counts, most)
+                    ends = np.cumsum(length)
+                    # pieces follow each other as the ids do, so the ids are the column's bytes as they are
+                    bounds = np.append(0, ends * 4).astype(np.int32)
+                    held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+                    kind = np.log2(length).astype(np.int64)
+                    place = np.empty(len(doc), np.int64)
+                    for k in np.unique(kind):
+                        at = np.flatnonzero(kind == k)
+                        place[at] = places[k] + np.arange(len(at))
+                        places[k] += len(at)
+                    start = ends - length - (np.cumsum(counts) - counts)[doc]
+                    columns = [pa.array(docs[first + doc]), pa.array(start), pa.array(length), held, pa.array(counts[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(place)]
+                    yield pa.RecordBatch.from_arrays(columns, NAMES)
+        finally:  # Spark keeps the process for later tasks, of other stages too
+            encoder_of(tokenizer_path).forget()
+            pa.default_memory_pool().release_unused()
 
     pieces = written(docs.select(id_or_lowest("doc_id").alias("_d"), F.col("text")).mapInArrow(cut, PIECES), "pieces", "zstd")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("_n"))
