@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where none is set (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a local master gets a new folder (tests); a cluster must name it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = context._jsc.sc().getCheckpointDir().get()

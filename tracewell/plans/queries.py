@@ -627,9 +627,9 @@ def recall_mrr(spark, sf_dir):
 
 def _holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents with each item whose ``said`` they contain. A text's words are looked up by each item's longest word of
-    ``said``, whole in it, so that texts meet items by an equi-join."""
-    words = F.split(F.col("said"), " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    ``said`` between two others, so that texts meet items by an equi-join; one of one or two words is found as whole words."""
+    words = F.filter(F.split(F.col("said"), "[ \n]"), lambda w: w != "")
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(words)
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     keyed = items.withColumn("_key", key)
     held = docs.select("doc_id", "n_chars", "text").withColumn("_key", F.explode(F.array_distinct(F.split(F.col("text"), "[ \n]"))))
@@ -704,10 +704,15 @@ def chunk_documents(spark, sf_dir):
 
 @query()
 def context_budget(spark, sf_dir):
-    """Each benchmark item as a question: the documents that hold its first words, packed into a context of 2,000 tokens."""
+    """Each benchmark item as a question: the 50 best of the documents that hold the item, packed into a context of 2,000 tokens. Ranks are made of rows without texts."""
     docs, items = P.read(spark, sf_dir, "documents"), P.read(spark, sf_dir, "benchmark")
-    found = _holding(docs, items.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("said")))
-    rows = found.select("query_id", F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("sha256"), T.keyword_score(F.col("text"), TOKENS).alias("score"), F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.col("text").alias("content"))
+    found = _holding(docs, items.select(F.col("item_id").alias("query_id"), F.col("text").alias("said")))
+    from pyspark.sql.window import Window
+
+    scored = found.select("query_id", F.col("doc_id").alias("chunk_id"), T.keyword_score(F.col("text"), TOKENS).alias("score"))
+    best = scored.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter("_k <= 50").drop("_k")
+    texts = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    rows = best.join(texts, "chunk_id").select("query_id", "chunk_id", F.sha2("content", 256).alias("sha256"), "score", F.col("chunk_id").alias("document_id"), F.lit(0).alias("ordinal"), "content")
     return context.select_context(rows, 2000, 0.2).select("query_id", "chunk_id", "source", "decision", "tokens")
 
 
