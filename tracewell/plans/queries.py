@@ -11,6 +11,7 @@ from tracewell.functions import text as T
 from tracewell.functions import vectors as V
 from tracewell.operators import catalog, context, evaluation, graph, incremental, inventory, resolution, retrieval
 from tracewell.plans import tables as P
+from tracewell.plans.materialize import written
 from tracewell.sources import code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -383,7 +384,8 @@ def _catalog(spark, sf_dir):
     for more in extra:
         symbols = symbols.unionByName(catalog.symbols_of(more, "oracle"))
     references = catalog.sourced(code.references(scripts, "oracle"), own, "oracle")
-    return references, symbols
+    # both are read several times, and scripts should be read once
+    return written(references, "references"), written(symbols, "symbols")
 
 
 _CATALOG = f"""{_CODE},
