@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
@@ -12,28 +10,15 @@ from tracewell.functions import vectors as V
 from tracewell.operators import catalog, context, evaluation, graph, incremental, inventory, resolution, retrieval
 from tracewell.plans import tables as P
 from tracewell.plans.materialize import written
+from tracewell.plans.registry import QUERIES, SQL, Query, query
 from tracewell.sources import code
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 QUESTION = "the license version of that and 3"
 TOKENS = ["the", "license", "version", "of", "that", "and", "3"]
 CONCEPTS = ["license", "version", "public", "that", "with"]
 STOPWORDS = ["that", "with", "from", "were", "this", "have"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _keyword_sql(tokens: list[str], text: str = "content") -> str:
     matched = " + ".join(f"contains(lower({text}), '{t}')::INT" for t in tokens)
     first = f"(length({text}) - length(replace(lower({text}), '{tokens[0]}', ''))) / {len(tokens[0])}"
@@ -724,3 +709,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# these modules add their queries to the registry
+from tracewell.plans import evidence, specifications  # noqa: E402, F401
