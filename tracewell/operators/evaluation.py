@@ -74,3 +74,47 @@ def privacy_decision(targets: DataFrame, statuses: DataFrame) -> DataFrame:
         .otherwise("warning")
     )
     return targets.join(wide, "target", "left").select("target", "execution", decision.alias("decision"))
+
+
+def context_scores(cases: DataFrame) -> DataFrame:
+    """Of each case: fact_coverage, source_recall, citation_precision and citation_recall, to six digits. Nothing expected is a recall of 1; no citations are a precision of 0.
+
+    In: case_id, context, answer, facts (array of texts), expected (array of chunk ids), selected (array of structs source_id, chunk_id).
+    """
+    said = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[(F\d+)\]"), F.lit(1)))
+    allowed = F.array_distinct(F.transform("selected", lambda s: s["source_id"]))
+    wanted = F.array_distinct(F.transform(F.filter("selected", lambda s: F.array_contains(F.col("expected"), s["chunk_id"])), lambda s: s["source_id"]))
+    valid = F.array_intersect(said, allowed)
+    share = lambda part, whole, empty: F.round(F.when(F.size(whole) == 0, F.lit(empty)).otherwise(F.size(part) / F.nullif(F.size(whole), F.lit(0))), 6)
+    found = F.filter("facts", lambda fact: F.contains(F.col("context"), fact))
+    expected = F.array_distinct("expected")
+    chosen = F.array_distinct(F.transform("selected", lambda s: s["chunk_id"]))
+    return cases.select(
+        "case_id", share(found, F.col("facts"), 1.0).alias("fact_coverage"), share(F.array_intersect(expected, chosen), expected, 1.0).alias("source_recall"), share(valid, said, 0.0).alias("citation_precision"),
+        F.when(F.size("expected") == 0, F.lit(1.0)).otherwise(share(F.array_intersect(valid, wanted), wanted, 0.0)).alias("citation_recall"),
+    )
+
+
+def graph_benchmark(cases: DataFrame) -> DataFrame:
+    """Of each policy: mean recall of cases that expect more than one component, noise of all that was selected, mean chunks and tokens, and milliseconds (mean and the middle sample, the upper one of two).
+
+    In: policy, expected, recall, noise, selected, tokens, elapsed_ms.
+    """
+    # sorted samples of a policy are a window, so that no policy's samples are one array
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("policy").orderBy("elapsed_ms")
+    placed = cases.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("policy"))})
+    mean = lambda c, digits: F.round(F.avg(c), digits)
+    return placed.groupBy("policy").agg(
+        mean(F.when(F.col("expected") > 1, F.col("recall")), 6).alias("multi_recall"), F.round(F.sum("noise") / F.greatest(F.lit(1), F.sum("selected")), 6).alias("noise_ratio"),
+        mean("selected", 3).alias("chunks"), mean("tokens", 3).alias("tokens"), mean("elapsed_ms", 6).alias("mean_ms"), F.round(F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("elapsed_ms"))), 6).alias("middle_ms"),
+    )
+
+
+def execution_order(models: DataFrame, cases: DataFrame) -> DataFrame:
+    """The place of each model in each case: the models' order, turned by one a case. models: model, index from 0 (a short list, counted). cases: case_id, case_index."""
+    n = models.count()
+    listed = models.agg(F.collect_list(F.struct("index", "model")).alias("_m"))  # a benchmark's models, one row
+    rows = cases.select("case_id", "case_index").join(F.broadcast(listed)).select("case_id", "case_index", F.explode("_m").alias("_x"))
+    return rows.select("case_id", F.col("_x.model").alias("model"), F.pmod(F.col("_x.index") - F.col("case_index"), F.lit(max(1, n))).alias("place"))

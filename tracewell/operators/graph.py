@@ -220,3 +220,52 @@ def type_histogram(edges: DataFrame, end: str) -> DataFrame:
     """Relations of each symbol by type, as a sorted array of (relation_type, n)."""
     counted = edges.groupBy(F.col(end).alias("symbol_id"), "relation_type").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct("relation_type", "n"))).alias("types"))
+
+
+#: Confidences from low to high.
+CONFIDENCES = ("low", "medium", "high")
+
+
+def adjacent(edges: DataFrame, symbols: DataFrame, nodes: DataFrame, direction: str = "outgoing", relation_types: list[str] | None = None, resolution_status: str | None = "resolved",
+             least_confidence: str | None = None, technology: str | None = None, domain: str | None = None) -> DataFrame:
+    """Active relations at each node, filtered: (node, neighbour, relation_id, relation_type, resolution_status, target_key, direction, position).
+
+    edges: source, target (null if unresolved), relation_id, relation_type, resolution_status, confidence, status, target_key. symbols: symbol_id, technology, domain. nodes: node. An empty list of types
+    gives nothing. ``technology`` must be that of either end that is known, ``domain`` that of the node and of every end that is known. position counts by type, status, target key and id.
+    """
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction must be one of {DIRECTIONS}")
+    kept = edges.filter("status = 'active'")
+    if relation_types is not None:
+        kept = kept.filter(F.col("relation_type").isin(*relation_types)) if relation_types else kept.limit(0)
+    if resolution_status is not None:
+        kept = kept.filter(F.col("resolution_status") == resolution_status)
+    if least_confidence is not None:
+        kept = kept.filter(F.col("confidence").isin(*CONFIDENCES[CONFIDENCES.index(least_confidence) :]))
+    ways = [kept.withColumns({"node": F.col("source"), "neighbour": F.col("target"), "direction": F.lit("outgoing")}), kept.filter("target is not null").withColumns({"node": F.col("target"), "neighbour": F.col("source"), "direction": F.lit("incoming")})]
+    chosen = {"outgoing": ways[:1], "incoming": ways[1:], "both": ways}[direction]
+    rows = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
+    rows = rows.join(nodes.select("node").distinct(), "node", "left_semi")
+    if technology is not None or domain is not None:
+        of = lambda end: symbols.select(F.col("symbol_id").alias(end), F.col("technology").alias(f"_{end}_t"), F.col("domain").alias(f"_{end}_d"))
+        rows = rows.join(of("node"), "node", "left").join(of("neighbour"), "neighbour", "left")
+        same = lambda column, value: F.coalesce(F.col(column) == value, F.lit(False))
+        if technology is not None:
+            wanted = technology.strip().lower()
+            rows = rows.filter(same("_node_t", wanted) | same("_neighbour_t", wanted))
+        if domain is not None:
+            rows = rows.filter(same("_node_d", domain) & F.coalesce(F.col("_neighbour_d") == domain, F.lit(True)))
+    order = Window.partitionBy("node").orderBy("relation_type", "resolution_status", "target_key", "relation_id", "direction")
+    return rows.withColumn("position", F.row_number().over(order)).select("node", "neighbour", "relation_id", "relation_type", "resolution_status", "target_key", "direction", "position")
+
+
+def ordered_edges(traces: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Traces with their place in the output of their root: by depth, relation type, technology and name of the target (its key if it names no symbol), and id. symbols: symbol_id, technology, name."""
+    named = traces.join(symbols.select(F.col("symbol_id").alias("target"), F.col("technology").alias("_t"), F.col("name").alias("_n")), "target", "left")
+    order = Window.partitionBy("root").orderBy("depth", "relation_type", F.coalesce("_t", F.lit("")), F.coalesce("_n", "target_key", F.lit("")), "relation_id", "source")
+    return named.withColumn("place", F.row_number().over(order)).drop("_t", "_n")
+
+
+def top_patterns(rows: DataFrame, metric: str, name: str = "symbol_id", limit: int = 10) -> DataFrame:
+    """The report of a pattern: symbols with evidence and a metric above 0, greatest first, then by name."""
+    return rows.filter((F.col("status") != "insufficient_evidence") & (F.col(metric) > 0)).orderBy(F.desc(metric), name).limit(limit)

@@ -127,3 +127,60 @@ def enrich(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
         *[F.col(f"a.{c}") for c in candidates.columns if c not in shared and c != "chunk_id"],
         *[F.col(f"b.{c}") for c in chunks.columns if c not in shared and c != "chunk_id"],
     )
+
+
+def structured_filter(symbols: DataFrame, artifact_kind=None, language=None, document_id=None, folder=None, extension=None) -> DataFrame:
+    """Filters of structured search: the folder is a prefix of the path's folder with its case, the extension an ending in any case, and only Oracle and PowerBuilder have a language.
+
+    In: relative_path, artifact_kind (null: the technology), technology, document_id.
+    """
+    kind = F.coalesce("artifact_kind", "technology")
+    spoken = F.when(kind == "oracle", "plsql").when(kind == "powerbuilder", "powerscript")
+    path = F.replace(F.coalesce("relative_path", F.lit("")), F.lit("\\"), F.lit("/"))
+    out = symbols
+    for column, value in ((kind, artifact_kind), (spoken, language), (F.col("document_id"), document_id)):
+        if value is not None:
+            out = out.filter(F.coalesce(column == value, F.lit(False)))
+    if folder is not None:
+        out = out.filter(F.startswith(T.folder_of(path), F.lit(folder.rstrip("/"))))
+    if extension is not None:
+        out = out.filter(F.endswith(F.lower(path), F.lit(extension.lower())))
+    return out
+
+
+MODES = ("semantic", "keyword", "hybrid")
+
+
+def search(chunks: DataFrame, vectors: DataFrame | None, tokens: list[str], query: list[float] | None, mode: str = "hybrid", top_k: int = 10, candidate_k: int = 50, threshold: float = 0.0,
+           vector_weight: float = 0.6, keyword_weight: float = 0.4, defer_top_k: bool = False) -> DataFrame:
+    """Search as a service: candidates (chunk_id, vector_score, keyword_score, combined_score, rank, status) of one mode, with rank from 0.
+
+    Each channel finds its ``candidate_k``; ``defer_top_k`` keeps as many, for a later selection. Without an index (``vectors`` or ``query`` None) the vector side is empty. Nothing found is one row
+    without a chunk and status insufficient_evidence; else the status is completed.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    limit = candidate_k if defer_top_k else top_k
+    kind = dict(chunks.dtypes)["chunk_id"]
+    spark = chunks.sparkSession
+    none = spark.createDataFrame([], f"chunk_id {kind}, score double")
+    near = vector_search(vectors, query, candidate_k, threshold).select("chunk_id", "score") if mode != "keyword" and vectors is not None and query is not None else none
+    said = keyword_search(chunks, tokens, candidate_k).select("chunk_id", "score") if mode != "semantic" else none
+    if mode == "hybrid":
+        found = hybrid_fusion(near, said, vector_weight, keyword_weight, limit, threshold)
+    else:
+        one = (near if mode == "semantic" else said).filter(F.col("score") >= threshold)
+        columns = [F.when(F.lit(mode == m), F.col("score")).alias(f"{c}_score") for m, c in (("semantic", "vector"), ("keyword", "keyword"))]
+        # a keyword search's own order has the path before the id
+        order = [F.desc("combined_score"), "relative_path", "ordinal", "chunk_id"] if mode == "keyword" else [F.desc("combined_score"), "chunk_id"]
+        found = one.select("chunk_id", *columns, F.col("score").alias("combined_score"))
+        if mode == "keyword":
+            found = found.join(chunks.select("chunk_id", "relative_path", "ordinal"), "chunk_id")
+        found = found.orderBy(*order).limit(limit).select("chunk_id", "vector_score", "keyword_score", "combined_score", *([] if mode == "semantic" else ["relative_path", "ordinal"]))
+    # at most ``limit`` rows are numbered here
+    names = [c for c in ("relative_path", "ordinal") if c in found.columns]
+    rank = F.row_number().over(Window.orderBy(F.desc("combined_score"), *names, "chunk_id")) - 1
+    found = found.withColumn("rank", rank).select("chunk_id", "vector_score", "keyword_score", "combined_score", "rank")
+    status = spark.range(1).select(F.lit(True).alias("_one"))
+    joined = status.join(found.withColumn("_one", F.lit(True)), "_one", "left")
+    return joined.select(*found.columns, F.when(F.col("chunk_id").isNull(), "insufficient_evidence").otherwise("completed").alias("status"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import selection
+from tracewell.functions import vectors as V
+from tracewell.operators import catalog, evaluation, graph, retrieval, selection
 from tracewell.plans import tables as P
 from tracewell.plans.registry import query
 
@@ -107,3 +108,110 @@ def redundancy_report(spark, sf_dir):
     docs = P.read(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("query_id"), F.concat("lang", (F.col("doc_id") % 100).cast("string")).alias("chunk_id"), F.col("doc_id").alias("rank"), F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
     return selection.redundancy(rows)
+
+
+#: The searches' SQL is that of the single queries, at other limits.
+_TOKENS = ["the", "license", "version"]
+_KEYWORD = """k AS (SELECT doc_id AS chunk_id, path, CASE WHEN m > 0 THEN least(1.0, m / 3.0 + least(0.25, f / 20.0)) ELSE 0.0 END AS score FROM (
+  SELECT doc_id, source || '/' || doc_id || '.txt' AS path, contains(lower(text), 'the')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'version')::INT AS m,
+    (length(text) - length(replace(lower(text), 'the', ''))) / 3 AS f FROM documents))"""
+_VECTOR = """q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0),
+v AS (SELECT vec_id AS chunk_id, greatest(0.0, least(1.0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q)"""
+
+
+@query(f"""WITH {_KEYWORD}, {_VECTOR},
+kk AS (SELECT * FROM k WHERE score > 0 ORDER BY score DESC, path, chunk_id LIMIT 30), vv AS (SELECT * FROM (SELECT * FROM v ORDER BY score DESC, chunk_id LIMIT 30) WHERE score >= 0.2),
+p AS (SELECT chunk_id, vv.score AS vs, kk.score AS ks FROM vv FULL JOIN kk USING (chunk_id)), s AS (SELECT min(vs) AS vl, max(vs) AS vh, min(ks) AS kl, max(ks) AS kh FROM p),
+h AS (SELECT chunk_id, vs, ks, 0.6 * CASE WHEN vs IS NULL THEN 0 WHEN vh = vl THEN 1 ELSE (vs - vl) / (vh - vl) END + 0.4 * CASE WHEN ks IS NULL THEN 0 WHEN kh = kl THEN 1 ELSE (ks - kl) / (kh - kl) END AS score FROM p, s)
+SELECT 'keyword' AS mode, chunk_id, round(score, 6) AS combined_score, row_number() OVER (ORDER BY score DESC, path, chunk_id) - 1 AS rank, 'completed' AS status FROM kk WHERE score >= 0.2 QUALIFY rank < 10
+UNION ALL SELECT 'semantic', chunk_id, round(score, 6), row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank, 'completed' FROM vv QUALIFY rank < 30
+UNION ALL SELECT 'hybrid', chunk_id, round(score, 6), row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank, 'completed' FROM h WHERE score >= 0.2 QUALIFY rank < 10
+UNION ALL SELECT 'no index', NULL, NULL, NULL, 'insufficient_evidence'""")
+def search_service(spark, sf_dir):
+    """One question in each mode, the semantic one with its top-k deferred, and one without an index."""
+    chunks, vectors, asked = P.chunks(spark, sf_dir), P.vectors(spark, sf_dir), P.query_vector(spark, sf_dir)
+    out = None
+    for name, mode, index in (("keyword", "keyword", vectors), ("semantic", "semantic", vectors), ("hybrid", "hybrid", vectors), ("no index", "semantic", None)):
+        found = retrieval.search(chunks, index, _TOKENS, asked, mode, 10, 30, 0.2, defer_top_k=mode == "semantic")
+        found = found.select(F.lit(name).alias("mode"), "chunk_id", F.round("combined_score", 6).alias("combined_score"), "rank", "status")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("""WITH s AS (SELECT p_partkey AS symbol_id, CASE WHEN p_size % 2 = 0 THEN 'oracle' ELSE 'powerbuilder' END AS technology, lower(p_brand) || '/' || p_size || '/' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.SQL' ELSE '.srw' END AS path,
+  CASE p_size % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'view' ELSE 'procedure' END AS kind, p_size % 5 <> 0 AS active, p_name FROM part)
+SELECT 'inventory' AS filter, symbol_id FROM s WHERE technology = 'oracle' AND kind = 'procedure' AND active AND p_name ILIKE '%e%' AND path ILIKE 'BRAND#1%'
+UNION ALL SELECT 'structured', symbol_id FROM s WHERE technology = 'oracle' AND starts_with(path, 'brand#1') AND path ILIKE '%.sql'""")
+def symbol_filters(spark, sf_dir):
+    """Parts as symbols, by the filters of the inventory and of structured search."""
+    size = F.col("p_size")
+    path = F.concat(F.lower("p_brand"), F.lit("/"), size, F.lit("/"), F.col("p_partkey"), F.when(size % 3 == 0, ".SQL").otherwise(".srw"))
+    symbols = P.read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("symbol_id"), F.when(size % 2 == 0, "oracle").otherwise("powerbuilder").alias("technology"), F.lit(None).cast("string").alias("artifact_kind"), path.alias("relative_path"),
+        F.when(size % 4 == 0, "table").when(size % 4 == 1, "view").otherwise("procedure").alias("symbol_type"), F.col("p_brand").alias("container"), F.lower("p_name").alias("name"), F.col("p_name").alias("original_name"),
+        F.when(size % 5 != 0, "active").otherwise("deleted").alias("status"), F.lit("high").alias("confidence"), F.col("p_partkey").alias("document_id"),
+    )
+    a = catalog.inventory(symbols, technology=" Oracle", symbol_type="PROCEDURE", name="E", path="BRAND#1")
+    b = retrieval.structured_filter(symbols, language="plsql", folder="brand#1", extension=".Sql")
+    return a.select(F.lit("inventory").alias("filter"), "symbol_id").unionByName(b.select(F.lit("structured").alias("filter"), "symbol_id"))
+
+
+@query(f"""WITH {P.RING_SQL}, e AS (SELECT *, ['low', 'medium', 'high'][source % 3 + 1] AS confidence, source % 9 <> 0 AS active FROM ring),
+s AS (SELECT p_partkey AS id, p_size % 2 AS t, p_size % 4 AS d FROM part),
+b AS (SELECT source AS node, target AS neighbour, relation_id, relation_type, resolution_status, coalesce(target, 0) AS k, 'outgoing' AS direction FROM e WHERE active AND confidence <> 'low'
+  UNION ALL SELECT target, source, relation_id, relation_type, resolution_status, coalesce(target, 0), 'incoming' FROM e WHERE active AND confidence <> 'low' AND target IS NOT NULL)
+SELECT node, neighbour, relation_id, b.direction, row_number() OVER (PARTITION BY node ORDER BY relation_type, resolution_status, 'part' || k, relation_id, b.direction) AS position FROM b JOIN s x ON x.id = node LEFT JOIN s y ON y.id = neighbour
+WHERE relation_type IN ('calls', 'uses', 'references') AND (x.t = 0 OR coalesce(y.t = 0, false)) AND x.d = 2 AND coalesce(y.d, 2) = 2""")
+def graph_adjacency(spark, sf_dir):
+    """Relations at every part in both directions, by type, confidence, technology and domain."""
+    third = F.element_at(F.array(*map(F.lit, graph.CONFIDENCES)), (F.col("source") % 3 + 1).cast("int"))
+    edges = P.ring(spark, sf_dir).withColumns({"confidence": third, "status": F.when(F.col("source") % 9 != 0, "active").otherwise("deleted")})
+    parts = P.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("symbol_id"), F.when(F.col("p_size") % 2 == 0, "oracle").otherwise("powerbuilder").alias("technology"), (F.col("p_size") % 4).cast("string").alias("domain"))
+    found = graph.adjacent(edges, parts, parts.select(F.col("symbol_id").alias("node")), "both", ["calls", "uses", "references"], None, "medium", "Oracle", "2")
+    return found.select("node", "neighbour", "relation_id", "direction", "position")
+
+
+@query("""WITH d AS (SELECT doc_id, unhex(sha256(text)) AS seed FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, sha256(seed || unhex('00000000')) AS h FROM d),
+b AS (SELECT doc_id, list_transform(range(8), lambda i: ('0x' || h[i * 2 + 1:i * 2 + 2])::INT / 255.0::DOUBLE) AS b FROM h)
+SELECT doc_id, array_to_string(list_transform(b, lambda x: round(x / sqrt(list_sum(list_transform(b, lambda y: y * y))), 6)), ',') AS embedding FROM b""")
+def digest_embeddings(spark, sf_dir):
+    rows = P.read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", V.digest_embedding(F.col("text")).alias("e"))
+    return rows.select("doc_id", F.array_join(F.transform("e", lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
+
+
+@query("""WITH c AS (SELECT l_suppkey % 5 AS policy, l_linenumber AS expected, l_discount AS recall, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS noise, l_linenumber AS selected, l_quantity AS tokens, l_extendedprice AS ms FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY policy ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY policy) AS n FROM c)
+SELECT policy, round(avg(CASE WHEN expected > 1 THEN recall END), 6) AS multi_recall, round(sum(noise) / greatest(1, sum(selected)), 6) AS noise_ratio, round(avg(selected), 3) AS chunks, round(avg(tokens), 3) AS tokens,
+round(max(CASE WHEN i = n // 2 THEN ms END), 6) AS middle_ms FROM o GROUP BY 1""")
+def graph_benchmark(spark, sf_dir):
+    """Line items as cases of five policies."""
+    rows = P.read(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 5).alias("policy"), F.col("l_linenumber").alias("expected"), F.col("l_discount").alias("recall"), (F.col("l_returnflag") == "A").cast("int").alias("noise"),
+        F.col("l_linenumber").alias("selected"), F.col("l_quantity").alias("tokens"), F.col("l_extendedprice").alias("elapsed_ms"),
+    )
+    return evaluation.graph_benchmark(rows).drop("mean_ms")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS case_id, list_distinct(list(l_partkey)) AS chosen, list_distinct(list(l_partkey) FILTER (WHERE l_returnflag = 'A')) AS expected, list_distinct(list('F' || l_linenumber)) AS allowed,
+  list_distinct(list('F' || l_linenumber) FILTER (WHERE l_returnflag = 'A')) AS wanted, list_distinct(list('F' || (l_linenumber + CASE WHEN l_discount > 0.05 THEN 0 ELSE 3 END)) FILTER (WHERE l_discount > 0.02)) AS said FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+n AS (SELECT case_id, coalesce(len(expected), 0) AS e, coalesce(len(said), 0) AS s, coalesce(len(list_intersect(said, allowed)), 0) AS v, coalesce(len(wanted), 0) AS w, coalesce(len(list_intersect(said, wanted)), 0) AS r FROM c)
+SELECT case_id, CASE WHEN s = 0 THEN 0.0 ELSE round(v / s, 6) END AS citation_precision, CASE WHEN e = 0 THEN 1.0 WHEN w = 0 THEN 0.0 ELSE round(r / w, 6) END AS citation_recall FROM n""")
+def citation_scores(spark, sf_dir):
+    """Orders as cases: their items are the sources, the returned ones the expected, and the discounted ones are cited, some under a false number."""
+    number = F.concat(F.lit("F"), F.col("l_linenumber").cast("string"))
+    cited = F.concat(F.lit("[F"), (F.col("l_linenumber") + F.when(F.col("l_discount") > 0.05, 0).otherwise(3)).cast("string"), F.lit("]"))
+    rows = P.read(spark, sf_dir, "lineitem").join(P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    # an item of an order is expected or not by its own flag, so expected ones get a key of their own
+    chunk = F.concat(F.col("l_returnflag"), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey"))
+    cases = rows.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        F.collect_list(F.when(F.col("l_discount") > 0.02, cited)).alias("_a"), F.collect_list(F.when(F.col("l_returnflag") == "A", chunk)).alias("expected"), F.collect_list(F.struct(number.alias("source_id"), chunk.alias("chunk_id"))).alias("selected")
+    )
+    cases = cases.select("case_id", F.lit("").alias("context"), F.array_join("_a", " ").alias("answer"), F.array().cast("array<string>").alias("facts"), "expected", "selected")
+    return evaluation.context_scores(cases).select("case_id", "citation_precision", "citation_recall")
+
+
+@query("SELECT o_orderkey AS case_id, r_name AS model, ((r_regionkey - o_orderkey % 5) % 5 + 5) % 5 AS place FROM orders, region")
+def execution_order(spark, sf_dir):
+    """Regions as models, orders as cases."""
+    models = P.read(spark, sf_dir, "region").select(F.col("r_name").alias("model"), F.col("r_regionkey").alias("index"))
+    return evaluation.execution_order(models, P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderkey") % 5).alias("case_index")))
