@@ -106,3 +106,28 @@ def json_or_empty(text: Column) -> Column:
 def deterministic_id(*parts: Column) -> Column:
     """A SHA-256 over the parts as a JSON array: equal parts, equal id."""
     return F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256)
+
+
+#: How an answer says that there is not enough evidence, and the verbs whose negation can contradict a context.
+INSUFFICIENT = "evidencia insuficiente"
+NEGATED = ("es", "usa", "utiliza")
+
+
+def strip_citations(text: Column) -> Column:
+    return F.regexp_replace(text, r"\[F\d+\]", " ")
+
+
+def cited_claims(text: Column) -> Column:
+    """The claims of an answer with a citation: an array of (claim, sources), the sources sorted."""
+    trimmed = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda p: F.btrim(p, F.lit(" -\t")))
+    with_sources = F.transform(trimmed, lambda p: F.struct(p.alias("claim"), F.sort_array(citations(p)).alias("sources")))
+    return F.filter(with_sources, lambda c: F.size(c["sources"]) > 0)
+
+
+def uncited_blocks(text: Column, stopwords: list[str]) -> Column:
+    """Paragraphs and list items of an answer that say something and cite nothing. Fenced code, headings and blank lines end a block and are none."""
+    no_code = F.regexp_replace(text, r"(?m)^[ \t]*```[\s\S]*?(?:^[ \t]*```[^\n]*$|\z)", "\n\n")
+    no_heads = F.regexp_replace(no_code, r"(?m)^[ \t]*#{1,6}[ \t]+.*$", "\n\n")
+    items = F.regexp_replace(no_heads, r"(?m)^[ \t]*((?:[-*+]|\d+[.)])[ \t]+)", "\n\n$1")
+    blocks = F.transform(F.split(items, r"\n[ \t]*\n\s*"), lambda b: strip(F.regexp_replace(b, r"\s*\n\s*", " ")))
+    return F.filter(blocks, lambda b: ~b.rlike(r"\[F\d+\]") & (F.size(important_tokens(strip_citations(b), stopwords)) > 0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import vectors as V
-from tracewell.operators import catalog, evaluation, graph, retrieval, selection
+from tracewell.operators import catalog, context, evaluation, graph, retrieval, runs, selection
 from tracewell.plans import tables as P
 from tracewell.plans.registry import query
 
@@ -215,3 +215,45 @@ def execution_order(spark, sf_dir):
     """Regions as models, orders as cases."""
     models = P.read(spark, sf_dir, "region").select(F.col("r_name").alias("model"), F.col("r_regionkey").alias("index"))
     return evaluation.execution_order(models, P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderkey") % 5).alias("case_index")))
+
+
+@query("""SELECT c_custkey AS answer_id, CASE c_custkey % 8 WHEN 0 THEN 'valid' WHEN 1 THEN 'unknown_citation' WHEN 2 THEN 'no_valid_citation' WHEN 3 THEN 'not_answering' WHEN 4 THEN 'contradiction' WHEN 5 THEN 'unsupported' WHEN 6 THEN 'unsupported' ELSE 'valid' END AS verdict,
+CASE WHEN c_custkey % 8 IN (5, 6) THEN 1 ELSE 0 END AS n_unsupported, CASE WHEN c_custkey % 8 = 4 THEN 1 ELSE 0 END AS n_contradictions FROM customer""")
+def answer_verdicts(spark, sf_dir):
+    """An answer a customer on two sources, of eight kinds by its number; the SQL has the verdict from the kind."""
+    k = F.col("c_custkey")
+    rows = P.read(spark, sf_dir, "customer").select(k, (k % 8).alias("kind"), k.cast("string").alias("n"))
+    true = F.concat(F.lit("La tabla cliente_"), "n", F.lit(" usa índice_"), "n", F.lit(" siempre"))
+    aside = F.when(k % 16 == 0, F.concat(F.lit("\n```sql\ncarga_"), "n", F.lit(" sin cita\n```\n## Titulo nocturno\n- Proceso carga_"), "n", F.lit(" nocturno [F2]"))).otherwise("")
+    text = (
+        F.when(F.col("kind") == 1, F.concat(true, F.lit(" [F9].")))
+        .when(F.col("kind") == 2, F.concat(true, F.lit(".")))
+        .when(F.col("kind") == 4, F.concat(F.lit("La tabla cliente_"), "n", F.lit(" no usa indice_"), "n", F.lit(" [F1].")))
+        .when(F.col("kind") == 5, F.concat(F.lit("La tabla otra_"), "n", F.lit(" guarda saldo [F1].")))
+        .when(F.col("kind") == 6, F.concat(true, F.lit(" [F1].\n\nEl proceso carga_"), "n", F.lit(" también corre.")))
+        .when(F.col("kind") == 7, F.lit("Evidencia insuficiente [F1]."))
+        .otherwise(F.concat(true, F.lit(" [F1]."), aside))
+    )
+    question = F.when(F.col("kind").isin(3, 7), "precio moneda cambio").otherwise(F.concat(F.lit("tabla cliente_"), "n", F.lit(" campo saldo")))
+    answers = rows.select(k.alias("answer_id"), question.alias("question"), text.alias("text"))
+    first = F.concat(F.lit("La tabla CLIENTE_"), "n", F.lit(" usa indice_"), "n", F.lit(" para el campo saldo"))
+    second = F.concat(F.lit("El proceso carga_"), "n", F.lit(" es nocturno"))
+    sources = rows.select(k.alias("answer_id"), F.explode(F.array(F.struct(F.lit("F1").alias("source_id"), first.alias("content")), F.struct(F.lit("F2").alias("source_id"), second.alias("content")))).alias("_s")).select("answer_id", "_s.*")
+    return context.validate_answers(answers, sources, ["para", "siempre"])
+
+
+@query("""WITH c AS (SELECT doc_id AS chunk_id, sha256(text) AS h, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' AS blank FROM documents),
+s AS (SELECT p.doc_id AS chunk_id, sha256(p.text) AS h, p.lang = 'de' AS failed FROM documents p WHERE p.source <> 'src3'
+  UNION ALL SELECT -1 - conv_id, sha256('' || conv_id), false FROM (SELECT DISTINCT conv_id FROM conversations)),
+j AS (SELECT chunk_id, c.chunk_id IS NOT NULL AS here, s.chunk_id IS NOT NULL AS known, s.failed, blank FROM (SELECT *, chunk_id AS i FROM c) c FULL JOIN s USING (chunk_id)),
+a AS (SELECT *, CASE WHEN NOT here THEN 'delete' WHEN NOT known THEN 'new' WHEN failed THEN 'update' ELSE 'unchanged' END AS action FROM j)
+SELECT action, CASE WHEN action = 'delete' THEN 'deleted' WHEN action <> 'unchanged' AND blank THEN 'error' ELSE 'indexed' END AS status, count(*) AS n FROM a GROUP BY ALL""")
+def index_run(spark, sf_dir):
+    """Documents indexed anew after an index of all sources but one, of which one language failed, and which also held the conversations."""
+    docs = P.read(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
+    vector = F.array(F.lit(1.0))
+    held = docs.filter("source != 'src3'").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("sha256"), F.when(F.col("lang") == "de", "error").otherwise("indexed").alias("status"), vector.alias("embedding"))
+    talks = P.read(spark, sf_dir, "conversations").select("conv_id").distinct().select((-1 - F.col("conv_id")).alias("chunk_id"), F.sha2(F.col("conv_id").cast("string"), 256).alias("sha256"), F.lit("indexed").alias("status"), vector.alias("embedding"))
+    done = runs.index(chunks, held.unionByName(talks), 8)
+    return done.groupBy("action", "status").agg(F.count(F.lit(1)).alias("n"))
