@@ -60,8 +60,8 @@ def hybrid_fusion(vector: DataFrame, keyword: DataFrame, vector_weight: float, k
         raise ValueError("weights must not be negative, nor both 0")
     best = lambda df, name: df.groupBy("chunk_id").agg(F.max("score").alias(name))
     both = best(vector, "vector_score").join(best(keyword, "keyword_score"), "chunk_id", "full_outer")
-    spans = both.agg(*[f(c).alias(f"{c}_{n}") for c in ("vector_score", "keyword_score") for n, f in (("low", F.min), ("high", F.max))])
-    scaled = both.join(F.broadcast(spans))  # one row
+    every = Window.partitionBy(F.lit(0))  # two searches' top rows, read once
+    scaled = both.withColumns({f"{c}_{n}": f(c).over(every) for c in ("vector_score", "keyword_score") for n, f in (("low", F.min), ("high", F.max))})
     part = lambda c: V.min_max(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high"))
     combined = (vector_weight * part("vector_score") + keyword_weight * part("keyword_score")) / (vector_weight + keyword_weight)
     out = scaled.withColumn("combined_score", combined).filter(F.col("combined_score") >= threshold)

@@ -80,26 +80,30 @@ def ingest(spark: SparkSession, roots: list[str], table: str, run: int, extensio
     first = written(first.withColumn("decision", F.when((F.col("status") != "found") & (F.col("decision") == "unchanged"), "not_processed").otherwise(F.col("decision"))), "decisions")
     open_ = first.filter("decision != 'unchanged'")
     since = open_.agg(F.min("modified_at")).first()[0]  # one value
-    read = found.filter(F.col("modified_at") >= F.lit(since)) if since is not None else found.limit(0)
-    read = read.join(open_.select("root", "path"), ["root", "path"], "left_semi").select(*columns, "content", "sha256", "status")
-    second = file_decisions(read, known, settings, full).withColumnRenamed("status", "_found")
-    texts = decode(second.filter("decision != 'touch'"))
-    failed = F.when(F.col("_found") != "found", F.col("_found")).when(F.col("text").isNull(), F.coalesce("warning", F.lit("TEXT_DECODE_FAILED")))
-    texts = written(texts.withColumn("error", failed).select(*columns, "sha256", "decision", "_found", "error", F.when(failed.isNull(), normalize_newlines(F.col("text"))).alias("text")), "texts")
-    chunks = chunk_documents(texts.filter("error is null").select(F.col("path").alias("document_id"), "text"), size, overlap)
-    chunks.write.mode("errorifexists").parquet(f"{table.rstrip('/')}/chunks/run={run}")
-    status = F.when(F.col("error").isNull(), "processed").when(F.col("_found") != "found", "skipped").otherwise("error")
-    done = texts.select(*columns, "sha256", F.lit(settings).alias("signature"), status.alias("status"), "error", "decision", F.when(F.col("error").isNull(), run).alias("chunks_run"))
     before = known.select("path", "sha256", "signature", "status", "error", "chunks_run")
-    touched = second.filter("decision = 'touch'").select(*columns, "decision").join(before, "path")
+    parts = []
+    if since is not None:
+        read = found.filter(F.col("modified_at") >= F.lit(since)).join(open_.select("root", "path"), ["root", "path"], "left_semi")
+        second = file_decisions(read.select(*columns, "content", "sha256", "status"), known, settings, full).withColumnRenamed("status", "_found")
+        texts = decode(second.filter("decision != 'touch'"))
+        failed = F.when(F.col("_found") != "found", F.col("_found")).when(F.col("text").isNull(), F.coalesce("warning", F.lit("TEXT_DECODE_FAILED")))
+        texts = written(texts.withColumn("error", failed).select(*columns, "sha256", "decision", "_found", "error", F.when(failed.isNull(), normalize_newlines(F.col("text"))).alias("text")), "texts")
+        status = F.when(F.col("error").isNull(), "processed").when(F.col("_found") != "found", "skipped").otherwise("error")
+        parts.append(texts.select(*columns, "sha256", F.lit(settings).alias("signature"), status.alias("status"), "error", "decision", F.when(F.col("error").isNull(), run).alias("chunks_run")))
+        parts.append(second.filter("decision = 'touch'").select(*columns, "decision").join(before, "path"))
+        whole = texts.filter("error is null").select(F.col("path").alias("document_id"), "text")
+    else:
+        whole = spark.createDataFrame([], "document_id string, text string")
+    if since is not None or run == 1:
+        chunk_documents(whole, size, overlap).write.mode("errorifexists").parquet(f"{table.rstrip('/')}/chunks/run={run}")
     same = first.filter("decision = 'unchanged'").select(*columns, "decision").join(before, "path")
-    gone = known.join(stat.select("path"), "path", "left_anti")
+    gone = known.join(first.select("path"), "path", "left_anti")
     deleted = F.col("root").isin(*listed) if listed else F.lit(False)
     gone = gone.withColumns({"status": F.when(deleted, "deleted").otherwise(F.col("status")), "decision": F.when(deleted, "deleted").otherwise("root_not_listed"), "chunks_run": F.when(~deleted, F.col("chunks_run"))})
     names = [field.split(" ")[0] for field in FILES.split(", ")]
-    state = done
-    for more in (touched, same, gone):
-        state = state.select(*names).unionByName(more.select(*names))
+    state = gone.select(*names)
+    for more in (same, *parts):
+        state = state.unionByName(more.select(*names))
     path = snapshot_write(state, f"{table.rstrip('/')}/files", run)
     return spark.read.schema(FILES).parquet(path)
 

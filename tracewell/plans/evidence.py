@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import vectors as V
@@ -11,8 +11,9 @@ from tracewell.plans import tables as P
 from tracewell.plans.registry import query
 
 
-#: The order of a line item; its part and supplier tell apart items of one number.
-_POSITION = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000
+def _position() -> Column:
+    """The order of a line item; its part and supplier tell apart items of one number."""
+    return (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000
 
 
 def _candidates(spark, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def _candidates(spark, sf_dir: str) -> DataFrame:
     rows = P.read(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(parts, "l_partkey")
     structured = F.col("l_returnflag") == "A"
     return rows.select(
-        "query_id", F.col("l_partkey").alias("chunk_id"), F.when(structured, "structured").otherwise("chunks").alias("family"), _POSITION.alias("position"),
+        "query_id", F.col("l_partkey").alias("chunk_id"), F.when(structured, "structured").otherwise("chunks").alias("family"), _position().alias("position"),
         F.col("l_discount").alias("score"), (F.col("l_linenumber") == 1).alias("exact"), "sha256", (F.col("l_quantity") > 2).alias("has_content"),
         F.when(F.col("l_suppkey") % 7 == 0, "configuration").otherwise("text").alias("artifact_kind"), (structured & (F.col("l_suppkey") % 2 == 0)).alias("structured_symbol"), F.col("l_quantity").cast("long").alias("tokens"),
     )
@@ -80,7 +81,7 @@ def family_merge(spark, sf_dir):
     orders = P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query_id"))
     flag = F.col("l_returnflag")
     rows = P.read(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select(
-        "query_id", F.col("l_partkey").alias("chunk_id"), F.when(flag == "A", "structured").when(flag == "R", "graph").otherwise("chunks").alias("family"), _POSITION.alias("position"),
+        "query_id", F.col("l_partkey").alias("chunk_id"), F.when(flag == "A", "structured").when(flag == "R", "graph").otherwise("chunks").alias("family"), _position().alias("position"),
         F.col("l_discount").alias("score"), F.when(flag == "N", F.col("l_tax")).alias("vector_score"), F.when(F.col("l_quantity") > 10, F.col("l_discount")).alias("keyword_score"),
         F.when(flag != "N", F.array(F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")))).alias("origins"),
     )
