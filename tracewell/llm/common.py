@@ -68,3 +68,18 @@ def gapless(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     offsets = written(counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")), "offsets")
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_i"))
     return held.withColumn("_r", inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col("_o") + F.col("_r") - 1).drop("_b", "_i", "_r", "_o")
+
+
+def positions(df: DataFrame, key: str, order: list[str], out: str, name: str, rows_a_range: int = 500_000) -> DataFrame:
+    """Number the rows of each key 0, 1, 2 ... by ``order``, which should end in a unique column, in a new column.
+
+    Rows are dealt by ranges of key and order, numbered within a range, and what a key has in earlier ranges is added: a key that holds any
+    share of all rows takes as many tasks as its rows need.
+    """
+    parts = max(df.count() // rows_a_range + 1, df.sparkSession.sparkContext.defaultParallelism)
+    held = written(df.repartitionByRange(parts, key, *order).withColumn("_b", F.spark_partition_id()), f"{name}-ranges")
+    counts = held.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(counts.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")), f"{name}-offsets")
+    inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order))
+    return held.withColumn("_r", inside).join(offsets, [key, "_b"]).withColumn(out, F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o")

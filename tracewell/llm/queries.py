@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, sharding, sql, suffix_dedup, url_filter
+from tracewell.llm import chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, sharding, sql, suffix_dedup, url_filter
+from tracewell.llm.common import id_or_lowest, id_or_null
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,6 +71,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows with faults put in by a checksum of their conversation and turn: dropped, emptied, without stops, repeated, given to the user."""
+    kind = F.crc32(F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit(y)) for x, y in (("conv_id", " "), ("_colon", ":"), ("turn", " "))])) % 20
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), F.lit(":").alias("_colon"))
+    rows = rows.withColumn("_kind", kind).filter("_kind != 0")
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("_kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("_copy")).drop("_copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    report, repaired = conversation_repair.repair_conversations(damaged_turns(turns))
+    every = turns.select(id_or_lowest("conv_id").alias("_c")).distinct()
+    found = every.join(report.withColumn("_c", id_or_lowest("conv_id")).drop("conv_id"), "_c", "left").join(conversation_repair.repaired_digests(repaired), "_c", "left")
+    numbers = [F.coalesce(x, F.lit(0)).alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    sha = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return found.select(id_or_null("_c").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_license_scan,
         op10_quality,
+        op13_conversation_repair,
     )
 }
 
@@ -99,4 +121,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard_join": f"WITH RECURSIVE {sql.jaccard_components()}\nSELECT doc_id, n_shingles, component_id FROM grouped",
         "op8_chat_format": sql.chat_format(),
         "op9_license_scan": sql.license_scan(),
+        "op13_conversation_repair": sql.conversation_repair(),
     }

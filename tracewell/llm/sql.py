@@ -168,3 +168,62 @@ shares AS (
   SELECT a.doc_id, a.license, a.t, a.i, count(DISTINCT b.s) / any_value(a.n) AS share
   FROM found a JOIN found b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i >= a.i - a.n - {WINDOW} AND b.i < a.i + a.n + {WINDOW} GROUP BY a.doc_id, a.license, a.t, a.i)
 SELECT doc_id, license, round(max(share), 6) AS containment FROM shares WHERE share >= {least} GROUP BY doc_id, license"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text."""
+    bit = "lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1))"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}))"
+
+
+def conversation_repair() -> str:
+    """A turn at a time for all conversations: of each state the least (cost, edits)."""
+    kind = crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {kind} % 20 AS kind FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, rtrim(text, {BLANKS}) AS solid,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS init FROM damaged),
+told AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(init) OVER (PARTITION BY conv_id ORDER BY pos) || init AS neighbours FROM placed),
+steps(a, role, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserted(a, b, cost, edits) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+states(a) AS (VALUES (0), (1), (2), (3)),
+moves AS (
+  SELECT conv_id, pos, a, b, 'K' AS edit, (fault = 'truncated')::BIGINT AS cost FROM told JOIN steps ON init = steps.role WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, pos, a, b, 'R', 2 + (fault = 'truncated')::BIGINT FROM told, steps WHERE fault IN ('', 'truncated') AND steps.role <> 's'
+  UNION ALL SELECT conv_id, pos, a, a, 'D', 3 FROM told, states),
+walk(conv_id, pos, state, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'edits': ''}} FROM damaged
+  UNION ALL
+  SELECT w.conv_id, w.pos + 1, m.b, min({{'cost': w.best.cost + i.cost + m.cost, 'edits': w.best.edits || i.edits || m.edit}})
+  FROM walk w JOIN inserted i ON i.a = w.state JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1 AND m.a = i.b
+  GROUP BY w.conv_id, w.pos, m.b),
+lengths AS (SELECT conv_id, max(pos) AS n FROM told GROUP BY conv_id),
+ended AS (
+  SELECT w.conv_id, min({{'cost': w.best.cost + i.cost, 'edits': w.best.edits || i.edits}}) AS best
+  FROM walk w JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.n = w.pos JOIN inserted i ON i.a = w.state WHERE i.b IN (0, 3) GROUP BY w.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(best.edits, '')) AS edit, generate_subscripts(string_split(best.edits, ''), 1) AS k FROM ended WHERE best.edits <> ''),
+placed_letters AS (
+  SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS pos, count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS nth FROM letters),
+met AS (
+  SELECT p.*, t.role, t.text, max((nth = 1 AND edit = 'K' AND t.init = 's')::BIGINT) OVER (PARTITION BY p.conv_id) AS headed
+  FROM placed_letters p LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.pos = p.pos AND p.edit <> 'I' WHERE edit <> 'D'),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS sha
+  FROM met GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE neighbours NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost, coalesce(e.best.edits, '') AS audit, coalesce(r.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
