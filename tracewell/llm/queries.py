@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, sharding, sql, suffix_dedup, url_filter
+from tracewell.llm import chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, line_dedup, packing, periodic_runs, quality, sharding, sql, suffix_dedup, url_filter
 from tracewell.llm.common import id_or_lowest, id_or_null
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -71,6 +71,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in one of ten documents, by a checksum of its id, the words from a place on repeat themselves."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^ \t-\r]+)"), F.lit(1))
+    chosen = docs.select("doc_id", "text", h.alias("_h"), g.alias("_g")).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    chosen = chosen.withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    chosen = chosen.withColumn("_p", F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)) + 1)
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    repeated = F.transform("_w", lambda _, i: F.get("_w", place(i).cast("int")))
+    return chosen.select("doc_id", F.when(F.col("_n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_texts(table(spark, sf_dir, "documents"))).withColumn("_best", periodic_runs.greatest_run(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"_best.{x}").alias(x) for x in ("start", "length", "period")],
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Rows with faults put in by a checksum of their conversation and turn: dropped, emptied, without stops, repeated, given to the user."""
     kind = F.crc32(F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit(y)) for x, y in (("conv_id", " "), ("_colon", ":"), ("turn", " "))])) % 20
@@ -104,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_license_scan,
         op10_quality,
+        op11_periodic_runs,
         op13_conversation_repair,
     )
 }
