@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, line_dedup, packing, periodic_runs, quality, sharding, sql, suffix_dedup, url_filter
+from tracewell.llm import chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, line_dedup, lm_scoring, packing, periodic_runs, quality, sharding, sql, suffix_dedup, url_filter
 from tracewell.llm.common import id_or_lowest, id_or_null
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -97,6 +97,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    out = lm_scoring.score_documents(docs.select("doc_id", "text", (remainder == 2).alias("held_out")), "held_out")
+    rounded = [F.round(x, 6).alias(x) for x in ("base_score", "score")]
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", *rounded)
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Rows with faults put in by a checksum of their conversation and turn: dropped, emptied, without stops, repeated, given to the user."""
     kind = F.crc32(F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit(y)) for x, y in (("conv_id", " "), ("_colon", ":"), ("turn", " "))])) % 20
@@ -131,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_quality,
         op11_periodic_runs,
+        op12_lm_scoring,
         op13_conversation_repair,
     )
 }
@@ -148,5 +157,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard_join": f"WITH RECURSIVE {sql.jaccard_components()}\nSELECT doc_id, n_shingles, component_id FROM grouped",
         "op8_chat_format": sql.chat_format(),
         "op9_license_scan": sql.license_scan(),
+        "op12_lm_scoring": sql.lm_scoring(),
         "op13_conversation_repair": sql.conversation_repair(),
     }

@@ -227,3 +227,22 @@ SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, co
   coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost, coalesce(e.best.edits, '') AS audit, coalesce(r.sha, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+def lm_scoring(prior: float = 12.0) -> str:
+    """The bigram model by its definition, a logarithm for each token."""
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {crc32("coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out, translate(coalesce(text, ''), {UPPER}, {LOWER}) AS text FROM documents),
+listed AS (SELECT r, held_out, list_append(regexp_extract_all(text, '[^ \\t-\\r]+'), chr(10)) AS l FROM texts),
+tokens AS (SELECT r, held_out, unnest(l) AS w, unnest(list_prepend(chr(9), l[:-2])) AS h FROM listed),
+words AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+totals AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM words),
+contexts AS (SELECT h, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h),
+pairs AS (SELECT h, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w),
+told AS (
+  SELECT t.r, coalesce(words.c, 0) AS c, (coalesce(words.c, 0) + 1) / (n + v + 1) AS p, contexts.c AS context, coalesce(pairs.c, 0) AS pair
+  FROM tokens t CROSS JOIN totals LEFT JOIN words USING (w) LEFT JOIN contexts USING (h) LEFT JOIN pairs ON pairs.h = t.h AND pairs.w = t.w),
+sums AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, sum(log10(p)) AS base_score,
+    sum(CASE WHEN context IS NULL THEN log10(p) ELSE log10((pair + {prior} * p) / (context + {prior})) END) AS score FROM told GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM texts JOIN sums USING (r), totals"""
