@@ -331,7 +331,7 @@ def score_blocks(order: int, tokens: int, distinct: int, prior: float):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: str, order: int = 2, prior: float = 12.0, block: int = BLOCK, task_grams: int = TASK_GRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: str, order: int = 2, prior: float = 100.0, block: int = BLOCK, task_grams: int = TASK_GRAMS) -> DataFrame:
     """The log10 probability of each text by an n-gram model of the texts that are not held out.
 
     In: doc_id, text, and the boolean column named ``held_out`` (others are ignored). Out: a row per input row with doc_id, held_out, n_tokens, n_known (tokens that training texts

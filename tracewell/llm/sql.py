@@ -229,7 +229,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
-def lm_scoring(prior: float = 12.0) -> str:
+def lm_scoring(prior: float = 100.0) -> str:
     """The bigram model by its definition, a logarithm for each token."""
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {crc32("coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out, translate(coalesce(text, ''), {UPPER}, {LOWER}) AS text FROM documents),
