@@ -113,6 +113,11 @@ INSUFFICIENT = "evidencia insuficiente"
 NEGATED = ("es", "usa", "utiliza")
 
 
+def folded_words(text: Column) -> Column:
+    """Runs of letters a-z, digits and underscores of the folded text, in order."""
+    return F.regexp_extract_all(fold_accents(text), F.lit(r"([a-z0-9_]+)"), F.lit(1))
+
+
 def strip_citations(text: Column) -> Column:
     return F.regexp_replace(text, r"\[F\d+\]", " ")
 

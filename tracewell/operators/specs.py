@@ -23,14 +23,43 @@ SECTIONS = {
 EVIDENCE_SECTIONS = ("Evidencia", "Evidencia esperada")
 VERSION = "template_version: spec.v1"
 ACCEPTANCE = "aceptacion integral"
-DETECTED = r"\bdetectado\b"
+DETECTED = "detectado"
+REQUIREMENT, TASK, TEST = "REQ", "TASK", "TEST"
+REQUIREMENT_OF_TASK = "**Requisito:**"
+FUNCTIONAL = "Requisitos funcionales"
 
-CITATION = r"\[(F[0-9a-f]{12})\]"
-TEST_ROW = r"(?m)^[ \t]*\|*[ \t]*(REQ-\d{3})[ \t]*\|[ \t]*(TEST-\d{3})[ \t]*(?:\||$)"
 
+def _cited(text: Column) -> Column:
+    """Ids of evidence in brackets, an F and twelve hexadecimal digits, in order."""
+    opened = F.split(F.coalesce(text, F.lit("")), r"\[")
+    closed = F.filter(F.slice(opened, F.lit(2), F.greatest(F.size(opened) - 1, F.lit(0))), lambda p: F.contains(p, F.lit("]")))
+    ids = F.transform(closed, lambda p: F.substring_index(p, "]", 1))
+    return F.filter(ids, lambda x: (F.char_length(x) == 13) & F.startswith(x, F.lit("F")) & (F.translate(F.substring(x, 2, 12), "0123456789abcdef", "") == ""))
 
-def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
+
+def _leading_id(text: Column, prefix: str) -> Column:
+    """The id that a text begins with, the prefix and three digits; null if it doesn't."""
+    size = len(prefix) + 4
+    head, after = F.substring(text, 1, size), F.substring(text, size + 1, 1)
+    letter = (F.upper(after) != F.lower(after)) | F.contains(F.lit("0123456789_"), F.nullif(after, F.lit("")))
+    return F.when((F.translate(head, "123456789", "000000000") == f"{prefix}-000") & ~F.coalesce(letter, F.lit(False)), head)
+
+
+def _lines(content: Column) -> Column:
+    """Each line as (n, line, level, text, item): the depth of a heading (0: none), what follows its marks, and what follows the dash of a list item."""
+
+    def parsed(line: Column, i: Column) -> Column:
+        flat = F.translate(line, "\t\r", "  ")
+        mark = F.substring_index(flat, " ", 1)
+        heading = (mark != "") & (F.translate(mark, "#", "") == "") & (F.char_length(flat) > F.char_length(mark))
+        bare = F.btrim(flat)
+        return F.struct(
+            (i + 1).alias("n"), line.alias("line"), F.when(heading, F.char_length(mark)).otherwise(0).alias("level"),
+            F.when(heading, F.btrim(F.substring(flat, F.char_length(mark) + 1, F.char_length(flat)))).alias("text"),
+            F.when(F.startswith(bare, F.lit("- ")), F.btrim(F.substring(bare, F.lit(2), F.char_length(bare)))).alias("item"),
+        )
+
+    return F.transform(F.split(F.coalesce(content, F.lit("")), "\n", -1), parsed)
 
 
 def _repeated(items: Column) -> Column:
@@ -40,41 +69,46 @@ def _repeated(items: Column) -> Column:
     return F.array_intersect(F.array_distinct(items), again)
 
 
-def _heading(piece: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(piece, r"^##\s+(.+?)\s*(?:\n|$)", 1), r"\s+", " ")
-
-
 def _facts(documents: DataFrame) -> DataFrame:
-    """What the rules ask of each document, computed in its row: texts are split at second-level headings, and evidence sections are blanked, not
-    cut, so that lines keep their numbers."""
-    pieces = F.split(F.coalesce("content", F.lit("")), r"(?m)^(?=##\s)")
-    is_evidence = lambda p: _heading(p).isin(*EVIDENCE_SECTIONS)
-    rows = documents.select("spec_id", "filename", "content", pieces.alias("_p"))
-    declared = F.flatten(F.transform(F.filter("_p", is_evidence), lambda p: _all(p, r"(?m)^\s*-\s+" + CITATION)))
-    outside = F.array_join(F.transform("_p", lambda p: F.when(is_evidence(p), F.regexp_replace(p, r"[^\n]", "")).otherwise(p)), "")
-    functional = F.filter("_p", lambda p: _heading(p) == "Requisitos funcionales")
-    rows = rows.withColumn("_outside", outside)
-    detected = F.filter(
-        F.transform(F.split("_outside", "\n"), lambda line, i: F.when(T.fold_accents(line).rlike(DETECTED) & ~line.rlike(CITATION), F.concat_ws(":", "filename", i + 1))), lambda x: x.isNotNull()
-    )
-    blocks = F.filter(F.split(F.coalesce("content", F.lit("")), r"(?m)^(?=###\s+TASK-\d{3}\s+-\s+.)"), lambda b: b.rlike(r"^###\s+TASK-\d{3}\s+-\s+."))
-    links = F.transform(
-        blocks, lambda b: F.struct(F.regexp_extract(b, r"^###\s+(TASK-\d{3})", 1).alias("item"), F.nullif(F.regexp_extract(b, r"\n[\s\S]*?\*\*Requisito:\*\*\s*(REQ-\d{3})", 1), F.lit("")).alias("req"))
-    )
-    titles = F.transform(
-        blocks, lambda b: F.struct(F.regexp_extract(b, r"^###\s+(TASK-\d{3})", 1).alias("item"), F.contains(T.fold_accents(F.regexp_extract(b, r"^###\s+TASK-\d{3}\s+-\s+([^\n]+)", 1)), F.lit(ACCEPTANCE)).alias("last"))
+    """What the rules ask of each document, computed in its row from its lines: each knows its number and the second-level heading that it is under."""
+    rows = documents.select("spec_id", "filename", "content", _lines(F.col("content")).alias("_l"))
+    heads = F.transform(F.filter("_l", lambda x: x["level"] == 2), lambda x: F.struct(x["n"].alias("n"), F.regexp_replace(x["text"], " +", " ").alias("title")))
+    rows = rows.withColumn("_heads", heads)
+    under = lambda x: F.element_at(F.filter("_heads", lambda h: h["n"] <= x["n"]), -1)["title"]
+    has_head = lambda x: F.exists("_heads", lambda h: h["n"] <= x["n"])
+    section = lambda x: F.when(has_head(x), under(x)).otherwise("")
+    told = F.transform("_l", lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), x["item"].alias("item"), section(x).alias("section"), _cited(x["line"]).alias("cited")))
+    rows = rows.withColumn("_t", told)
+    is_evidence = lambda x: x["section"].isin(*EVIDENCE_SECTIONS)
+    first_cited = lambda x: F.when(F.startswith(x["item"], F.concat(F.lit("["), F.get(x["cited"], 0), F.lit("]"))), F.get(x["cited"], 0))
+    there = lambda items: F.filter(items, lambda x: x.isNotNull())
+    declared = there(F.transform(F.filter("_t", is_evidence), first_cited))
+    words = lambda line: F.split(T.fold_accents(line), r"\W+")
+    detected = F.filter("_t", lambda x: ~is_evidence(x) & F.array_contains(words(x["line"]), DETECTED) & (F.size(x["cited"]) == 0))
+    asked = there(F.transform(F.filter("_t", lambda x: (x["section"] == FUNCTIONAL) & x["item"].isNotNull()), lambda x: _leading_id(x["item"], REQUIREMENT)))
+    tasks = F.filter(F.transform(F.filter("_l", lambda x: x["level"] == 3), lambda x: F.struct(x["n"].alias("n"), _leading_id(x["text"], TASK).alias("item"), F.ltrim(F.substring(x["text"], len(TASK) + 5, 1 << 20)).alias("rest"))), lambda x: x["item"].isNotNull())
+    rows = rows.withColumn("_tasks", tasks)
+    # a task with a title owns the lines up to the next one
+    rows = rows.withColumn("_titled", F.filter("_tasks", lambda x: F.startswith(x["rest"], F.lit("- ")) & (F.char_length(F.btrim(x["rest"])) > 2)))
+    wanted = F.filter(F.transform("_l", lambda x: F.struct(x["n"].alias("n"), _leading_id(F.ltrim(F.substring_index(x["line"], REQUIREMENT_OF_TASK, -1)), REQUIREMENT).alias("req"), F.contains(x["line"], F.lit(REQUIREMENT_OF_TASK)).alias("has"))), lambda x: x["has"] & x["req"].isNotNull())
+    rows = rows.withColumn("_wanted", wanted)
+    until = lambda i: F.coalesce(F.get("_titled", i + 1)["n"], F.lit(1 << 30))
+    links = F.transform("_titled", lambda x, i: F.struct(x["item"].alias("item"), F.get(F.filter("_wanted", lambda w: (w["n"] > x["n"]) & (w["n"] < until(i))), 0)["req"].alias("req")))
+    titles = F.transform("_titled", lambda x: F.struct(x["item"].alias("item"), F.contains(T.fold_accents(x["rest"]), F.lit(ACCEPTANCE)).alias("last")))
+    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda c: F.btrim(c, F.lit(" \t\r"))), lambda c, i: (i > 0) | (c != ""))
+    exact = lambda cell, prefix: F.when(F.char_length(cell) == len(prefix) + 4, _leading_id(cell, prefix))
+    tests = F.filter(
+        F.transform(F.transform("_l", lambda x: cells(x["line"])), lambda c: F.struct(exact(F.get(c, 1), TEST).alias("item"), exact(F.get(c, 0), REQUIREMENT).alias("req"))), lambda x: x["item"].isNotNull() & x["req"].isNotNull()
     )
-    tests = F.arrays_zip(_all(F.col("content"), TEST_ROW, 2).alias("item"), _all(F.col("content"), TEST_ROW, 1).alias("req"))
     return rows.select(
         "spec_id", "filename",
         (F.coalesce(F.btrim("content", F.lit(" \t\n\r")), F.lit("")) == "").alias("empty"),
         F.contains("content", F.lit(VERSION)).alias("versioned"),
-        F.filter(F.transform("_p", _heading), lambda h: h != "").alias("headings"),
+        F.filter(F.transform("_heads", lambda h: h["title"]), lambda h: h != "").alias("headings"),
         declared.alias("declared"), _repeated(declared).alias("declared_twice"),
-        _all(F.col("content"), CITATION).alias("cited"), _all(F.col("_outside"), CITATION).alias("cited_outside"), detected.alias("detected"),
-        F.flatten(F.transform(functional, lambda p: _all(p, r"(?m)^\s*-\s+(REQ-\d{3})\b"))).alias("requirements"),
-        _all(F.col("content"), r"(?m)^###\s+(TASK-\d{3})\b").alias("tasks"), links.alias("task_links"), titles.alias("titles"),
-        tests.alias("tests"),
+        F.flatten(F.transform("_t", lambda x: x["cited"])).alias("cited"), F.flatten(F.transform(F.filter("_t", lambda x: ~is_evidence(x)), lambda x: x["cited"])).alias("cited_outside"),
+        F.transform(detected, lambda x: F.concat_ws(":", "filename", x["n"])).alias("detected"),
+        asked.alias("requirements"), F.transform("_tasks", lambda x: x["item"]).alias("tasks"), links.alias("task_links"), titles.alias("titles"), tests.alias("tests"),
     )
 
 
@@ -149,7 +183,7 @@ def review(items: DataFrame, evidence: DataFrame) -> DataFrame:
     Detected rules and components must name evidence that there is, texts must cite such evidence, tasks and tests must name a requirement (a warning that degrades the draft), and a draft
     without evidence or without rules is partial (warnings).
     """
-    asked = items.select("spec_id", "section", "item_id", "text", "classification", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("named"), F.array_distinct(_all(F.col("text"), CITATION)).alias("cited"))
+    asked = items.select("spec_id", "section", "item_id", "text", "classification", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("named"), F.array_distinct(_cited(F.col("text"))).alias("cited"))
     # only the ids that are looked up meet the evidence, not the items' texts
     looked = asked.select("spec_id", F.explode(F.array_distinct(F.concat("named", "cited"))).alias("evidence_id")).distinct()
     unknown = looked.join(evidence.select("spec_id", "evidence_id").distinct(), ["spec_id", "evidence_id"], "left_anti").groupBy("spec_id").agg(F.collect_set("evidence_id").alias("_unknown"))
