@@ -712,4 +712,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # these modules add their queries to the registry
-from tracewell.plans import contexts, evidence, specifications  # noqa: E402, F401
+from tracewell.plans import configurations, contexts, evidence, specifications  # noqa: E402, F401
