@@ -126,26 +126,26 @@ class Block:
         self.ids, self.rows, self.held = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64), np.frombuffer(row["held"], bool)
         self.first = np.cumsum(self.length) - self.length
         self.part = np.repeat(np.arange(len(self.length)), self.length)
-        own = np.arange(len(self.tokens)) - self.first[self.part] >= order - 1
-        self.own = np.flatnonzero(own)  # the tokens that are scored
-        self.trains = ~self.held[self.part[self.own]]
+        place = np.arange(len(self.tokens)) - self.first[self.part]
+        self.own = np.flatnonzero(place >= order - 1)  # the tokens that are scored
         self.grams: list[np.ndarray] = []  # of each order, rows of tokens
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         size = len(self.vocab)
         begins = np.flatnonzero(self.vocab == START)
         for k in range(1, order + 1):
-            code = self.tokens[self.own]
+            # those before the scored tokens lead to a state, but are counted where they are scored
+            at = np.flatnonzero(place >= k - 1) if k < order else self.own
+            code = self.tokens[at]
             for back in range(1, k):
-                code = code + self.tokens[self.own - back] * size**back
+                code = code + self.tokens[at - back] * size**back
+            trains = ~self.held[self.part[at]] & (place[at] >= order - 1)
             # what stands before a text is a context of its own, as often as texts begin
             if k < order and len(begins):
                 opens = self.first[(self.tokens[self.first] == begins[0]) & self._opens(begins[0])]
                 start = int(begins[0]) * sum(size**back for back in range(k))
                 code = np.concatenate([code, np.full(len(opens), start)])
-                trains = np.concatenate([self.trains, ~self.held[self.part[opens]]])
-            else:
-                trains = self.trains
+                trains = np.concatenate([trains, ~self.held[self.part[opens]]])
             kinds, of = np.unique(code, return_inverse=True)
             times = np.bincount(of, weights=trains, minlength=len(kinds)).astype(np.int64)
             gram = np.stack([kinds // size**back % size for back in range(k - 1, -1, -1)], axis=1)
