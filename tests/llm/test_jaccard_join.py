@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
 from tracewell.llm import jaccard_join
+from tracewell.llm.hashing import shingle_hashes
 from tracewell.llm.jaccard_join import Linked, Sets, jaccard_components, join_region
 
 
@@ -148,3 +150,18 @@ def test_regions_find_all_links():
     everyone = np.arange(len(sets))
     assert np.array_equal(linked.roots(everyone), full.roots(everyone))
     assert jaccard_join.REGION == 2000
+
+
+def test_a_document_of_quotations_meets_only_its_like(spark):
+    """Two copies of a compendium of 1,000 short texts are not measured against each of these."""
+    rng = random.Random(9)
+    short = [" ".join(str(rng.randrange(10**9)) for _ in range(30)) for _ in range(1000)]
+    book = " ".join(short)
+    texts = [*short, book, book.replace(short[7], "left out")]
+    reps = [(i, np.unique(shingle_hashes(np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64), 5)).view(np.int64)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(i, len(x), x[: max(1, len(x) // 5 + 1)].tolist()) for i, x in reps], "_d long, n long, prefix array<long>")
+    sent = jaccard_join.meetings(frame, 80).selectExpr("sum(8 * n)").first()[0] or 0
+    assert sent < 10 * sum(map(len, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found[1001] == 1000 and all(found[i] == i for i in range(1001))

@@ -1,8 +1,8 @@
 """N-gram Jaccard join in metric space: pivots, regions around them, triangle-inequality windows, recursion.
 
 Nearly all documents are at distance 1 from each other, so the join first leaves out what cannot have a partner: a document of which under
-the threshold's share of shingles is in any other document. Two of the rest that are linked share one of their rarest shingles, so the
-least holder of each of these is a pivot, and a document is in the region of every pivot that it meets so. Its exact distances to them give links, and
+the threshold's share of shingles is in any other document. Two of the rest that are linked share one of their rarest shingles and are of about one size, so the
+least holder of each of these in each class of sizes is a pivot, and a document is in the region of every pivot that it meets so. Its exact distances to them give links, and
 the shells of a region in which two documents can be near: by the triangle inequality their distances to the pivot differ by the reach at
 most, so a shell is joined with the documents of the next one as its window. Regions that hold more than a task joins are split by further pivots.
 """
@@ -387,6 +387,18 @@ def join_regions(members: DataFrame, percent: int, most: int = REGION, most_byte
     return out
 
 
+def meetings(reps: DataFrame, percent: int) -> DataFrame:
+    """Documents (_d, n, prefix) to rows (p, _d, n): the pivots that each is measured against.
+
+    Linked documents share a shingle of their prefixes, and the smaller has ``percent`` of the larger one's size at least, so their size classes, each reaching that far, are equal or neighbours. The holders of a shingle in a class, with those of
+    the next one as window, have their least one as pivot. So a document meets pivots of about its own size alone: one that quotes thousands of short ones is not sent to them.
+    """
+    class_ = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + SLACK).cast("int")
+    tokens = reps.select("_d", "n", F.explode(F.array(class_, class_ - 1)).alias("c"), "prefix").select("_d", "n", "c", F.explode("prefix").alias("s"))
+    holders = written(tokens.groupBy("s", "c").agg(F.min("_d").alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", "c", "p"), "pivots")
+    return tokens.join(holders, ["s", "c"]).filter("_d != p").groupBy("p", "_d").agg(F.max("n").alias("n"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most: int = REGION) -> DataFrame:
     """Connect documents whose sets of ``size``-word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -414,9 +426,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, most:
     sets = written(judged, "sets")
     classes = written(sets.filter("h1 is not null").groupBy("h1", "h2", "n").agg(F.min("_d").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = sets.filter("h1 is not null").select("_d", "h1", "h2", "n", "prefix").join(classes.select("h1", "h2", "n", F.col("rep").alias("_d")), ["h1", "h2", "n", "_d"])
-    tokens = reps.select("_d", "n", F.explode("prefix").alias("s"))
-    holders = written(tokens.groupBy("s").agg(F.min("_d").alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", "p"), "pivots")
-    met = written(tokens.join(holders, "s").filter("_d != p").groupBy("p", "_d").agg(F.max("n").alias("n")), "met")
+    met = written(meetings(reps, percent), "met")
     # rows of one id with different sets
     twice = written(sets.groupBy("_d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_d"), "twice")
     held = sets.filter("h1 is not null").select("_d", "n", "shingles")
