@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewell.llm import chat_format, components, decontaminate, license_scan, line_dedup, packing, quality, sharding, url_filter
+from tracewell.llm import chat_format, common, components, decontaminate, license_scan, line_dedup, packing, quality, sharding, url_filter
 from tracewell.llm.components import connected_components
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -489,3 +489,25 @@ def test_components(spark, monkeypatch, held):
                 root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] not in (None, e[1]) for e in edges)}
     assert connected_components(table(spark, [], "a long, b long")).collect() == []
+
+
+def test_quality_does_not_depend_on_how_rows_are_dealt(spark):
+    """A group of over 20,000 rows, in 1, 7 and 64 partitions; and order statistics of many ties are exact."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(21_000, 5)) * [1, 0.2, 0.01, 0.1, 0.05] + [4, 1.6, 0.05, 0.2, 0]
+    x[:, 2:] = np.maximum(x[:, 2:], 0)
+    values = [("g" if i % 50 else "small", *map(float, r)) for i, r in enumerate(x)]
+    rows = spark.createDataFrame(values, "k string, x0 double, x1 double, x2 double, x3 double, x4 double").withColumn("i", F.monotonically_increasing_id())
+    found = []
+    rows = common.written(rows, "test")
+    for parts in (1, 7, 64):
+        dealt = common.written(rows.repartition(parts), "test")
+        fit = quality.fit_mcd(dealt, ["k"], [0.01] * 5)
+        found.append(np.array([r.d2 for r in quality.with_distance(dealt, fit, ["k"]).orderBy("i").collect()]))
+    assert np.allclose(found[0], found[1], rtol=1e-9, atol=0) and np.allclose(found[0], found[2], rtol=1e-9, atol=0)
+    for share in (0.5, 0.75):
+        got = {r.k: (r.a, r.b) for r in quality.order_statistics(rows, ["k"], {"a": F.col("x1"), "b": F.col("x4")}, share, "test", True, 50).collect()}
+        for k in ("g", "small"):
+            own = np.sort(np.array([v[1:] for v in values if v[0] == k]), axis=0)
+            at = int(np.ceil(share * len(own))) - 1
+            assert got[k] == (own[at, 1], own[at, 4])

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewell.llm.common import BLANKS, broadcast_if_small, id_or_lowest, id_or_null, written
 
@@ -16,8 +17,8 @@ CHI2_MEDIAN, CHI2_INNER, CHI2_CUTOFF = 4.3515, 12.8325, 25.7448
 NULL, EVERY = "\0", "\0\0"
 #: Groups whose fits are broadcast, at about 250 bytes each; more are joined by shuffle.
 MOST_GROUPS = 20_000
-#: Relative error of quantiles is at most one in so many; groups of fewer rows have exact ones.
-QUANTILES = 1_000
+#: Bins into which values are counted, and rows of a bin that is not counted in finer ones; both change no result.
+BINS, BIN_ROWS = 4_096, 200_000
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -80,8 +81,8 @@ def covariances() -> list[str]:
     return [f"c{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)]
 
 
-def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, and log_det, by a Cholesky factor in columns."""
+def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str = "inner", few: bool | None = None) -> DataFrame:
+    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, and log_det, by a Cholesky factor in columns. ``few`` as in order_statistics(); None: the groups are counted."""
     p = len(DIMENSIONS)
     fits = fits.select(*keys, *[f"m{i}" for i in range(p)], *covariances())
     for i in range(p):
@@ -93,8 +94,10 @@ def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str =
     det = F.lit(0.0)
     for i in range(p):
         det = det + 2 * F.log(F.col(f"l{i}{i}"))
-    factors = written(fits.withColumn("log_det", det).drop(*covariances()), "mcd-factors")
-    out = rows.join(broadcast_if_small(factors, MOST_GROUPS), keys, how)
+    factors = fits.withColumn("log_det", det).drop(*covariances())
+    if few is None:
+        factors = broadcast_if_small(written(factors, "mcd-factors"), MOST_GROUPS)
+    out = rows.join(F.broadcast(factors) if few else factors, keys, how)
     total = F.lit(0.0)
     for i in range(p):
         step = F.col(DIMENSIONS[i]) - F.col(f"m{i}")
@@ -115,6 +118,41 @@ def moments(rows: DataFrame, keys: list[str], inside: Column, least: list[float]
     return rows.groupBy(*keys).agg(*means, *sums, F.count(F.lit(1)).alias("n"))
 
 
+def few_groups(rows: DataFrame, keys: list[str]) -> bool:
+    """Whether tables of a row per group are small enough to be broadcast."""
+    return rows.select(*keys).distinct().limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+
+
+def order_statistics(rows: DataFrame, keys: list[str], values: dict[str, Column], share: float, name: str, few: bool, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Of each group and named value the least one that ``share`` of its rows do not exceed, exactly: a row per group (written), however the rows are dealt.
+
+    In: rows with keys (none: one group) and values that are not null; ``few``: that the groups may be broadcast. Values are counted in bins of fixed bounds, a hundredth wide; the counts, which are sums, tell the bin that has the statistic and its rank
+    there. While that bin has over ``bin_rows`` rows of several values it is counted in ``BINS`` finer ones. Its values are then counted singly. So a task gets a few thousand rows, or ``bin_rows`` values, of a group of any size.
+    """
+    given = lambda table: F.broadcast(table) if few else table
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(values.values())])).alias("_e")
+    placed = rows.select(*keys, each).select(*keys, "_e.*")
+    by = [*keys, "i"]
+
+    def chosen(binned: DataFrame, rank: Column) -> DataFrame:
+        counted = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank"))
+        order = Window.partitionBy(*by)
+        told = counted.withColumns({"_sum": F.sum("n").over(order.orderBy("bin")), "_all": F.sum("n").over(order)}).withColumn("rank", rank)
+        found = told.filter((F.col("_sum") >= F.col("rank")) & (F.col("_sum") - F.col("n") < F.col("rank")))
+        return written(found.select(*by, "lo", "hi", "n", (F.col("rank") - F.col("_sum") + F.col("n")).alias("rank")), f"{name}-bins")
+
+    v = F.col("v")
+    fixed = F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * 100)
+    target = chosen(placed.withColumns({"bin": fixed, "rank": F.lit(0).cast("long")}), F.greatest(F.ceil(F.col("_all") * share), F.lit(1)))
+    inside = lambda: placed.join(given(target), by).filter((v >= F.col("lo")) & (v <= F.col("hi")))
+    while (target.filter("lo < hi").agg(F.max("n")).first()[0] or 0) > bin_rows:
+        finer = F.least(F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * BINS), F.lit(BINS))
+        target = chosen(inside().withColumn("bin", F.coalesce(finer, F.lit(0))).select(*by, "v", "bin", "rank"), F.col("rank"))
+    singly = inside().groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
+    found = singly.withColumn("_sum", F.sum("n").over(Window.partitionBy(*by).orderBy("v"))).filter(F.col("_sum") >= F.col("rank"))
+    return written(found.groupBy(*keys).agg(*[F.min(F.when(F.col("i") == i, v)).alias(n) for i, n in enumerate(values)]), name)
+
+
 def fit_mcd(rows: DataFrame, keys: list[str], least: list[float], share: float = 0.75, steps: int = 3) -> DataFrame:
     """Minimum-covariance-determinant centre and covariance of each group, by concentration steps from two starts.
 
@@ -124,30 +162,31 @@ def fit_mcd(rows: DataFrame, keys: list[str], least: list[float], share: float =
     the start whose last covariance has the smaller determinant stays, and is fitted once more on all rows within the 97.5 %
     quantile of its scaled distances, since the share alone takes the spread of rare statistics for nought.
 
-    A group may hold any share of all rows: its aggregates are sums and quantile sketches of bounded size, combined before the shuffle, and
-    what comes back to the rows is a written table of a row per group, broadcast, or joined by a shuffle that Spark can split.
+    A group may hold any share of all rows: its aggregates are sums and counts, combined before the shuffle, and order statistics are exact, so that no fit depends on how rows are dealt; what
+    comes back to the rows is a written table of a row per group, broadcast, or joined by a shuffle that Spark can split.
     """
-    quantile = lambda c, q: F.percentile_approx(c, q, QUANTILES)
-    scale = F.greatest(quantile(F.col("d2"), 0.5) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
-    given = lambda table, name: broadcast_if_small(written(table, f"mcd-{name}"), MOST_GROUPS)
-    middle = given(rows.groupBy(*keys).agg(*[quantile(F.col(d), 0.5).alias(f"q{i}") for i, d in enumerate(DIMENSIONS)]), "median")
-    away = rows.join(middle, keys).withColumns({f"y{i}": F.abs(F.col(d) - F.col(f"q{i}")) for i, d in enumerate(DIMENSIONS)})
-    mads = given(away.groupBy(*keys).agg(*[quantile(F.col(f"y{i}"), 0.5).alias(f"a{i}") for i in range(len(DIMENSIONS))]), "mad")
+    scale = F.greatest(F.col("d2") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
+    few = few_groups(rows, keys)
+    median = lambda table, by, name: order_statistics(table, by, {"d2": F.col("d2")}, 0.5, f"mcd-{name}", few)
+    given = lambda table: F.broadcast(table) if few else table
+    middle = order_statistics(rows, keys, {f"q{i}": F.col(d) for i, d in enumerate(DIMENSIONS)}, 0.5, "mcd-median", few)
+    away = rows.join(given(middle), keys).withColumns({f"y{i}": F.abs(F.col(d) - F.col(f"q{i}")) for i, d in enumerate(DIMENSIONS)})
+    mads = order_statistics(away, keys, {f"a{i}": F.col(f"y{i}") for i in range(len(DIMENSIONS))}, 0.5, "mcd-mad", few)
     scaled = [F.pow(F.col(f"y{i}") / (1.4826 * F.col(f"a{i}") + least[i]), 2.0) for i in range(len(DIMENSIONS))]
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), d.alias("d2")) for k, d in enumerate((sum(scaled[1:], scaled[0]), F.greatest(*scaled)))]))
-    at = away.join(mads, keys).select(*rows.columns, both.alias("_s")).select(*rows.columns, "_s.start", "_s.d2")
+    at = away.join(given(mads), keys).select(*rows.columns, both.alias("_s")).select(*rows.columns, "_s.start", "_s.d2")
     group = [*keys, "start"]
     twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for step in range(steps):
-        limit = given(at.groupBy(*group).agg(quantile(F.col("d2"), share).alias("_limit")), f"limit-{step}")
-        fits = written(moments(at.join(limit, group), group, F.col("d2") <= F.col("_limit"), least), f"mcd-{step}")
-        at = with_distance(twice, fits, group)
-    halves = at.groupBy(*group).agg(F.first("log_det").alias("log_det"), scale)
+        limit = order_statistics(at, group, {"_limit": F.col("d2")}, share, f"mcd-limit-{step}", few)
+        fits = written(moments(at.join(given(limit), group), group, F.col("d2") <= F.col("_limit"), least), f"mcd-{step}")
+        at = with_distance(twice, fits, group, few=few)
+    halves = at.groupBy(*group).agg(F.first("log_det").alias("log_det")).join(median(at, group, "halves").select(*group, scale), group)
     best = halves.groupBy(*keys).agg(F.min_by(F.struct("start", "scale"), F.struct("log_det", "start")).alias("_b"))
     best = written(best.select(*keys, "_b.*"), "mcd-best")
-    inner = with_distance(rows, fits.join(best.select(*group), group), keys).join(given(best.select(*keys, "scale"), "scale"), keys)
+    inner = with_distance(rows, fits.join(best.select(*group), group), keys, few=few).join(given(best.select(*keys, "scale")), keys)
     fits = written(moments(inner, keys, F.col("d2") <= CHI2_INNER * F.col("scale"), least), "mcd-inner")
-    scales = written(with_distance(rows, fits, keys).groupBy(*keys).agg(scale), "mcd-scales")
+    scales = median(with_distance(rows, fits, keys, few=few), keys, "scales").select(*keys, scale)
     return written(fits.join(scales, keys).withColumns({c: F.col(c) * F.col("scale") for c in covariances()}).drop("scale"), "mcd")
 
 
@@ -171,9 +210,10 @@ def quality_fits(good: DataFrame, prior_rows: float) -> DataFrame:
     In: rows with _l, _s0, x0 .. x4 (written). Languages are taken to differ as such, sources of a language are not. In a table of few rows, whose plain spread holds its outliers too, none is far out."""
     keys = ["_l", "_s0"]
     names = [*[f"m{i}" for i in range(len(DIMENSIONS))], *covariances()]
-    middle = good.agg(*[F.percentile_approx(d, 0.5, QUANTILES).alias(d) for d in DIMENSIONS]).first()
-    words = math.expm1(middle.x0 or 0.0)
-    least = least_deviations(words, math.exp(middle.x1 or 0.0) * (words + 1) - 1)
+    middle = order_statistics(good, [], {d: F.col(d) for d in ("x0", "x1")}, 0.5, "mcd-middle", True).first()
+    x0, x1 = (middle.x0 or 0.0, middle.x1 or 0.0) if middle else (0.0, 0.0)
+    words = math.expm1(x0)
+    least = least_deviations(words, math.exp(x1) * (words + 1) - 1)
     plain = moments(good.select(*DIMENSIONS), [], F.lit(True), least).first()
     of_all = {x: F.lit(plain[x] or 0.0) for x in names}
     levels = F.explode(F.array(*[F.struct(a.alias("_l"), b.alias("_s0")) for a, b in ((F.lit(EVERY), F.lit(EVERY)), (F.col("_l"), F.lit(EVERY)), (F.col("_l"), F.col("_s0")))]))
