@@ -103,9 +103,13 @@ def structured_search(records: DataFrame, query: list[str], limit: int) -> DataF
 
 def relative_relevance(rows: DataFrame) -> DataFrame:
     """Relevance within a family from 1 down to 0 by dense rank. In: family, exact, score. Adds level and relevance."""
+    # a family's different scores are ranked, not its rows
     order = Window.partitionBy("family").orderBy(F.desc("exact"), F.desc("score"))
-    ranked = rows.withColumn("level", (F.dense_rank().over(order) - 1).cast("long"))
-    top = ranked.groupBy("family").agg(F.max("level").alias("_top"))
+    levels = rows.select("family", "exact", "score").distinct().withColumn("level", (F.dense_rank().over(order) - 1).cast("long"))
+    named = levels.select(F.col("family").alias("_f"), F.col("exact").alias("_e"), F.col("score").alias("_s"), "level")
+    same = F.col("family").eqNullSafe(F.col("_f")) & F.col("exact").eqNullSafe(F.col("_e")) & F.col("score").eqNullSafe(F.col("_s"))
+    ranked = rows.join(named, same).drop("_f", "_e", "_s")
+    top = levels.groupBy("family").agg(F.max("level").alias("_top"))
     relevance = F.when(F.col("_top") == 0, F.lit(1.0)).otherwise(1 - F.col("level") / F.nullif(F.col("_top"), F.lit(0)))
     return ranked.join(top, "family").withColumn("relevance", relevance).drop("_top")
 

@@ -613,14 +613,18 @@ def recall_mrr(spark, sf_dir):
 
 
 def _holding(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents with each item whose ``said`` they contain. A text's words are looked up by each item's longest word of
-    ``said`` between two others, so that texts meet items by an equi-join; one of one or two words is found as whole words."""
+    """Documents with each item whose ``said`` they contain. The first column of items tells them apart.
+
+    A text's words are looked up by each item's longest word of ``said`` between two others, so that texts meet items by an equi-join; one of one or two words is found as whole words. Only ids and words take part in
+    it, and each text then comes once for each item that it may hold."""
     words = F.filter(F.split(F.col("said"), "[ \n]"), lambda w: w != "")
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(words)
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = items.withColumn("_key", key)
-    held = docs.select("doc_id", "n_chars", "text").withColumn("_key", F.explode(F.array_distinct(F.split(F.col("text"), "[ \n]"))))
-    return held.join(keyed, "_key").filter(F.contains("text", F.col("said"))).drop("_key")
+    item = items.columns[0]
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.col("text"), "[ \n]"))).alias("_key"))
+    pairs = held.join(items.select(item, key.alias("_key")), "_key").select("doc_id", item).distinct()
+    met = pairs.join(items, item).join(docs.select("doc_id", "n_chars", "text"), "doc_id")
+    return met.filter(F.contains("text", F.col("said")))
 
 
 @query(r"""WITH a AS (SELECT conv_id || '-' || turn AS answer_id, list_distinct(regexp_extract_all(text || ' [F' || (length(text) % 4) || '] [F' || (length(text) % 3) || ']', '\[(F\d+)\]', 1)) AS cited FROM conversations WHERE role = 'assistant'),
