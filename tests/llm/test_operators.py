@@ -511,3 +511,15 @@ def test_quality_does_not_depend_on_how_rows_are_dealt(spark):
             own = np.sort(np.array([v[1:] for v in values if v[0] == k]), axis=0)
             at = int(np.ceil(share * len(own))) - 1
             assert got[k] == (own[at, 1], own[at, 4])
+
+
+def test_chat_roles_of_every_kind_are_read_back(spark):
+    rng = np.random.default_rng(8)
+    pieces = ["<|", "|>", "\n", "end", ">", "|", "\\", "<", "user", "</s>", "é", ""]
+    roles = [">\nfoo", "end", "|>\n", "<|end|>\n", "\\", "a|", "", None] + ["".join(rng.choice(pieces, rng.integers(0, 5))) for _ in range(60)]
+    rows = [(i, t, role, f"text {t} " + "".join(rng.choice(pieces, 3))) for i, role in enumerate(roles) for t in range(2)]
+    windows = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat_format.read_back(windows).collect()}
+    for i, role in enumerate(roles):
+        own = "".join(f"{role or ''}\n{text}\n" for c, _, _, text in rows if c == i)
+        assert found[i] == (2, hashlib.sha256(own.encode()).hexdigest()), role

@@ -76,7 +76,9 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history_turns: in
     table gives an empty table. Sums and windows are made of rows of a few bytes; texts meet them by the number of their row, one to a window.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit("<|"), escaped(role), F.lit("|>\n"))
+    # a role that would end its own marks, or be the end of a turn, is escaped at its start too
+    guard = F.when(F.startswith(role, F.lit(">")) | (role == "end"), "\\").otherwise("")
+    head = F.concat(F.lit("<|"), guard, escaped(role), F.lit("|>\n"))
     base = turns.select(id_or_lowest("conv_id").alias("_c"), F.col("turn").alias("_turn"), role.alias("_role"), text.alias("_raw"), head.alias("_head"), escaped(text).alias("_text"))
     base = base.select("*", F.xxhash64("_raw").alias("_x"), (count_tokens(F.col("_raw")) + MARKS).cast("long").alias("_tok"), F.monotonically_increasing_id().alias("_i"))
     base = written(base.drop("_raw"), "chat-turns")
