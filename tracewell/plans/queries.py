@@ -559,6 +559,25 @@ def structural_centrality(spark, sf_dir):
     return graph.structural_centrality(parts.unionByName(suppliers), P.supply(spark, sf_dir))
 
 
+@query(f"""WITH {P.SUPPLY_SQL} SELECT target AS symbol_id, count(DISTINCT source) AS distinct_sources, row_number() OVER (ORDER BY count(DISTINCT source) DESC, target) AS place FROM supply WHERE target IN (SELECT 'p' || p_partkey FROM part) GROUP BY 1 QUALIFY place <= 25""")
+def top_components(spark, sf_dir):
+    """The report of reuse: the parts that most suppliers supply, in its order."""
+    from pyspark.sql.window import Window
+
+    top = graph.top_patterns(component_reuse(spark, sf_dir), "distinct_sources", limit=25)
+    # the few rows of the report, numbered as it has them
+    return top.select("symbol_id", "distinct_sources", F.row_number().over(Window.orderBy(F.desc("distinct_sources"), "symbol_id")).cast("long").alias("place"))
+
+
+@query(f"""WITH {_TRACES} SELECT root, relation_id, depth, status, row_number() OVER (PARTITION BY root ORDER BY depth, relation_type, CASE WHEN p.p_partkey IS NULL THEN '' WHEN p_size % 2 = 0 THEN 'oracle' ELSE 'powerbuilder' END,
+coalesce(p_name, 'part' || coalesce(next, 0)), relation_id, node) AS place FROM traces LEFT JOIN part p ON p.p_partkey = next""")
+def ordered_traces(spark, sf_dir):
+    """Traces with their place in the output of their root."""
+    named = P.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("symbol_id"), F.when(F.col("p_size") % 2 == 0, "oracle").otherwise("powerbuilder").alias("technology"), F.col("p_name").alias("name"))
+    found = graph.ordered_edges(_traces(spark, sf_dir), named)
+    return found.select("root", "relation_id", "depth", "status", F.col("place").cast("long").alias("place"))
+
+
 @query(f"""WITH {P.SUPPLY_SQL}, t AS (SELECT target, relation_type, count(*) AS n FROM supply GROUP BY ALL)
 SELECT target AS symbol_id, string_agg(relation_type || ':' || n, ',' ORDER BY relation_type) AS types FROM t GROUP BY 1""")
 def relation_type_histogram(spark, sf_dir):
