@@ -63,6 +63,13 @@ def test_too_many_statements(spark):
     assert records == {} and diagnostics == {4: ("limit", "max_statements_per_file", "error")}
 
 
+def test_many_statements_are_all_read(spark):
+    n = 10_001
+    records, diagnostics = read(spark, "\n".join(f"INSERT INTO rules (id, ver) VALUES ({i}, 1);" for i in range(n)))
+    assert diagnostics == {} and sorted(records) == list(range(1, n + 1))
+    assert all(r.start_line == r.end_line == i for i, r in records.items())
+
+
 def test_symbols(spark):
     script = "INSERT INTO rules (id, ver, title, expr, v, state) VALUES (1, 'x y', 'The ''rule''', NULL, 'var', 'OFF'); UPDATE rules SET expr = 'a' WHERE id = 1 AND ver = 'x y'; INSERT INTO rules (id, ver, state) VALUES (2, '--', 'odd');"
     records, _ = S.read_configurations(spark.createDataFrame([(1, script)], "document_id long, text string"), declared(spark))

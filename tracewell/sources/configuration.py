@@ -137,14 +137,14 @@ def declared_columns(declarations: DataFrame, role: str) -> DataFrame:
     return rows.groupBy("configuration").agg(listed.alias(f"_{role}"))
 
 
-def read_configurations(scripts: DataFrame, declarations: DataFrame, most_statements: int = 10_000, most_chars: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def read_configurations(scripts: DataFrame, declarations: DataFrame, most_statements: int | None = None, most_chars: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Records and diagnostics of DML scripts: each statement outside of a block is one of them.
 
     scripts: document_id, text. declarations: configuration, role, column_name, position (and what further roles need): the role ``table`` names a configuration's tables, ``identity`` the columns that tell its records apart, ``default`` the order
     of an INSERT without columns. Declarations are as many as a team writes by hand, and are joined, not collected.
 
     Records: document_id, ordinal, start_line, end_line, configuration, table_name, operation, partial (an UPDATE's), record_id, values (array of column, raw, value_type, position, is_identity). Diagnostics: document_id, ordinal, start_line,
-    end_line, statement_type, reason, severity. A block from BEGIN or DECLARE is one diagnostic; what is in it, up to END, is none. A script of over ``most_statements`` is one diagnostic. A value over ``most_chars`` is one.
+    end_line, statement_type, reason, severity. A block from BEGIN or DECLARE is one diagnostic; what is in it, up to END, is none. Scripts are read whole, unless ``most_statements`` is given: then a script of over that many is one diagnostic. A value over ``most_chars`` is one.
     The first declared configuration of a table holds, by name. Null texts have no statements.
     """
 
@@ -154,11 +154,14 @@ def read_configurations(scripts: DataFrame, declarations: DataFrame, most_statem
 
     found = statements(scripts.select("document_id", "text")).withColumn("ordinal", F.col("ordinal") + 1)
     document = Window.partitionBy("document_id")
-    found = found.withColumn("_n", F.count(F.lit(1)).over(document))
-    over = found.filter((F.col("_n") > most_statements) & (F.col("ordinal") == 1))
-    limit = over.select("document_id", F.lit(most_statements + 1).alias("ordinal"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("limit").alias("statement_type"), F.lit("max_statements_per_file").alias("reason"))
     kind = dict(scripts.dtypes)["document_id"]
-    kept = found.filter(F.col("_n") <= most_statements).select("document_id", "ordinal", "start_line", "end_line", "text")
+    over = None
+    if most_statements is not None:
+        found = found.withColumn("_n", F.count(F.lit(1)).over(document))
+        over = found.filter((F.col("_n") > most_statements) & (F.col("ordinal") == 1))
+        over = over.select("document_id", F.lit(most_statements + 1).alias("ordinal"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("limit").alias("statement_type"), F.lit("max_statements_per_file").alias("reason"))
+        found = found.filter(F.col("_n") <= most_statements)
+    kept = found.select("document_id", "ordinal", "start_line", "end_line", "text")
     ends = F.regexp_replace(kept["text"], r"(?s)--[^\n]*|/\*.*?\*/", " ").rlike(r"(?i)^\s*END(\s+[A-Z_][\w$#]*)?\s*$")
     kept = kept.withColumn("_ends", ends)
     read = kept.mapInPandas(parse, f"document_id {kind}, ordinal int, start_line int, end_line int, _ends boolean, {_READ}")
@@ -187,7 +190,8 @@ def read_configurations(scripts: DataFrame, declarations: DataFrame, most_statem
         .when(F.size(F.array_except("_identity", "columns")) > 0, "missing_identity")
     )
     rows = rows.withColumn("reason", reason)
-    diagnostics = rows.filter("reason is not null").select("document_id", "ordinal", "start_line", "end_line", F.col("kind").alias("statement_type"), "reason").unionByName(limit)
+    diagnostics = rows.filter("reason is not null").select("document_id", "ordinal", "start_line", "end_line", F.col("kind").alias("statement_type"), "reason")
+    diagnostics = diagnostics if over is None else diagnostics.unionByName(over)
     diagnostics = diagnostics.withColumn("severity", F.when(F.col("reason").isin(*ERRORS), "error").otherwise("warning"))
     values = F.transform(
         F.arrays_zip("columns", "values"),

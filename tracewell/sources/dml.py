@@ -19,12 +19,18 @@ def split_statements(script: str) -> list[tuple[str, int, int, bool]]:
     rest inside an open string or comment is dropped."""
     script = _CONSOLE.sub(lambda m: " " * len(m[0]), script)
     out, start, opened = [], 0, False
+    line, counted = 1, 0  # the line of the place up to which line ends are counted, so that a script is counted once
+
+    def line_at(place: int) -> int:
+        nonlocal line, counted
+        line, counted = line + script.count("\n", counted, place), place
+        return line
 
     def add(end: int, terminated: bool) -> None:
         text = script[start:end]
         if text.strip():
-            first = script.count("\n", 0, start + len(text) - len(text.lstrip())) + 1
-            out.append((text.strip(), first, script.count("\n", 0, start + len(text.rstrip())) + 1, terminated))
+            first = line_at(start + len(text) - len(text.lstrip()))
+            out.append((text.strip(), first, line_at(start + len(text.rstrip())), terminated))
 
     for m in _PIECE.finditer(script):
         piece = m[0]
