@@ -59,7 +59,8 @@ def structured_scores(questions: DataFrame, symbols: DataFrame, stopwords: list[
     weighed = lambda weight: lambda t: F.struct(t.alias("token"), F.lit(weight).alias("precision"))
     fields = F.flatten(F.array(*[F.transform(F.col(f), weighed(weight)) for f, weight in PRECISION.items()]))
     held = symbols.select("symbol_id", "record_id", F.explode(fields).alias("_f")).select("symbol_id", "record_id", "_f.*")
-    met = wanted.join(held, "token").groupBy("query_id", "symbol_id", "record_id", "g").agg(F.max("precision").alias("precision"), F.first("_total").alias("_total"))
+    # a batch of questions is small, symbols and their names are not: only the former goes to every executor
+    met = held.join(F.broadcast(wanted), "token").groupBy("query_id", "symbol_id", "record_id", "g").agg(F.max("precision").alias("precision"), F.first("_total").alias("_total"))
     frequency = met.select("query_id", "g", "record_id").distinct().groupBy("query_id", "g").agg(F.count(F.lit(1)).alias("frequency"))
     records = symbols.agg(F.count_distinct("record_id").alias("records"))
     rarity = T.smoothed_idf(F.col("records"), F.col("frequency"))
@@ -67,7 +68,7 @@ def structured_scores(questions: DataFrame, symbols: DataFrame, stopwords: list[
     each = scored.groupBy("query_id", "symbol_id", "record_id").agg(F.count(F.lit(1)).alias("matched"), F.first("_total").alias("_total"), F.avg(rarity).alias("_rarity"), F.avg("precision").alias("_precision"))
     said = questions.select("query_id", F.btrim(T.fold_accents(F.col("text"))).alias("_text"), query_identifiers(F.col("text")).alias("_ids"))
     names = symbols.select("symbol_id", T.fold_accents(F.col("original_name")).alias("_a"), T.fold_accents(F.col("normalized_name")).alias("_b"))
-    each = each.join(said, "query_id").join(names, "symbol_id")
+    each = each.join(F.broadcast(said), "query_id").join(names.hint("merge"), "symbol_id")
     exact = (F.col("_text") == F.col("_a")) | (F.col("_text") == F.col("_b")) | F.arrays_overlap("_ids", T.folded_words(F.concat_ws(" ", "_a", "_b")))
     several = F.least(F.lit(1.0), (F.col("matched") - 1) / 2.0)
     # the weight of several concepts grows up to three of them
@@ -88,7 +89,7 @@ def structured_candidates(scores: DataFrame, roots: DataFrame, relations: DataFr
     none = F.lit(None)
     chunk = dict(relations.dtypes)["chunk_id"]
     own = seeds.select("query_id", "_seed", none.cast(dict(relations.dtypes)["relation_id"]).alias("relation_id"), F.lit("structured").alias("kind"), "symbol_id", none.cast(chunk).alias("chunk_id"), "score")
-    related = seeds.join(roots, "symbol_id").join(relations, "root_id").groupBy("query_id", "chunk_id").agg(F.min(F.struct("_seed", "relation_id", "symbol_id", "score")).alias("_f")).select("query_id", "chunk_id", "_f.*")
+    related = roots.join(F.broadcast(seeds), "symbol_id").join(relations, "root_id").groupBy("query_id", "chunk_id").agg(F.min(F.struct("_seed", "relation_id", "symbol_id", "score")).alias("_f")).select("query_id", "chunk_id", "_f.*")
     related = related.select("query_id", "_seed", "relation_id", F.lit("related").alias("kind"), "symbol_id", "chunk_id", F.greatest(F.lit(LEAST), DECAY * F.col("score")).alias("score"))
     place = Window.partitionBy("query_id").orderBy("_seed", F.col("kind") == "related", "relation_id", "chunk_id")
     return own.unionByName(related).withColumn("rank", F.row_number().over(place) - 1).filter(F.col("rank") < limit).select("query_id", "rank", "kind", "symbol_id", "chunk_id", "score")
