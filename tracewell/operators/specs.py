@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.plans.materialize import written
 
 #: The documents of a specification and the sections that each must have.
 SECTIONS = {
@@ -131,7 +132,15 @@ def validate(documents: DataFrame) -> DataFrame:
         when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), location.cast("string").alias("location"), related.cast("array<string>").alias("related_ids"))
     )
     nothing = F.array().cast("array<string>")
-    facts = _facts(documents.groupBy("spec_id", "filename").agg(F.min("content").alias("content")))
+    # texts are shuffled only for files of repeated rows
+    file = ["spec_id", "filename"]
+    repeated = documents.groupBy(*file).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*file)
+    once = documents.select(*file, "content")
+    if not repeated.isEmpty():
+        repeated = written(repeated, "repeated-files")
+        there = [once[c].eqNullSafe(repeated[c]) for c in file]
+        once = once.join(repeated, there, "left_anti").unionByName(once.join(repeated, there, "left_semi").groupBy(*file).agg(F.min("content").alias("content")))
+    facts = _facts(once)
     required = F.lit(None).cast("array<string>")
     for name, sections in SECTIONS.items():
         required = F.when(F.col("filename") == name, F.array(*map(F.lit, sections))).otherwise(required)
