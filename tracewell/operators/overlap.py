@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.overlaps import suffix_prefix
 
 LEAST = 4
+#: Sources that are handed on at once.
+ROWS = 500
 _KEYS = ["context_id", "document_id", "source_id", "ordinal", "start_line", "end_line"]
 
 
@@ -30,7 +32,8 @@ def trim_overlaps(sources: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, open_ = None, []  # (start, end, id, content) of the sources that may still be continued
-        for frame in frames:
+        # few rows at a time: rows, their results and these as a frame are there at once
+        for frame in (whole.iloc[i : i + ROWS] for whole in frames for i in range(0, len(whole), ROWS)):
             out = []
             for context, document, source, ordinal, start, end, content in frame[[*_KEYS, "content"]].itertuples(index=False, name=None):
                 # a null key comes as None or NaN, which differs from itself
