@@ -463,6 +463,15 @@ def test_quality_joins_by_broadcast(spark):
     assert "SortMergeJoin" not in spark_plan(out) and "BroadcastHashJoin" in spark_plan(out)
 
 
+def test_quality_takes_few_queries_of_the_driver(spark, monkeypatch):
+    """Tables whose groups fit a bin are not binned first, and no order statistic is taken twice."""
+    names, written = [], quality.written
+    monkeypatch.setattr(quality, "written", lambda df, name: names.append(name) or written(df, name))
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 89}{k % 13}" for k in range(60 + i % 40)), "en", "s") for i in range(60)]
+    quality.judge_quality(table(spark, rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not [n for n in names if n.endswith("-bins")] and len(names) <= 18
+
+
 def test_robust_fit_resists_outliers(spark):
     rng = np.random.default_rng(8)
     inner = rng.normal(0, 1, (800, 5))

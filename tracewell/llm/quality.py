@@ -81,8 +81,8 @@ def covariances() -> list[str]:
     return [f"c{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)]
 
 
-def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str = "inner", few: bool | None = None) -> DataFrame:
-    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, and log_det, by a Cholesky factor in columns. ``few`` as in order_statistics(); None: the groups are counted."""
+def cholesky(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's centre, the Cholesky factor of its covariance (l00 ..) and log_det."""
     p = len(DIMENSIONS)
     fits = fits.select(*keys, *[f"m{i}" for i in range(p)], *covariances())
     for i in range(p):
@@ -94,7 +94,13 @@ def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str =
     det = F.lit(0.0)
     for i in range(p):
         det = det + 2 * F.log(F.col(f"l{i}{i}"))
-    factors = fits.withColumn("log_det", det).drop(*covariances())
+    return fits.withColumn("log_det", det).drop(*covariances())
+
+
+def with_distance(rows: DataFrame, fits: DataFrame, keys: list[str], how: str = "inner", few: bool | None = None) -> DataFrame:
+    """Join each group's centre and covariance and add d2, the squared Mahalanobis distance, and log_det, by a Cholesky factor in columns. ``few`` as in order_statistics(); None: the groups are counted."""
+    p = len(DIMENSIONS)
+    factors = cholesky(fits, keys)
     if few is None:
         factors = broadcast_if_small(written(factors, "mcd-factors"), MOST_GROUPS)
     out = rows.join(F.broadcast(factors) if few else factors, keys, how)
@@ -118,17 +124,20 @@ def moments(rows: DataFrame, keys: list[str], inside: Column, least: list[float]
     return rows.groupBy(*keys).agg(*means, *sums, F.count(F.lit(1)).alias("n"))
 
 
-def few_groups(rows: DataFrame, keys: list[str]) -> bool:
-    """Whether tables of a row per group are small enough to be broadcast."""
-    return rows.select(*keys).distinct().limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+def group_sizes(rows: DataFrame, keys: list[str]) -> tuple[bool, int]:
+    """Whether tables of a row per group are small enough to be broadcast, and the rows of the largest group."""
+    groups, most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    return groups <= MOST_GROUPS, most or 0
 
 
-def order_statistics(rows: DataFrame, keys: list[str], values: dict[str, Column], share: float, name: str, few: bool, bin_rows: int = BIN_ROWS) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: list[str], values: dict[str, Column], share: float, name: str, few: bool, bin_rows: int = BIN_ROWS, most: int | None = None) -> DataFrame:
     """Of each group and named value the least one that ``share`` of its rows do not exceed, exactly: a row per group (written), however the rows are dealt.
 
-    In: rows with keys (none: one group) and values that are not null; ``few``: that the groups may be broadcast. Values are counted in bins of fixed bounds, a hundredth wide; the counts, which are sums, tell the bin that has the statistic and its rank
+    In: rows with keys (none: one group) and values that are not null; ``few``: that the groups may be broadcast; ``most``: rows of the largest group, if known. Values are counted in bins of fixed bounds, a hundredth wide; the counts, which are sums, tell the bin that has the statistic and its rank
     there. While that bin has over ``bin_rows`` rows of several values it is counted in ``BINS`` finer ones. Its values are then counted singly. So a task gets a few thousand rows, or ``bin_rows`` values, of a group of any size.
+    Where no group has over ``bin_rows`` rows no bin has, and all is one query of Spark's.
     """
+    within = most is not None and most <= bin_rows
     given = lambda table: F.broadcast(table) if few else table
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(values.values())])).alias("_e")
     placed = rows.select(*keys, each).select(*keys, "_e.*")
@@ -139,13 +148,14 @@ def order_statistics(rows: DataFrame, keys: list[str], values: dict[str, Column]
         order = Window.partitionBy(*by)
         told = counted.withColumns({"_sum": F.sum("n").over(order.orderBy("bin")), "_all": F.sum("n").over(order)}).withColumn("rank", rank)
         found = told.filter((F.col("_sum") >= F.col("rank")) & (F.col("_sum") - F.col("n") < F.col("rank")))
-        return written(found.select(*by, "lo", "hi", "n", (F.col("rank") - F.col("_sum") + F.col("n")).alias("rank")), f"{name}-bins")
+        found = found.select(*by, "lo", "hi", "n", (F.col("rank") - F.col("_sum") + F.col("n")).alias("rank"))
+        return found if within else written(found, f"{name}-bins")
 
     v = F.col("v")
     fixed = F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * 100)
     target = chosen(placed.withColumns({"bin": fixed, "rank": F.lit(0).cast("long")}), F.greatest(F.ceil(F.col("_all") * share), F.lit(1)))
     inside = lambda: placed.join(given(target), by).filter((v >= F.col("lo")) & (v <= F.col("hi")))
-    while (target.filter("lo < hi").agg(F.max("n")).first()[0] or 0) > bin_rows:
+    while not within and (target.filter("lo < hi").agg(F.max("n")).first()[0] or 0) > bin_rows:
         finer = F.least(F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * BINS), F.lit(BINS))
         target = chosen(inside().withColumn("bin", F.coalesce(finer, F.lit(0))).select(*by, "v", "bin", "rank"), F.col("rank"))
     singly = inside().groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
@@ -153,10 +163,15 @@ def order_statistics(rows: DataFrame, keys: list[str], values: dict[str, Column]
     return written(found.groupBy(*keys).agg(*[F.min(F.when(F.col("i") == i, v)).alias(n) for i, n in enumerate(values)]), name)
 
 
-def fit_mcd(rows: DataFrame, keys: list[str], least: list[float], share: float = 0.75, steps: int = 3) -> DataFrame:
+def medians(rows: DataFrame, keys: list[str], few: bool, most: int) -> DataFrame:
+    """Of each group the median of each dimension, q0 .. (written)."""
+    return order_statistics(rows, keys, {f"q{i}": F.col(d) for i, d in enumerate(DIMENSIONS)}, 0.5, "mcd-median", few, most=most)
+
+
+def fit_mcd(rows: DataFrame, keys: list[str], least: list[float], share: float = 0.75, steps: int = 3, sizes: tuple[bool, int] | None = None, middle: DataFrame | None = None) -> DataFrame:
     """Minimum-covariance-determinant centre and covariance of each group, by concentration steps from two starts.
 
-    In: rows with keys and x0 .. x4, to be read many times (written). Out: a row per group with n, m0.. and c00..,
+    In: rows with keys and x0 .. x4, to be read many times (written); ``sizes`` and ``middle``: their group_sizes() and medians(), if known. Out: a row per group with n, m0.. and c00..,
     scaled so that the median squared distance is that of a chi-squared variable, if that is more. The starts are the rows nearest to the
     median by MAD-scaled distance, summed or at its largest; each step refits on the ``share`` of rows of least distance;
     the start whose last covariance has the smaller determinant stays, and is fitted once more on all rows within the 97.5 %
@@ -166,25 +181,27 @@ def fit_mcd(rows: DataFrame, keys: list[str], least: list[float], share: float =
     comes back to the rows is a written table of a row per group, broadcast, or joined by a shuffle that Spark can split.
     """
     scale = F.greatest(F.col("d2") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
-    few = few_groups(rows, keys)
-    median = lambda table, by, name: order_statistics(table, by, {"d2": F.col("d2")}, 0.5, f"mcd-{name}", few)
+    few, most = sizes or group_sizes(rows, keys)
+    median = lambda table, by, name: order_statistics(table, by, {"d2": F.col("d2")}, 0.5, f"mcd-{name}", few, most=most)
     given = lambda table: F.broadcast(table) if few else table
-    middle = order_statistics(rows, keys, {f"q{i}": F.col(d) for i, d in enumerate(DIMENSIONS)}, 0.5, "mcd-median", few)
+    middle = medians(rows, keys, few, most) if middle is None else middle
     away = rows.join(given(middle), keys).withColumns({f"y{i}": F.abs(F.col(d) - F.col(f"q{i}")) for i, d in enumerate(DIMENSIONS)})
-    mads = order_statistics(away, keys, {f"a{i}": F.col(f"y{i}") for i in range(len(DIMENSIONS))}, 0.5, "mcd-mad", few)
+    mads = order_statistics(away, keys, {f"a{i}": F.col(f"y{i}") for i in range(len(DIMENSIONS))}, 0.5, "mcd-mad", few, most=most)
     scaled = [F.pow(F.col(f"y{i}") / (1.4826 * F.col(f"a{i}") + least[i]), 2.0) for i in range(len(DIMENSIONS))]
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), d.alias("d2")) for k, d in enumerate((sum(scaled[1:], scaled[0]), F.greatest(*scaled)))]))
     at = away.join(given(mads), keys).select(*rows.columns, both.alias("_s")).select(*rows.columns, "_s.start", "_s.d2")
     group = [*keys, "start"]
     twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for step in range(steps):
-        limit = order_statistics(at, group, {"_limit": F.col("d2")}, share, f"mcd-limit-{step}", few)
+        limit = order_statistics(at, group, {"_limit": F.col("d2")}, share, f"mcd-limit-{step}", few, most=most)
         fits = written(moments(at.join(given(limit), group), group, F.col("d2") <= F.col("_limit"), least), f"mcd-{step}")
         at = with_distance(twice, fits, group, few=few)
-    halves = at.groupBy(*group).agg(F.first("log_det").alias("log_det")).join(median(at, group, "halves").select(*group, scale), group)
-    best = halves.groupBy(*keys).agg(F.min_by(F.struct("start", "scale"), F.struct("log_det", "start")).alias("_b"))
+    held = ["n", *[f"m{i}" for i in range(len(DIMENSIONS))], *covariances()]
+    placed = cholesky(fits, group).select(*group, "log_det").join(fits, group)
+    best = placed.groupBy(*keys).agg(F.min_by(F.struct(*held), F.struct("log_det", "start")).alias("_b"))
     best = written(best.select(*keys, "_b.*"), "mcd-best")
-    inner = with_distance(rows, fits.join(best.select(*group), group), keys, few=few).join(given(best.select(*keys, "scale")), keys)
+    halves = median(with_distance(rows, best, keys, few=few), keys, "halves").select(*keys, scale)
+    inner = with_distance(rows, best, keys, few=few).join(given(halves), keys)
     fits = written(moments(inner, keys, F.col("d2") <= CHI2_INNER * F.col("scale"), least), "mcd-inner")
     scales = median(with_distance(rows, fits, keys, few=few), keys, "scales").select(*keys, scale)
     return written(fits.join(scales, keys).withColumns({c: F.col(c) * F.col("scale") for c in covariances()}).drop("scale"), "mcd")
@@ -210,14 +227,17 @@ def quality_fits(good: DataFrame, prior_rows: float) -> DataFrame:
     In: rows with _l, _s0, x0 .. x4 (written). Languages are taken to differ as such, sources of a language are not. In a table of few rows, whose plain spread holds its outliers too, none is far out."""
     keys = ["_l", "_s0"]
     names = [*[f"m{i}" for i in range(len(DIMENSIONS))], *covariances()]
-    middle = order_statistics(good, [], {d: F.col(d) for d in ("x0", "x1")}, 0.5, "mcd-middle", True).first()
-    x0, x1 = (middle.x0 or 0.0, middle.x1 or 0.0) if middle else (0.0, 0.0)
+    levels = F.explode(F.array(*[F.struct(a.alias("_l"), b.alias("_s0")) for a, b in ((F.lit(EVERY), F.lit(EVERY)), (F.col("_l"), F.lit(EVERY)), (F.col("_l"), F.col("_s0")))]))
+    rows = good.select(levels.alias("_k"), *DIMENSIONS).select("_k.*", *DIMENSIONS)
+    sizes = group_sizes(rows, keys)
+    middle = medians(rows, keys, *sizes)
+    of_every = middle.filter(F.col("_l") == EVERY).first()
+    x0, x1 = (of_every.q0 or 0.0, of_every.q1 or 0.0) if of_every else (0.0, 0.0)
     words = math.expm1(x0)
     least = least_deviations(words, math.exp(x1) * (words + 1) - 1)
     plain = moments(good.select(*DIMENSIONS), [], F.lit(True), least).first()
     of_all = {x: F.lit(plain[x] or 0.0) for x in names}
-    levels = F.explode(F.array(*[F.struct(a.alias("_l"), b.alias("_s0")) for a, b in ((F.lit(EVERY), F.lit(EVERY)), (F.col("_l"), F.lit(EVERY)), (F.col("_l"), F.col("_s0")))]))
-    fits = fit_mcd(good.select(levels.alias("_k"), *DIMENSIONS).select("_k.*", *DIMENSIONS), keys, least)
+    fits = fit_mcd(rows, keys, least, sizes=sizes, middle=middle)
     everything = shrunk(fits.filter(F.col("_l") == EVERY), of_all, prior_rows, True).first()
     if everything is None:
         return fits
