@@ -58,3 +58,12 @@ def test_the_middle_sample_is_exact(spark):
     want = {k: (sorted(x for x in v if x is not None) + [None] * len(v))[len(v) // 2] for k, v in samples.items()}
     assert {r.policy: r.middle_ms for r in found.collect()} == {k: x if x is None else round(x, 6) for k, x in want.items()}
     assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merge_first_deals_queries_over_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(selection, "TASK_ROWS", 10)
+    rows = [(q, c, "structured" if c == 3 else "chunks", c, "configuration" if c == 0 else "text", c == 3 and q < 10) for q in range(20) for c in (0, 1, 2, 3, 1)]
+    found = selection.merge_first(spark.createDataFrame(rows, "query_id long, chunk_id long, family string, position long, artifact_kind string, structured_symbol boolean"), 3)
+    assert ", 11)" in found._jdf.queryExecution().optimizedPlan().toString() or "], 11" in found._jdf.queryExecution().optimizedPlan().toString()
+    by = {q: [r.chunk_id for r in sorted(found.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 15)}
+    assert by == {0: [3, 1, 2], 15: [3, 0, 1]}

@@ -13,6 +13,8 @@ from tracewell.functions import text as T
 
 #: Families of candidates in order of precedence.
 FAMILIES = ("structured", "graph", "chunks")
+#: Candidates that a task sorts, on average.
+TASK_ROWS = 250_000
 
 
 def _precedence(family: Column) -> Column:
@@ -41,11 +43,14 @@ def _shadowed(candidates: DataFrame) -> Column:
     return (has == 1) & F.coalesce(F.col("artifact_kind") == "configuration", F.lit(False)) & ~F.col("structured_symbol")
 
 
-def merge_first(candidates: DataFrame, limit: int) -> DataFrame:
+def merge_first(candidates: DataFrame, limit: int, rows: int | None = None) -> DataFrame:
     """The first ``limit`` different chunks of each query, structured ones first, each family in its own order, with rank from 0.
 
-    candidates: query_id, chunk_id, family, position, artifact_kind, structured_symbol. Raw configuration chunks go where there is structured evidence.
+    candidates: query_id, chunk_id, family, position, artifact_kind, structured_symbol. Raw configuration chunks go where there is structured evidence. ``rows``: about how many candidates there are (None: they are counted).
+    Queries are dealt over tasks that grow in number with the candidates, once for all that follows, so that a task's sorts stay of one size.
     """
+    rows = candidates.count() if rows is None else rows
+    candidates = candidates.repartition(max(rows // TASK_ROWS + 1, candidates.sparkSession.sparkContext.defaultParallelism), "query_id")
     kept = candidates.withColumn("_shadowed", _shadowed(candidates)).filter(~F.col("_shadowed"))
     first = kept.groupBy("query_id", "chunk_id").agg(F.min(F.struct(_precedence(F.col("family")).alias("f"), "position", "family")).alias("_at"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_at.f", "_at.position", "chunk_id")) - 1

@@ -68,7 +68,8 @@ def context_metrics(spark, sf_dir):
 @query(f"""WITH {_CANDIDATES}, f AS (SELECT query_id, chunk_id, min((CASE family WHEN 'structured' THEN 1 ELSE 3 END, position, family)) AS p FROM d WHERE NOT shadowed GROUP BY ALL)
 SELECT query_id, chunk_id, p[3] AS family, p[2] AS position, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p[1], p[2], chunk_id) - 1 AS rank FROM f) WHERE rank < 10""")
 def candidate_merge(spark, sf_dir):
-    return selection.merge_first(_candidates(spark, sf_dir), 10)
+    # a candidate is a line item, and their number is in the file's footer
+    return selection.merge_first(_candidates(spark, sf_dir), 10, P.read(spark, sf_dir, "lineitem").count())
 
 
 @query("""WITH c AS (SELECT o_custkey AS query_id, l_partkey AS chunk_id, CASE l_returnflag WHEN 'A' THEN 'structured' WHEN 'R' THEN 'graph' ELSE 'chunks' END AS family, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS f,
