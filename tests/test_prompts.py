@@ -94,3 +94,12 @@ def test_structured_candidates(spark):
     rows = [(r.kind, r.symbol_id, r.chunk_id) for r in structured.structured_candidates(scores, roots, relations, 5).orderBy("rank").collect()]
     assert rows == [("structured", "f1", None), ("related", "f1", 11), ("related", "f1", 10), ("structured", "r2", None), ("related", "r2", 12)]
     assert structured.structured_candidates(scores, roots, relations, 2).count() == 2
+
+
+def test_sources_are_fitted_once(spark):
+    """The decisions start from written sources: none of their inputs is read again for an exchange."""
+    overheads = spark.createDataFrame([(1, 40)], "query_id long, overhead_chars long")
+    sources = spark.createDataFrame([(1, i, 10, 90, f"s{i}", f"S{i}", i == 3) for i in range(5)], SOURCES)
+    out, _ = prompts.exchange_for_graph(sources, overheads, 60)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewell.plans.materialize import written
+
 LEAST_TOKENS = 8
 
 
@@ -47,21 +49,25 @@ def exchange_for_graph(sources: DataFrame, overheads: DataFrame, budget: int, le
 
     sources: as in fit_prompts(), with chunk_id, content_key, and is_graph. The exchange stands if the prompt that it makes has the graph's candidate, as many sources as before, and no chunk or content twice; else nothing changes. Sources: with decision and chars_sent, the
     one that went says ``budget_fallback``. Queries: query_id, triggered, applied, candidate_rank, replaced_rank.
+
+    The sources are fitted once and written, as are the queries with an exchange and what it makes of them: each is read several times.
     """
-    fitted, queries = fit_prompts(sources, overheads, budget, least_tokens)
+    fitted, _ = fit_prompts(sources, overheads, budget, least_tokens)
+    fitted = written(fitted, "fitted")
     sent = F.col("decision").isin("selected", "cut")
     graph = fitted.groupBy("query_id").agg(
         F.max((F.col("is_graph") & sent).cast("int")).alias("_has"), F.min(F.when(F.col("is_graph") & (F.col("decision") == "budget"), F.struct("rank", "chunk_id"))).alias("_in"),
         F.max(F.when(sent, F.struct("rank", "chunk_id"))).alias("_out"),
     )
     triggered = graph.filter((F.col("_has") == 0) & F.col("_in").isNotNull() & F.col("_out").isNotNull()).select("query_id", F.col("_in.rank").alias("candidate_rank"), F.col("_out.rank").alias("replaced_rank"))
+    triggered = written(triggered, "triggered")
     marked = fitted.join(triggered, "query_id").drop("decision", "chars_sent")
     before = fitted.filter(sent).join(triggered.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("_before"))
     # the candidate stands where the source stood that it replaces
     kept = fitted.filter(sent).select("query_id", "rank").withColumn("_sent", F.lit(True))
     chosen = marked.join(kept, ["query_id", "rank"], "left").filter((F.col("_sent") & (F.col("rank") != F.col("replaced_rank"))) | (F.col("rank") == F.col("candidate_rank")))
     tried = chosen.withColumn("_own", F.col("rank")).withColumn("rank", F.when(F.col("rank") == F.col("candidate_rank"), F.col("replaced_rank")).otherwise(F.col("rank"))).drop("_sent")
-    again, _ = fit_prompts(tried, overheads, budget, least_tokens)
+    again = written(fit_prompts(tried, overheads, budget, least_tokens)[0], "exchanged")
     good = again.filter(sent).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct("chunk_id").alias("_chunks"), F.count_distinct("content_key").alias("_contents"), F.max((F.col("_own") == F.col("candidate_rank")).cast("int")).alias("_there")
     )
@@ -71,6 +77,6 @@ def exchange_for_graph(sources: DataFrame, overheads: DataFrame, budget: int, le
     swapped = F.coalesce(F.col("_applied"), F.lit(False))
     gone = F.when(F.col("rank") == F.col("replaced_rank"), "budget_fallback").otherwise("budget")
     out = out.withColumns({"decision": F.when(swapped, F.coalesce("_new", gone)).otherwise(F.col("decision")), "chars_sent": F.when(swapped, F.coalesce("_sent", F.lit(0))).otherwise(F.col("chars_sent"))}).drop("_applied", "_new", "_sent", "replaced_rank")
-    report = queries.select("query_id").join(triggered, "query_id", "left").join(stands, "query_id", "left")
+    report = overheads.select("query_id").join(triggered, "query_id", "left").join(stands, "query_id", "left")
     report = report.select("query_id", F.col("candidate_rank").isNotNull().alias("triggered"), F.coalesce("_applied", F.lit(False)).alias("applied"), "candidate_rank", "replaced_rank")
     return out, report
