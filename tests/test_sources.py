@@ -144,3 +144,34 @@ def test_streaming_ingest_reads_each_file_once(spark, tmp_path):
         assert len(rows) == expected
         (tmp_path / "in/b.md").write_text("three")
     assert {r.content for r in rows} == {"one\n\ntwo", "three"}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_what_rules_find_leaves_the_lexer(spark):
+    """Tokens never become rows or arrays of Spark; references are merged by hashing, objects need no window."""
+    docs = spark.createDataFrame([(1, PACKAGE)], "document_id long, text string")
+    for technology in ("oracle", "powerbuilder"):
+        plan = _plan(code.references(docs, technology))
+        assert "SortAggregate" not in plan and "kind" not in plan and "HashAggregate" in plan
+    assert "Window" not in _plan(code.oracle_objects(docs)) and "kind" not in _plan(code.oracle_objects(docs))
+
+
+def test_scripts_lexed_together_are_as_alone():
+    """A script's tokens, lines and neighbours end with it, wherever it lies among others; a row of two scripts holds both."""
+    import random
+
+    rng = random.Random(4)
+    words = ["create ", "or replace ", "trigger t ", "create or replace trigger t on b.c\n", "create package body p is\n", "procedure r is\n", "end r;\n", "end p;\n", "on a.b ", "from x.y\n", "into ", "insert ", "call q.z(", "'open\n", "-- c\n", "/* \n", "*/", '"Q"', "execute immediate ", "s.nextval ", ";", "("]
+    texts = [None, "", *("".join(rng.choice(words) for _ in range(rng.randrange(14))) for _ in range(300))]
+    for technology, rules in (("oracle", code._oracle_rules), ("powerbuilder", code._powerbuilder_rules)):
+        of = lambda some: code._found_references(code.Tokens(some, technology), rules).to_pylist()  # noqa: B023, E731
+        assert of(texts) == [x for text in texts for x in of([text])]
+    units = lambda some, held=None: code._oracle_units(code.Tokens(some, "oracle", held)).to_pylist()
+    alone = [x for text in texts for x in units([text])]
+    assert units(texts) == alone and sum(map(len, alone)) > 100
+    assert len(units(texts, [len(texts) - 1, 0, 1])) == 3 and units(texts, [0, *[1] * len(texts)]) == [[], *alone]
+    assert units(["create view a as x\n", "create view a as x\n\n\n"], [2]) == [[{"unit_type": "view", "name": "a", "start_line": 1, "end_line": n, "level": 0, "parent": None} for n in (0, 4)]]
+    assert any(x["reference_type"] == "trigger_table" for x in sum(code._found_references(code.Tokens(texts, "oracle"), code._oracle_rules).to_pylist(), []))
