@@ -50,14 +50,15 @@ def _lines(content: Column) -> Column:
     """Each line as (n, line, level, text, item): the depth of a heading (0: none), what follows its marks, and what follows the dash of a list item."""
 
     def parsed(line: Column, i: Column) -> Column:
+        # most lines are neither headings nor items, which their letters tell without more
         flat = F.translate(line, "\t\r", "  ")
         mark = F.substring_index(flat, " ", 1)
-        heading = (mark != "") & (F.translate(mark, "#", "") == "") & (F.char_length(flat) > F.char_length(mark))
+        heading = F.startswith(line, F.lit("#")) & (F.translate(mark, "#", "") == "") & (F.char_length(flat) > F.char_length(mark))
         bare = F.btrim(flat)
         return F.struct(
             (i + 1).alias("n"), line.alias("line"), F.when(heading, F.char_length(mark)).otherwise(0).alias("level"),
             F.when(heading, F.btrim(F.substring(flat, F.char_length(mark) + 1, F.char_length(flat)))).alias("text"),
-            F.when(F.startswith(bare, F.lit("- ")), F.btrim(F.substring(bare, F.lit(2), F.char_length(bare)))).alias("item"),
+            F.when(F.contains(line, F.lit("-")) & F.startswith(bare, F.lit("- ")), F.btrim(F.substring(bare, F.lit(2), F.char_length(bare)))).alias("item"),
         )
 
     return F.transform(F.split(F.coalesce(content, F.lit("")), "\n", -1), parsed)
@@ -73,25 +74,27 @@ def _repeated(items: Column) -> Column:
 def _facts(documents: DataFrame) -> DataFrame:
     """What the rules ask of each document, computed in its row from its lines: each knows its number and the second-level heading that it is under."""
     rows = documents.select("spec_id", "filename", "content", _lines(F.col("content")).alias("_l"))
-    heads = F.transform(F.filter("_l", lambda x: x["level"] == 2), lambda x: F.struct(x["n"].alias("n"), F.regexp_replace(x["text"], " +", " ").alias("title")))
-    rows = rows.withColumn("_heads", heads)
+    heads = F.transform(F.filter("_l", lambda x: x["level"] == 2), lambda x: F.struct(x["n"].alias("n"), F.when(F.contains(x["text"], F.lit("  ")), F.regexp_replace(x["text"], " +", " ")).otherwise(x["text"]).alias("title")))
+    rows = rows.withColumn("_heads", heads).withColumn("_says", F.contains(T.fold_accents(F.col("content")), F.lit(DETECTED)))
     under = lambda x: F.element_at(F.filter("_heads", lambda h: h["n"] <= x["n"]), -1)["title"]
     has_head = lambda x: F.exists("_heads", lambda h: h["n"] <= x["n"])
     section = lambda x: F.when(has_head(x), under(x)).otherwise("")
-    told = F.transform("_l", lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), x["item"].alias("item"), section(x).alias("section"), _cited(x["line"]).alias("cited")))
+    # only items and lines with a bracket or the word are asked for their section
+    says = lambda x: F.col("_says") & F.contains(T.fold_accents(x["line"]), F.lit(DETECTED))
+    told = F.transform(F.filter("_l", lambda x: x["item"].isNotNull() | F.contains(x["line"], F.lit("[")) | says(x)), lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), x["item"].alias("item"), section(x).alias("section"), _cited(x["line"]).alias("cited")))
     rows = rows.withColumn("_t", told)
     is_evidence = lambda x: x["section"].isin(*EVIDENCE_SECTIONS)
     first_cited = lambda x: F.when(F.startswith(x["item"], F.concat(F.lit("["), F.get(x["cited"], 0), F.lit("]"))), F.get(x["cited"], 0))
     there = lambda items: F.filter(items, lambda x: x.isNotNull())
     declared = there(F.transform(F.filter("_t", is_evidence), first_cited))
     words = lambda line: F.split(T.fold_accents(line), r"\W+")
-    detected = F.filter("_t", lambda x: ~is_evidence(x) & F.array_contains(words(x["line"]), DETECTED) & (F.size(x["cited"]) == 0))
+    detected = F.filter("_t", lambda x: ~is_evidence(x) & (F.size(x["cited"]) == 0) & says(x) & F.array_contains(words(x["line"]), DETECTED))
     asked = there(F.transform(F.filter("_t", lambda x: (x["section"] == FUNCTIONAL) & x["item"].isNotNull()), lambda x: _leading_id(x["item"], REQUIREMENT)))
     tasks = F.filter(F.transform(F.filter("_l", lambda x: x["level"] == 3), lambda x: F.struct(x["n"].alias("n"), _leading_id(x["text"], TASK).alias("item"), F.ltrim(F.substring(x["text"], len(TASK) + 5, 1 << 20)).alias("rest"))), lambda x: x["item"].isNotNull())
     rows = rows.withColumn("_tasks", tasks)
     # a task with a title owns the lines up to the next one
     rows = rows.withColumn("_titled", F.filter("_tasks", lambda x: F.startswith(x["rest"], F.lit("- ")) & (F.char_length(F.btrim(x["rest"])) > 2)))
-    wanted = F.filter(F.transform("_l", lambda x: F.struct(x["n"].alias("n"), _leading_id(F.ltrim(F.substring_index(x["line"], REQUIREMENT_OF_TASK, -1)), REQUIREMENT).alias("req"), F.contains(x["line"], F.lit(REQUIREMENT_OF_TASK)).alias("has"))), lambda x: x["has"] & x["req"].isNotNull())
+    wanted = F.filter(F.transform(F.filter("_l", lambda x: F.contains(x["line"], F.lit(REQUIREMENT_OF_TASK))), lambda x: F.struct(x["n"].alias("n"), _leading_id(F.ltrim(F.substring_index(x["line"], REQUIREMENT_OF_TASK, -1)), REQUIREMENT).alias("req"))), lambda x: x["req"].isNotNull())
     rows = rows.withColumn("_wanted", wanted)
     until = lambda i: F.coalesce(F.get("_titled", i + 1)["n"], F.lit(1 << 30))
     links = F.transform("_titled", lambda x, i: F.struct(x["item"].alias("item"), F.get(F.filter("_wanted", lambda w: (w["n"] > x["n"]) & (w["n"] < until(i))), 0)["req"].alias("req")))
@@ -99,7 +102,7 @@ def _facts(documents: DataFrame) -> DataFrame:
     cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda c: F.btrim(c, F.lit(" \t\r"))), lambda c, i: (i > 0) | (c != ""))
     exact = lambda cell, prefix: F.when(F.char_length(cell) == len(prefix) + 4, _leading_id(cell, prefix))
     tests = F.filter(
-        F.transform(F.transform("_l", lambda x: cells(x["line"])), lambda c: F.struct(exact(F.get(c, 1), TEST).alias("item"), exact(F.get(c, 0), REQUIREMENT).alias("req"))), lambda x: x["item"].isNotNull() & x["req"].isNotNull()
+        F.transform(F.transform(F.filter("_l", lambda x: F.contains(x["line"], F.lit(f"{TEST}-"))), lambda x: cells(x["line"])), lambda c: F.struct(exact(F.get(c, 1), TEST).alias("item"), exact(F.get(c, 0), REQUIREMENT).alias("req"))), lambda x: x["item"].isNotNull() & x["req"].isNotNull()
     )
     return rows.select(
         "spec_id", "filename",
